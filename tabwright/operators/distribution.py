@@ -4,25 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.operators.orderstats import DISTINCT_LIMIT, quantiles
 
 
-def _limits(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Minimum and maximum of each column as one scalar subquery."""
-    ends = [F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]
-    return df.agg(F.struct(*ends).alias("limits")).scalar()
+def _limits(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Minimum and maximum of each column, one row from one pass; absent when all is null."""
+    row = df.agg(*[f(c).alias(f"{c}{i}") for c in columns for i, f in enumerate((F.min, F.max))]).first()
+    return {c: (row[f"{c}0"], row[f"{c}1"]) for c in columns if row[f"{c}0"] is not None}
 
 
-def _widened(lo: Column, hi: Column) -> tuple[Column, Column]:
+def _histogram_range(lo: float, hi: float) -> tuple[float, float]:
     """A range without width is opened by half a unit on both sides."""
-    flat = lo == hi
-    return F.when(flat, lo - 0.5).otherwise(lo), F.when(flat, hi + 0.5).otherwise(hi)
+    return (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
 
 
-def _left_closed_bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
+def _edges(lo: float, hi: float, bins: int) -> list[float]:
+    step = (hi - lo) / bins
+    return [lo + i * step for i in range(bins)] + [hi]
+
+
+def _left_closed_bin(value: Column, lo: float, hi: float, bins: int) -> Column:
     """0-based bin of equal width; the last bin includes the maximum.
 
     The estimate from the division is corrected against the bin edges themselves.
@@ -36,26 +41,27 @@ def _left_closed_bin(value: Column, lo: Column, hi: Column, bins: int) -> Column
     )
 
 
+def _numbers(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    return df.select(*[F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(name)
+                       for name, c in columns.items()])
+
+
 def histograms(df: DataFrame, bins: Mapping[str, int]) -> DataFrame:
     """Equal-width histograms of several columns: ``feature, bin, lo, hi, n``, empty bins kept."""
-    columns = list(bins)
-    numbers = df.select(*[F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns])
-    limits = _limits(numbers, columns)
-    ends = {c: _widened(limits[c]["lo"], limits[c]["hi"]) for c in columns}
-    binned = numbers.select(*[_left_closed_bin(F.col(c), *ends[c], bins[c]).alias(c) for c in columns])
-    counts = binned.unpivot([], columns, "feature", "bin").where(F.col("bin").isNotNull()).groupBy(
+    numbers = _numbers(df, {c: c for c in bins})
+    ranges = {c: _histogram_range(*ends) for c, ends in _limits(numbers, list(bins)).items()}
+    spine = pa.Table.from_pylist(
+        [{"feature": c, "bin": i, "lo": lo, "hi": hi}
+         for c, ends in ranges.items()
+         for edges in [_edges(*ends, bins[c])]
+         for i, (lo, hi) in enumerate(zip(edges, edges[1:]))],
+        pa.schema([("feature", pa.string()), ("bin", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64())]))
+    binned = numbers.select(*[_left_closed_bin(F.col(c), *ranges[c], bins[c]).alias(c) if c in ranges
+                              else F.lit(None).cast("int").alias(c) for c in bins])
+    counts = binned.unpivot([], list(bins), "feature", "bin").where(F.col("bin").isNotNull()).groupBy(
         "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
-    spine = df.sparkSession.range(1).select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(bins[c]).alias("bins"), ends[c][0].alias("lo"),
-                 ends[c][1].alias("hi")) for c in columns])).alias("s")).select("s.*")
-    spine = spine.where(F.col("lo").isNotNull()).select(
-        "feature", "bins", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
-    step = (F.col("hi") - F.col("lo")) / F.col("bins")
-    return spine.join(counts, ["feature", "bin"], "left").select(
-        "feature", "bin", (F.col("lo") + F.col("bin") * step).alias("lo"),
-        F.when(F.col("bin") == F.col("bins") - 1, F.col("hi")).otherwise(
-            F.col("lo") + (F.col("bin") + 1) * step).alias("hi"),
-        F.coalesce("n", F.lit(0)).alias("n"))
+    return df.sparkSession.createDataFrame(spine).join(counts, ["feature", "bin"], "left").select(
+        "feature", "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def bin_means(df: DataFrame, x: str, y: str, bins: int = 5) -> DataFrame:
@@ -63,33 +69,30 @@ def bin_means(df: DataFrame, x: str, y: str, bins: int = 5) -> DataFrame:
 
     The lowest edge is lowered by a thousandth of the range so that the minimum is included.
     """
-    numbers = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    limits = _limits(numbers, ["x"])["x"]
-    flat = limits["lo"] == limits["hi"]
-    # A single value is widened by a thousandth of itself, or of one at zero.
-    margin = F.when(limits["lo"] != 0, F.abs(limits["lo"]) * 0.001).otherwise(F.lit(0.001))
-    lo = F.when(flat, limits["lo"] - margin).otherwise(limits["lo"])
-    hi = F.when(flat, limits["hi"] + margin).otherwise(limits["hi"])
-    step = (hi - lo) / bins
-    guess = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((F.col("x") - lo) / step))).cast("int")
-    corrected = (
-        F.when((guess > 1) & (F.col("x") <= lo + (guess - 1) * step), guess - 1)
-        .when((guess < bins) & (F.col("x") > lo + guess * step), guess + 1)
+    numbers = _numbers(df, {"x": x, "y": y})
+    lo, hi = _limits(numbers, ["x"]).get("x", (0.0, 0.0))
+    if lo == hi:
+        # A single value is widened by a thousandth of itself, or of one at zero.
+        margin = abs(lo) * 0.001 if lo else 0.001
+        edges = _edges(lo - margin, hi + margin, bins)
+    else:
+        edges = _edges(lo, hi, bins)
+    start, step = edges[0], (edges[-1] - edges[0]) / bins
+    guess = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((F.col("x") - start) / step))).cast("int")
+    number = (
+        F.when((guess > 1) & (F.col("x") <= start + (guess - 1) * step), guess - 1)
+        .when((guess < bins) & (F.col("x") > start + guess * step), guess + 1)
         .otherwise(guess)
     )
-    means = numbers.where(F.col("x").isNotNull()).groupBy(corrected.alias("bin")).agg(
+    means = numbers.where(F.col("x").isNotNull()).groupBy(number.alias("bin")).agg(
         F.count("y").alias("n"), F.avg("y").alias("mean"))
-    spine = df.sparkSession.range(1).select(
-        lo.alias("start"), hi.alias("stop"), F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    width = (F.col("stop") - F.col("start")) / bins
-    lowered = F.when(F.col("start") < F.col("stop"), (F.col("stop") - F.col("start")) * 0.001).otherwise(0.0)
-    return spine.join(means, "bin", "left").select(
-        "bin",
-        F.when(F.col("bin") == 1, F.col("start") - F.when(flat, F.lit(0.0)).otherwise(lowered)).otherwise(
-            F.col("start") + (F.col("bin") - 1) * width).alias("lo"),
-        F.when(F.col("bin") == bins, F.col("stop")).otherwise(
-            F.col("start") + F.col("bin") * width).alias("hi"),
-        F.coalesce("n", F.lit(0)).alias("n"), "mean")
+    if lo != hi:
+        edges[0] -= (hi - lo) * 0.001
+    spine = pa.Table.from_pylist(
+        [{"bin": i + 1, "lo": a, "hi": b} for i, (a, b) in enumerate(zip(edges, edges[1:]))],
+        pa.schema([("bin", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64())]))
+    return df.sparkSession.createDataFrame(spine).join(means, "bin", "left").select(
+        "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"), "mean")
 
 
 def _fences(df: DataFrame, column: str, group: str, distinct_limit: int) -> DataFrame:
@@ -136,9 +139,8 @@ def scatter(df: DataFrame, x: str, y: str, colour: str | None = None) -> DataFra
 
 def scatter_density(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     """Number of points per cell of a grid, for tables with too many points to draw."""
-    points = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(
-        F.col("x").isNotNull() & F.col("y").isNotNull())
+    points = _numbers(df, {"x": x, "y": y}).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     limits = _limits(points, ["x", "y"])
-    cell = {c: _left_closed_bin(F.col(c), *_widened(limits[c]["lo"], limits[c]["hi"]), bins) for c in ("x", "y")}
+    cell = {c: _left_closed_bin(F.col(c), *_histogram_range(*limits.get(c, (0.0, 0.0))), bins) for c in ("x", "y")}
     return points.groupBy(cell["x"].alias("x_bin"), cell["y"].alias("y_bin")).agg(
         F.count(F.lit(1)).alias("n"))

@@ -159,11 +159,11 @@ def nested_prefixes(df: DataFrame, key: Column, fractions: Sequence[float], seed
     """Cut points of growing training sets, each containing the smaller ones.
 
     For each fold, the training rows are those of the other folds in hash order. The result lists
-    fold, size and cut; a training set is ``fold != f`` and ``key_hash < cut``. Sizes follow the
-    training set of the first fold and no other has fewer rows left out.
+    fold, size and cut; a training set is ``fold != f`` and ``key_hash < cut``. The sizes are
+    fractions of the training set of the first fold.
     """
-    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold))
-    values = df.select(F.explode(others).cast("string").alias("stratum"), key_hash(key, seed).alias("value"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold)).cast("array<string>")
+    values = df.select(F.explode(others).alias("stratum"), key_hash(key, seed).alias("value"))
     rows = value_sizes(values, ["stratum"]).collect()
     by_fold = {r["stratum"]: r["n"] for r in rows}
     sizes = prefix_sizes(by_fold["0"], fractions)
