@@ -34,8 +34,10 @@ def _left_closed_bin(value: Column, lo: float, hi: float, bins: int) -> Column:
     """
     step = (hi - lo) / bins
     guess = F.least(F.floor((value - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    # ``least`` skips nulls, so a missing value would otherwise land in the last bin.
     return (
-        F.when(value < lo + guess * step, guess - 1)
+        F.when(value.isNull(), F.lit(None).cast("int"))
+        .when(value < lo + guess * step, guess - 1)
         .when((guess < bins - 1) & (value >= lo + (guess + 1) * step), guess + 1)
         .otherwise(guess)
     )

@@ -104,7 +104,7 @@ def compact_number(value: Column, decimals: int = 4) -> Column:
     """Thousands with separators, tiny numbers in exponent form, everything else fixed."""
     tiny = F.regexp_replace(F.format_string("%.2e", value), "e([+-])0(\\d)$", "e$1$2")
     return (
-        F.when(F.abs(value) >= 1000, F.format_number(value, "#,##0.#"))  # type: ignore[arg-type]
+        F.when(F.abs(value) >= 1000, F.call_function("format_number", value, F.lit("#,##0.#")))
         .when(F.abs(value) < 0.01, tiny).otherwise(F.format_string(f"%.{decimals}f", value)))
 
 

@@ -34,7 +34,8 @@ def class_scores(predicted: DataFrame, classes: Sequence[str], scores: str = "sc
     """
     names = F.array(*[F.lit(c) for c in classes])
     if "probability" in predicted.columns:
-        values = vector_to_array("probability")
+        is_array = isinstance(predicted.schema["probability"].dataType, T.ArrayType)
+        values = F.col("probability") if is_array else vector_to_array("probability")
     else:
         odds = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
         total = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
@@ -122,7 +123,7 @@ def plain_number(column: Column) -> Column:
 
 def grouped_number(column: Column, decimals: int = 3) -> Column:
     """A number with thousands separators and at most ``decimals`` places."""
-    return F.format_number(column, "#,##0." + "#" * decimals)  # type: ignore[arg-type]
+    return F.call_function("format_number", column, F.lit("#,##0." + "#" * decimals))
 
 
 def reason_parts(age: Column, smoker: Column, chronic: Column, bmi: Column) -> list[Column]:

@@ -89,6 +89,12 @@ def test_average_ranks_match_pandas_on_both_routes(spark, frame, monkeypatch):
         pd.testing.assert_series_equal(got, want, check_names=False)
 
 
+def test_histograms_leave_missing_values_out(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, None), (None, None), (float("nan"), None)], "x double, y double")
+    got = histograms(df, {"x": 2, "y": 3}).orderBy("bin").collect()
+    assert [(r["feature"], r["n"]) for r in got] == [("x", 1), ("x", 1)]
+
+
 def test_histograms_match_numpy(spark, frame):
     got = histograms(spark.createDataFrame(frame), {"heavy": 40, "few": 6, "constant": 5}).toPandas()
     for c, bins in (("heavy", 40), ("few", 6), ("constant", 5)):
