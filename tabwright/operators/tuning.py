@@ -22,7 +22,7 @@ from tabwright.operators.features import preparation_stages
 from tabwright.operators.models import CLASSIFIERS, REGRESSORS, build_classifier, build_regressor
 from tabwright.operators.roles import Roles, infer_roles, without
 from tabwright.operators.scoring import class_scores
-from tabwright.storage import use_checkpoints
+from tabwright.storage import use_checkpoints, written
 
 
 def grid_points(grid: Mapping[str, Sequence]) -> list[dict]:
@@ -148,6 +148,16 @@ def _metrics_frame(like: DataFrame, rows: list[dict], order: str, ascending: boo
     return table.orderBy(F.col(order).asc() if ascending else F.col(order).desc(), "model")
 
 
+def _partitioned(df: DataFrame, key: Column, features: Sequence[str], target: str, stratum: str | None, k: int,
+                 seed: int, test: float, val: float) -> tuple[DataFrame, DataFrame]:
+    """The needed columns with part and fold, written once since each fit reads them many times."""
+    hashed = df.select(*features, target, key.cast("string").alias("_key"))
+    hashed = written(hashed, "training")
+    parts = sampling.exact_split(hashed, F.col("_key"), seed, test, val, stratum, "_part")
+    train = sampling.folds(parts.where(F.col("_part") == "train"), F.col("_key"), k, seed, stratum, "_fold")
+    return parts, train
+
+
 def train_classifiers(
     df: DataFrame, target: str, key: Column, models: Sequence[str] = ("logreg_l2", "logreg_l1"),
     drop: Sequence[str] = (), grids: Mapping[str, Mapping] | None = None, folds: int = 3, seed: int = 42,
@@ -162,9 +172,9 @@ def train_classifiers(
     use_checkpoints(df.sparkSession)
     grids = grids or presets.CLASSIFIER_GRIDS
     classes = classes_of(df, target)
-    parts = sampling.exact_split(df.where(F.col(target).isNotNull()), key, seed, test, val, target, "_part")
-    train = sampling.folds(parts.where(F.col("_part") == "train"), key, folds, seed, target, "_fold")
     roles = roles or infer_roles(without(df, [target, *drop]))
+    known = df.where(F.col(target).isNotNull())
+    parts, train = _partitioned(known, key, roles.columns, target, target, folds, seed, test, val)
     trainer = Trainer(roles, target, classes, seed, parallelism)
     rows, confusions, searches = [], None, {}
     for name in models:
@@ -202,9 +212,8 @@ def train_regressors(
     use_checkpoints(df.sparkSession)
     grids = grids or presets.REGRESSOR_GRIDS
     known = df.where(F.col(target).isNotNull())
-    parts = sampling.exact_split(known, key, seed, test, val, None, "_part")
-    train = sampling.folds(parts.where(F.col("_part") == "train"), key, folds, seed, None, "_fold")
     roles = roles or infer_roles(without(df, [target, *drop]))
+    parts, train = _partitioned(known, key, roles.columns, target, None, folds, seed, test, val)
     trainer = Trainer(roles, target, None, seed, parallelism)
     rows, searches = [], {}
     for name in models:
@@ -251,15 +260,17 @@ def learning_curves(
     use_checkpoints(df.sparkSession)
     results: list[dict] = []
     for e in experiments:
-        known = df.where(F.col(e.target).isNotNull())
+        roles = infer_roles(without(df, [e.target, *e.drop, *exclude]))
+        known = written(df.where(F.col(e.target).isNotNull()).select(
+            *roles.columns, e.target, key.cast("string").alias("_key")), "curves")
         if rows is not None:
-            known = sampling.subsample(known, key, rows, seed, e.target)
-        data = sampling.folds(known.withColumn("_hash", key_hash(key, seed)), key, folds, seed, e.target, "_fold")
+            known = sampling.subsample(known, F.col("_key"), rows, seed, e.target)
+        data = sampling.folds(known.withColumn("_hash", key_hash(F.col("_key"), seed)), F.col("_key"), folds, seed, e.target, "_fold")
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             classes = classes_of(data, e.target)
-            steps = sampling.nested_prefixes(data, key, fractions, seed, "_fold", folds)
-            trainer = Trainer(infer_roles(without(df, [e.target, *e.drop, *exclude])), e.target, classes, seed)
+            steps = sampling.nested_prefixes(data, F.col("_key"), fractions, seed, "_fold", folds)
+            trainer = Trainer(roles, e.target, classes, seed)
 
             def one_size(step: dict) -> list[dict]:
                 train = data.where((F.col("_fold") != step["fold"]) & (F.col("_hash") < step["cut"]))

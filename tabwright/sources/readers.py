@@ -44,9 +44,10 @@ CONFUSION_SCHEMA = (
 SUMMARY_SCHEMA = "best_model string, best_test_mcc double, target string, derived_target boolean"
 
 
-def read_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
-    """JSON documents that may span several lines."""
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+def read_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str,
+              lines: bool = False) -> DataFrame:
+    """JSON documents, one per file over any number of lines, or one per line with ``lines``."""
+    return spark.read.option("multiLine", not lines).schema(schema).json(path)
 
 
 def flatten_confusions(documents: DataFrame) -> DataFrame:
