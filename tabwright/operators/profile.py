@@ -180,6 +180,16 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("value")).distinct()
 
 
+def _pair_correlation(a: str, b: str, complete: dict[str, bool], varies: dict[str, bool]) -> Column:
+    """Correlation of two columns that is null, not an error, when the shared rows are constant."""
+    if not (varies[a] and varies[b]):
+        return F.first(F.lit(None).cast("double"))
+    if complete[a] and complete[b]:
+        return F.corr(a, b)
+    shared_a, shared_b = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(shared_a)) * F.sqrt(F.var_pop(shared_b)))
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, long form.
 
@@ -187,8 +197,11 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """
     columns = present(df, columns or columns_of_type(df, *NUMERIC))
     numbers = df.select(*[F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns])
-    spread = [F.when(F.stddev_pop(c) > 0, F.lit(1.0)).alias(f"{i}_{i}") for i, c in enumerate(columns)]
-    pairs = [F.corr(a, b).alias(f"{i}_{j}")
+    row = numbers.agg(F.count(F.lit(1)), *[f(c) for c in columns for f in (F.count, F.var_pop)]).first()
+    complete = {c: row[1 + 2 * i] == row[0] for i, c in enumerate(columns)}
+    varies = {c: bool(row[2 + 2 * i]) for i, c in enumerate(columns)}
+    spread = [F.first(F.lit(1.0 if varies[c] else None).cast("double")).alias(f"{i}_{i}") for i, c in enumerate(columns)]
+    pairs = [_pair_correlation(a, b, complete, varies).alias(f"{i}_{j}")
              for (i, a), (j, b) in combinations(enumerate(columns), 2)]
     names = F.array(*[F.lit(c) for c in columns])
     parts = []
