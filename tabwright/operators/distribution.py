@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.operators.orderstats import DISTINCT_LIMIT, quantiles
+from tabwright.operators.orderstats import ROW_LIMIT, quantiles
 
 
 def _limits(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -97,20 +97,20 @@ def bin_means(df: DataFrame, x: str, y: str, bins: int = 5) -> DataFrame:
         "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"), "mean")
 
 
-def _fences(df: DataFrame, column: str, group: str, distinct_limit: int) -> DataFrame:
-    quartiles = quantiles(df, [column], (0.25, 0.5, 0.75), [group], distinct_limit=distinct_limit)
+def _fences(df: DataFrame, column: str, group: str, row_limit: int) -> DataFrame:
+    quartiles = quantiles(df, [column], (0.25, 0.5, 0.75), [group], row_limit=row_limit)
     reach = (F.col("q2") - F.col("q0")) * 1.5
     return quartiles.select(group, F.col("q0").alias("q1"), F.col("q1").alias("median"),
                             F.col("q2").alias("q3"), (F.col("q0") - reach).alias("fence_lo"),
                             (F.col("q2") + reach).alias("fence_hi"))
 
 
-def box_statistics(df: DataFrame, column: str, group: str, distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
+def box_statistics(df: DataFrame, column: str, group: str, row_limit: int = ROW_LIMIT) -> DataFrame:
     """Quartiles, whiskers and number of outliers of ``column`` per group.
 
     A whisker ends at the furthest value within 1.5 interquartile ranges of its quartile.
     """
-    fences = _fences(df, column, group, distinct_limit)
+    fences = _fences(df, column, group, row_limit)
     v = F.col(column)
     inside = (v >= F.col("fence_lo")) & (v <= F.col("fence_hi"))
     quartiles = ["q1", "median", "q3"]
@@ -126,9 +126,9 @@ def box_statistics(df: DataFrame, column: str, group: str, distinct_limit: int =
     )
 
 
-def box_outliers(df: DataFrame, column: str, group: str, distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
+def box_outliers(df: DataFrame, column: str, group: str, row_limit: int = ROW_LIMIT) -> DataFrame:
     """The rows of ``df`` that lie beyond the whiskers of their group."""
-    fences = _fences(df, column, group, distinct_limit).select(group, "fence_lo", "fence_hi")
+    fences = _fences(df, column, group, row_limit).select(group, "fence_lo", "fence_hi")
     outside = (F.col(column) < F.col("fence_lo")) | (F.col(column) > F.col("fence_hi"))
     return df.join(fences, group).where(outside).select(*df.columns)
 

@@ -12,7 +12,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.operators.orderstats import DISTINCT_LIMIT, quantile_values
+from tabwright.operators.orderstats import ROW_LIMIT, quantile_values
 from tabwright.operators.roles import Roles, infer_roles
 from tabwright.storage import SIDE_TABLE_ROWS
 
@@ -45,17 +45,17 @@ class MedianScaler(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWrit
     value is filled with 0."""
 
     centre = Param(Params._dummy(), "centre", "standardise after filling", TypeConverters.toBoolean)
-    distinctLimit = Param(Params._dummy(), "distinctLimit", "see orderstats", TypeConverters.toInt)
+    rowLimit = Param(Params._dummy(), "rowLimit", "see orderstats", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, outputCols=None, centre=True, distinctLimit=DISTINCT_LIMIT):
+    def __init__(self, *, inputCols=None, outputCols=None, centre=True, rowLimit=ROW_LIMIT):
         super().__init__()
-        self._setDefault(centre=True, distinctLimit=DISTINCT_LIMIT)
+        self._setDefault(centre=True, rowLimit=ROW_LIMIT)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> "MedianScalerModel":
         inputs = self.getOrDefault("inputCols")
-        found = quantile_values(df, inputs, [0.5], self.getOrDefault("distinctLimit"))
+        found = quantile_values(df, inputs, [0.5], self.getOrDefault("rowLimit"))
         medians = [found[c][0] if found[c][0] is not None else 0.0 for c in inputs]
         means, scales = [0.0] * len(inputs), [1.0] * len(inputs)
         if self.getOrDefault("centre"):

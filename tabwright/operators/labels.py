@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from tabwright import presets
 from tabwright.functions.cleaning import first_present, mapped_score, to_number
-from tabwright.operators.orderstats import DISTINCT_LIMIT, order_statistics, quantile_values, value_sizes
+from tabwright.operators.orderstats import ROW_LIMIT, order_statistics, quantile_values, value_sizes
 from tabwright.storage import side_table
 
 
 def risk_label(df: DataFrame, existing: str = "is_high_risk", costs: Sequence[str] = tuple(presets.COST_COLUMNS),
-               output: str = "risk_label", distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
+               output: str = "risk_label", row_limit: int = ROW_LIMIT) -> DataFrame:
     """Copy an existing label, or mark the rows whose cost exceeds the median cost.
 
     The first of ``costs`` that the table has is used. A missing cost is not above the median.
@@ -26,7 +26,7 @@ def risk_label(df: DataFrame, existing: str = "is_high_risk", costs: Sequence[st
     cost = next((c for c in costs if c in df.columns), None)
     if cost is None:
         raise ValueError(f"no label {existing!r} and none of the cost columns {list(costs)}")
-    median = quantile_values(df, [cost], [0.5], distinct_limit)[cost][0]
+    median = quantile_values(df, [cost], [0.5], row_limit)[cost][0]
     if median is None:
         return df.withColumn(output, F.lit(0))
     known = ~F.isnan(F.col(cost).cast("double"))
@@ -59,7 +59,7 @@ class RankBins:
 
 
 def fit_rank_bins(df: DataFrame, columns: Sequence[str], bins: int = 3,
-                  distinct_limit: int = DISTINCT_LIMIT) -> dict[str, RankBins]:
+                  row_limit: int = ROW_LIMIT) -> dict[str, RankBins]:
     """Find the rank-quantile bins of several columns together.
 
     Bin edges are quantiles of the average ranks; coinciding edges merge, so heavily tied
@@ -79,7 +79,7 @@ def fit_rank_bins(df: DataFrame, columns: Sequence[str], bins: int = 3,
         F.lit(i).cast("bigint") for i in p]))])
     requests = sizes.where(F.col("n") > 0).withColumn("positions", positions[F.col("feature")])
     found: dict[str, dict[int, tuple[float, float]]] = {}
-    for r in order_statistics(long, ["feature"], requests, distinct_limit).collect():
+    for r in order_statistics(long, ["feature"], requests, row_limit).collect():
         rank = r["less"] + (r["equal"] + 1) / 2
         found.setdefault(r["feature"], {})[r["position"]] = (r["value"], rank)
     return {c: _rank_bins(c, counts.get(c, 0), bins, found.get(c, {})) for c in columns}
@@ -141,7 +141,7 @@ def quality_scores(
     weights: Mapping[str, float] = presets.QUALITY_WEIGHTS,
     fill: float | None = None,
     output: str = "quality_score",
-    distinct_limit: int = DISTINCT_LIMIT,
+    row_limit: int = ROW_LIMIT,
 ) -> DataFrame:
     """Weighted sum of plan and network scores and of inverted deductible and premium terciles.
 
@@ -152,7 +152,7 @@ def quality_scores(
         raise ValueError(f"cannot derive a quality score without {missing}")
     costs = df.select(to_number(F.col(deductible)).alias("deductible"),
                       first_present(df, list(premiums)).alias("premium"))
-    fitted = fit_rank_bins(costs, ["deductible", "premium"], 3, distinct_limit)
+    fitted = fit_rank_bins(costs, ["deductible", "premium"], 3, row_limit)
     fills = {c: fill if fill is not None else median_bin(costs, fitted[c]) for c in fitted}
 
     scored = df.withColumns({"_deductible": to_number(F.col(deductible)),
@@ -171,12 +171,12 @@ def quality_scores(
     return scored.withColumn(output, score).drop("_deductible", "_premium")
 
 
-def grade(df: DataFrame, column: str, output: str, distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
+def grade(df: DataFrame, column: str, output: str, row_limit: int = ROW_LIMIT) -> DataFrame:
     """Low, medium or high by tercile of the average ranks of ``column``.
 
     With two distinct terciles the grades are low and high; with fewer every known row is medium.
     """
-    fitted = fit_rank_bins(df, [column], 3, distinct_limit)[column]
+    fitted = fit_rank_bins(df, [column], 3, row_limit)[column]
     number = fitted.bin()
     if fitted.bins == 3:
         names = F.when(number == 1, "low").when(number == 2, "medium").when(number == 3, "high")
@@ -188,7 +188,7 @@ def grade(df: DataFrame, column: str, output: str, distinct_limit: int = DISTINC
 
 
 def insurance_quality(df: DataFrame, output: str = "insurance_quality",
-                      distinct_limit: int = DISTINCT_LIMIT, **options) -> DataFrame:
+                      row_limit: int = ROW_LIMIT, **options) -> DataFrame:
     """``quality_scores`` graded into low, medium and high."""
-    scored = quality_scores(df, output="_quality", distinct_limit=distinct_limit, **options)
-    return grade(scored, "_quality", output, distinct_limit).drop("_quality")
+    scored = quality_scores(df, output="_quality", row_limit=row_limit, **options)
+    return grade(scored, "_quality", output, row_limit).drop("_quality")

@@ -1,23 +1,30 @@
 """Exact order statistics and quantiles with bounded state.
 
 Spark's ``percentile`` keeps one map of all distinct values of a group in a single task, which
-does not hold for a continuous column of a very large table. Here a group with few distinct
-values is reduced to value counts; a group with many is first narrowed, by sketch and exact
-counts, to brackets with few distinct values around the wanted positions.
+does not hold for a continuous column of a very large table. Here each pass counts the rows per
+cell of an equal-width grid, a small hash aggregation, and keeps only the cells that hold a wanted
+position; a few passes leave so few rows that their values can be sorted. Distributions on which
+equal-width cells make no headway are narrowed by quantile sketches instead. All counts are
+exact, so neither way changes the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.storage import side_table
 
-#: Most distinct values that one window partition may sort.
-DISTINCT_LIMIT = 1_000_000
+#: Most rows (after narrowing) or distinct values that one window partition may sort.
+ROW_LIMIT = 1_000_000
+#: Keys with no more rows than this are sorted without narrowing.
+DIRECT_ROWS = 50_000
 
+_GRID = 4_096
+_LEVELS = 4
 _CELLS = 1_000
 _ACCURACY = 10_000
 
@@ -27,34 +34,82 @@ def _marks(value: Column) -> Column:
     return F.percentile_approx(value, [i / _CELLS for i in range(_CELLS + 1)], _ACCURACY)
 
 
-def value_sizes(values: DataFrame, keys: Sequence[str], extras: Sequence[Column] = ()) -> DataFrame:
-    """Per key: ``n`` non-null values, estimated ``distinct_n`` and any extra aggregates."""
-    return values.groupBy(*keys).agg(
-        F.count("value").alias("n"), F.approx_count_distinct("value").alias("distinct_n"), *extras
-    )
+def value_sizes(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key: ``n`` non-null values and their range ``lo`` to ``hi``."""
+    value = F.col("value")
+    return values.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
 
 
-def order_statistics(
-    values: DataFrame,
-    keys: Sequence[str],
-    requests: DataFrame,
-    distinct_limit: int = DISTINCT_LIMIT,
-) -> DataFrame:
+def order_statistics(values: DataFrame, keys: Sequence[str], requests: DataFrame, row_limit: int = ROW_LIMIT) -> DataFrame:
     """Values at 0-based positions of the ascending order within each key.
 
     ``values`` holds the key columns and ``value``; ``requests`` holds one row per key with ``n``,
-    ``distinct_n`` and the array ``positions``. Returns key, ``position``, ``value``, ``less``
+    ``lo``, ``hi`` and the array ``positions``. Returns key, ``position``, ``value``, ``less``
     (values below it) and ``equal`` (values equal to it).
     """
     keys = list(keys)
     values = values.select(*keys, "value").where(F.col("value").isNotNull())
-    widest = requests.agg(F.max("distinct_n")).first()[0] or 0
-    if widest <= distinct_limit:
-        counts = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("equal"))
+    width = F.col("hi").cast("double") - F.col("lo").cast("double")
+    most, unbounded = requests.agg(F.max("n"), F.max(width.isin(float("inf")) | F.isnan(width))).first()
+    if most is None or most <= min(DIRECT_ROWS, row_limit):
         wanted = requests.select(*keys, F.transform("positions", lambda p: F.struct(
             p.alias("position"), F.lit(0).cast("bigint").alias("base"))).alias("wanted"))
-        return _pick(counts, keys, wanted)
-    return _narrowed(values, keys, requests, distinct_limit)
+        return _pick(_value_counts(values, keys), keys, wanted)
+    if unbounded:
+        return _narrowed(values, keys, requests, row_limit)
+    return _by_cells(values, keys, requests, row_limit)
+
+
+def _value_counts(values: DataFrame, keys: list[str]) -> DataFrame:
+    return values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("equal"))
+
+
+def _by_cells(values: DataFrame, keys: list[str], requests: DataFrame, row_limit: int) -> DataFrame:
+    """Split the range of each key into cells, keep those with a wanted position, and repeat."""
+    whole = values
+    ranges = requests.select(*keys, "lo", "hi", F.lit(0).cast("bigint").alias("base"), "positions")
+    path = list(keys)
+    answers: list[DataFrame] = []
+    for level in range(_LEVELS):
+        cell = f"_cell{level}"
+        values = values.join(ranges.select(*path, "lo", "hi"), path)
+        # Any non-decreasing numbering keeps the cells in order; rounding does not matter.
+        share = (F.col("value").cast("double") - F.col("lo").cast("double")) / (
+            F.col("hi").cast("double") - F.col("lo").cast("double"))
+        number = F.when(F.col("hi") == F.col("lo"), 0).otherwise(
+            F.greatest(F.lit(0), F.least(F.lit(_GRID - 1), F.floor(share * _GRID)))).cast("int")
+        values = values.select(*path, "value", number.alias(cell))
+        value = F.col("value")
+        counts = values.groupBy(*path, cell).agg(
+            F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        order = Window.partitionBy(*path).orderBy(cell)
+        # ``start`` is a column of its own: inside a lambda, a new alias would hide an old column.
+        placed = (
+            counts.withColumn("before", F.sum("n").over(order) - F.col("n"))
+            .join(ranges.select(*path, "base", F.col("positions").alias("asked")), path)
+            .withColumn("start", F.col("base") + F.col("before")).drop("base", "before")
+        )
+        inside = F.filter("asked", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n")))
+        path = [*path, cell]
+        held, _ = side_table(placed.withColumn("positions", inside).where(F.size("positions") > 0).select(
+            *path, "lo", "hi", "n", F.col("start").alias("base"), "positions"), "cells")
+        answers.append(held.where(F.col("lo") == F.col("hi")).select(
+            *keys, F.explode("positions").alias("position"), F.col("lo").alias("value"), F.col("base").alias("less"),
+            F.col("n").alias("equal")))
+        ranges = held.where(F.col("lo") < F.col("hi"))
+        widest = ranges.agg(F.max("n")).first()[0]
+        if widest is None:
+            break
+        if widest <= row_limit:
+            wanted = ranges.select(*path, F.transform("positions", lambda p: F.struct(
+                p.alias("position"), F.col("base").alias("base"))).alias("wanted"))
+            counted = _value_counts(values.join(ranges.select(*path), path), path)
+            answers.append(_pick(counted, path, wanted).select(*keys, "position", "value", "less", "equal"))
+            break
+    else:
+        left = ranges.groupBy(*keys).agg(F.flatten(F.collect_list("positions")).alias("positions"))
+        answers.append(_narrowed(whole, keys, requests.drop("positions").join(left, keys), row_limit))
+    return reduce(DataFrame.unionByName, answers)
 
 
 def _pick(counts: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
@@ -160,10 +215,13 @@ def _pick_inside(values: DataFrame, keys: list[str], ready: DataFrame) -> DataFr
     return _pick(counts, [*keys, "bracket"], wanted).drop("bracket")
 
 
+def _number(column: str) -> Column:
+    return F.nullif(F.col(column).cast("double"), F.lit(float("nan")))
+
+
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Long form ``by..., feature, value`` of numeric columns; NaN becomes null."""
-    value = [F.nullif(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns]
-    return df.select(*by, *value).unpivot(list(by), list(columns), "feature", "value")
+    return df.select(*by, *[_number(c).alias(c) for c in columns]).unpivot(list(by), list(columns), "feature", "value")
 
 
 def quantiles(
@@ -171,24 +229,22 @@ def quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    extras: Sequence[Column] = (),
-    distinct_limit: int = DISTINCT_LIMIT,
+    extras: Mapping[str, Callable[[Column], Column]] | None = None,
+    row_limit: int = ROW_LIMIT,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of many columns, optionally per group.
 
     Returns ``by..., feature, n`` with one column ``q0, q1, ...`` per probability and the
-    requested extra aggregates over ``value``, all of them from two passes over the data as long
-    as no group has more than ``distinct_limit`` distinct values.
+    ``extras``, further aggregates that the first pass computes along with the counts.
     """
     by = list(by)
     keys = [*by, "feature"]
-    long = melt(df, columns, by)
     if by:
-        long = long.where(_all_present(by))
-    sizes, _ = side_table(value_sizes(long, keys, extras), "sizes")
+        df = df.where(_all_present(by))
+    sizes, _ = side_table(_column_sizes(df, columns, by, dict(extras or {})), "sizes")
     spots = [p for prob in probs for p in (_floor_at(prob), _next_at(prob))]
     requests = sizes.where(F.col("n") > 0).withColumn("positions", F.array_distinct(F.array(*spots)))
-    found = order_statistics(long, keys, requests, distinct_limit)
+    found = order_statistics(melt(df, columns, by), keys, requests, row_limit)
     # A group holds at most two positions per probability, so this list is short.
     at = found.groupBy(*keys).agg(F.map_from_entries(
         F.collect_list(F.struct("position", "value"))).alias("at"))
@@ -197,14 +253,25 @@ def quantiles(
         _interpolated(F.col("at")[_floor_at(p)], F.col("at")[_next_at(p)], _fraction_at(p)).alias(f"q{i}")
         for i, p in enumerate(probs)
     ]
-    kept = [c for c in sizes.columns if c not in keys and c != "distinct_n"]
-    return joined.select(*keys, *kept, *columns_out)
+    return joined.select(*keys, "n", *(extras or {}), *columns_out)
+
+
+def _column_sizes(df: DataFrame, columns: Sequence[str], by: list[str],
+                  extras: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """``value_sizes`` of several columns from one aggregation without repeating the rows."""
+    figures = {"n": F.count, "lo": F.min, "hi": F.max, **extras}
+    numbers = df.select(*by, *[_number(c).alias(c) for c in columns])
+    packed = numbers.groupBy(*by).agg(*[
+        F.struct(F.lit(c).alias("feature"), *[f(F.col(c)).alias(n) for n, f in figures.items()]).alias(f"_{i}")
+        for i, c in enumerate(columns)])
+    return packed.select(*by, F.explode(F.array(*[F.col(f"_{i}") for i in range(len(columns))])).alias("s")).select(
+        *by, "s.*")
 
 
 def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    distinct_limit: int = DISTINCT_LIMIT) -> dict[str, list[float | None]]:
+                    row_limit: int = ROW_LIMIT) -> dict[str, list[float | None]]:
     """``quantiles`` of whole columns as plain numbers, one short list per column."""
-    rows = quantiles(df, columns, probs, distinct_limit=distinct_limit).collect()
+    rows = quantiles(df, columns, probs, row_limit=row_limit).collect()
     found = {r["feature"]: [r[f"q{i}"] for i in range(len(probs))] for r in rows}
     return {c: found.get(c, [None] * len(probs)) for c in columns}
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.cleaning import is_missing
-from tabwright.operators.orderstats import DISTINCT_LIMIT, quantiles
+from tabwright.operators.orderstats import ROW_LIMIT, quantiles
 from tabwright.operators.roles import NUMERIC, columns_of_type, present
 from tabwright.storage import SIDE_TABLE_ROWS
 
@@ -87,16 +87,14 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (),
-             distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
+             row_limit: int = ROW_LIMIT) -> DataFrame:
     """Count, mean, sample standard deviation, minimum, exact quartiles and maximum per column.
 
     With ``by`` there is one row per group and column; rows without a group are left out.
     """
     columns = present(df, columns or columns_of_type(df, *NUMERIC))
-    value = F.col("value")
-    found = quantiles(df, columns, QUARTILES, by, extras=[
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max")], distinct_limit=distinct_limit)
+    found = quantiles(df, columns, QUARTILES, by, {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max},
+                      row_limit)
     return found.select(*by, "feature", F.col("n").alias("count"), "mean", "std", "min",
                         F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"), "max")
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.hashing import HASH_RANGE, key_hash, key_uniform
-from tabwright.operators.orderstats import DISTINCT_LIMIT, order_statistics, value_sizes
+from tabwright.operators.orderstats import ROW_LIMIT, order_statistics, value_sizes
 from tabwright.storage import SIDE_TABLE_ROWS
 
 PARTS = ("train", "val", "test")
@@ -51,21 +51,21 @@ def _strata(df: DataFrame, key: Column, seed: int, stratum: str | None) -> tuple
 
 
 def hash_cuts(values: DataFrame, rows: Sequence, positions: Mapping[str, Sequence[int]],
-              distinct_limit: int = DISTINCT_LIMIT) -> dict[str, dict[int, int]]:
+              row_limit: int = ROW_LIMIT) -> dict[str, dict[int, int]]:
     """Hash values that have exactly ``position`` smaller ones within their stratum.
 
     A position at or past the end has no such value and gets the upper limit of the hash.
     """
     sizes = {r["stratum"]: r["n"] for r in rows}
     cuts = {k: {p: HASH_RANGE for p in positions.get(k, ()) if p >= n} for k, n in sizes.items()}
-    wanted = [(r["stratum"], r["n"], r["distinct_n"], sorted({p for p in positions.get(r["stratum"], ())
+    wanted = [(r["stratum"], r["n"], r["lo"], r["hi"], sorted({p for p in positions.get(r["stratum"], ())
                                                               if p < r["n"]})) for r in rows]
-    wanted = [w for w in wanted if w[3]]
+    wanted = [w for w in wanted if w[4]]
     if wanted:
-        names = ["stratum", "n", "distinct_n", "positions"]
+        names = ["stratum", "n", "lo", "hi", "positions"]
         requests = values.sparkSession.createDataFrame(
             pa.Table.from_pylist([dict(zip(names, w)) for w in wanted]))
-        for r in order_statistics(values, ["stratum"], requests, distinct_limit).collect():
+        for r in order_statistics(values, ["stratum"], requests, row_limit).collect():
             cuts[r["stratum"]][r["position"]] = r["value"]
     return cuts
 
@@ -80,7 +80,7 @@ def _cut_of(cuts: Mapping[str, int], stratum: str | None) -> Column:
 
 def exact_split(df: DataFrame, key: Column, seed: int = 42, test: float = 0.2, val: float = 0.2,
                 stratum: str | None = None, output: str = "part",
-                distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
+                row_limit: int = ROW_LIMIT) -> DataFrame:
     """Assign train, val and test with exact sizes, optionally with equal shares per stratum.
 
     The test part is rounded up first, then the validation part of what remains.
@@ -96,7 +96,7 @@ def exact_split(df: DataFrame, key: Column, seed: int = 42, test: float = 0.2, v
     n_val = math.ceil(round(val / (1.0 - test) * (n - n_test), 6))
     vals = allocate(rest, n_val)
     positions = {k: (tests[k], tests[k] + vals[k]) for k in sizes}
-    cuts = hash_cuts(values, rows, positions, distinct_limit)
+    cuts = hash_cuts(values, rows, positions, row_limit)
     h = key_hash(key, seed)
     first = _cut_of({k: cuts[k][positions[k][0]] for k in sizes}, stratum)
     second = _cut_of({k: cuts[k][positions[k][1]] for k in sizes}, stratum)
@@ -104,14 +104,14 @@ def exact_split(df: DataFrame, key: Column, seed: int = 42, test: float = 0.2, v
 
 
 def subsample(df: DataFrame, key: Column, n: int, seed: int = 42, stratum: str | None = None,
-              distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
+              row_limit: int = ROW_LIMIT) -> DataFrame:
     """Exactly ``n`` rows with the strata in proportion; a smaller table is returned whole."""
     values, rows = _strata(df, key, seed, stratum)
     sizes = {r["stratum"]: r["n"] for r in rows}
     if sum(sizes.values()) <= n:
         return df
     taken = allocate(sizes, n)
-    cuts = hash_cuts(values, rows, {k: (taken[k],) for k in sizes}, distinct_limit)
+    cuts = hash_cuts(values, rows, {k: (taken[k],) for k in sizes}, row_limit)
     return df.where(key_hash(key, seed) < _cut_of({k: cuts[k][taken[k]] for k in sizes}, stratum))
 
 
@@ -129,14 +129,14 @@ def _fold_sizes(sizes: Mapping[str, int], k: int) -> dict[str, list[int]]:
 
 
 def folds(df: DataFrame, key: Column, k: int = 3, seed: int = 42, stratum: str | None = None,
-          output: str = "fold", distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
+          output: str = "fold", row_limit: int = ROW_LIMIT) -> DataFrame:
     """Number the rows 0 to k-1 for cross-validation, in consecutive blocks of the hash order."""
     values, rows = _strata(df, key, seed, stratum)
     if not rows:
         return df.withColumn(output, F.lit(0))
     sizes = _fold_sizes({r["stratum"]: r["n"] for r in rows}, k)
     ends = {s: [sum(blocks[: i + 1]) for i in range(k - 1)] for s, blocks in sizes.items()}
-    cuts = hash_cuts(values, rows, ends, distinct_limit)
+    cuts = hash_cuts(values, rows, ends, row_limit)
     h = key_hash(key, seed)
     fold = F.lit(0)
     for i in range(k - 1):
@@ -155,7 +155,7 @@ def prefix_sizes(n: int, fractions: Sequence[float]) -> list[int]:
 
 
 def nested_prefixes(df: DataFrame, key: Column, fractions: Sequence[float], seed: int = 42, fold: str = "fold",
-                    k: int = 3, distinct_limit: int = DISTINCT_LIMIT) -> list[dict]:
+                    k: int = 3, row_limit: int = ROW_LIMIT) -> list[dict]:
     """Cut points of growing training sets, each containing the smaller ones.
 
     For each fold, the training rows are those of the other folds in hash order. The result lists
@@ -167,5 +167,5 @@ def nested_prefixes(df: DataFrame, key: Column, fractions: Sequence[float], seed
     rows = value_sizes(values, ["stratum"]).collect()
     by_fold = {r["stratum"]: r["n"] for r in rows}
     sizes = prefix_sizes(by_fold["0"], fractions)
-    cuts = hash_cuts(values, rows, {f: sizes for f in by_fold}, distinct_limit)
+    cuts = hash_cuts(values, rows, {f: sizes for f in by_fold}, row_limit)
     return [{"fold": int(f), "size": s, "cut": cuts[f][s]} for f in sorted(by_fold) for s in sizes]

@@ -67,15 +67,23 @@ class Trainer:
     def prepare(self, train: DataFrame) -> PipelineModel:
         return Pipeline(stages=preparation_stages(self.roles)).fit(train)
 
-    def fit(self, name: str, params: Mapping, train: DataFrame) -> PipelineModel:
+    def prepared_rows(self, prepared: PipelineModel, df: DataFrame) -> DataFrame:
+        """Feature vectors and labels, kept for the passes of the fits that share them."""
+        return prepared.transform(self.labelled(df)).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit_all(self, params: Mapping[str, Mapping], train: DataFrame) -> dict[str, PipelineModel]:
+        """Fit several models on one preparation of the training rows."""
         prepared = self.prepare(train)
-        data = prepared.transform(self.labelled(train)).select("features", "label").persist(
-            StorageLevel.MEMORY_AND_DISK)
+        rows = self.prepared_rows(prepared, train)
         try:
-            learner = self.build(name, params).fit(data)
+            with ThreadPoolExecutor(self.parallelism) as pool:
+                learners = list(pool.map(lambda n: self.build(n, params[n]).fit(rows), params))
         finally:
-            data.unpersist()
-        return PipelineModel([*prepared.stages, learner])
+            rows.unpersist()
+        return {n: PipelineModel([*prepared.stages, learner]) for n, learner in zip(params, learners)}
+
+    def fit(self, name: str, params: Mapping, train: DataFrame) -> PipelineModel:
+        return self.fit_all({name: params}, train)[name]
 
     def accuracy(self, scored: DataFrame) -> float:
         return scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
@@ -86,37 +94,37 @@ class Trainer:
             return class_metrics(confusion(scored, "label", "prediction")).first()["f1_macro"]
         return -regression_metrics(scored, "label", "prediction").first()["rmse"]
 
-    def search(self, name: str, grid: Mapping[str, Sequence], train: DataFrame, fold: str, k: int) -> Search:
-        """Best grid point by its mean score over the folds, refitted on all of ``train``.
+    def search(self, grids: Mapping[str, Mapping[str, Sequence]], train: DataFrame, fold: str, k: int) -> dict[str, Search]:
+        """Best grid point of each model by its mean score over the folds, refitted on all of ``train``.
 
-        Preparation is fitted once per fold, on the training rows of that fold only, and shared
-        by all grid points. The first of equally good points wins.
+        Preparation is fitted once per fold, on the training rows of that fold only, and shared by
+        all models and grid points. The first of equally good points wins.
         """
-        points = grid_points(grid)
-        if len(points) == 1:
-            return Search(points[0], [], self.fit(name, points[0], train))
-        by_point: list[list[float]] = [[] for _ in points]
-        for f in range(k):
+        points = {name: grid_points(grid) for name, grid in grids.items()}
+        tried = [(name, p) for name, ps in points.items() if len(ps) > 1 for p in ps]
+        by_point: list[list[float]] = [[] for _ in tried]
+        for f in range(k if tried else 0):
             fit_rows, held_rows = train.where(F.col(fold) != f), train.where(F.col(fold) == f)
             prepared = self.prepare(fit_rows)
-            ready = [prepared.transform(self.labelled(part)).select("features", "label").persist(
-                StorageLevel.MEMORY_AND_DISK) for part in (fit_rows, held_rows)]
+            fit_on, held = (self.prepared_rows(prepared, part) for part in (fit_rows, held_rows))
 
-            def one(params: dict) -> float:
-                return self.score(self.build(name, params).fit(ready[0]).transform(ready[1]))
+            def one(job: tuple[str, dict]) -> float:
+                return self.score(self.build(*job).fit(fit_on).transform(held))
 
             try:
                 with ThreadPoolExecutor(self.parallelism) as pool:
-                    for scores, value in zip(by_point, pool.map(one, points)):
+                    for scores, value in zip(by_point, pool.map(one, tried)):
                         scores.append(value)
             finally:
-                for part in ready:
-                    part.unpersist()
-        means = [sum(s) / k for s in by_point]
-        best = means.index(max(means))
-        return Search(points[best], [{"params": p, "fold_scores": s, "mean_score": m}
-                                     for p, s, m in zip(points, by_point, means)],
-                      self.fit(name, points[best], train))
+                fit_on.unpersist()
+                held.unpersist()
+        found: dict[str, list[dict]] = {name: [] for name in grids}
+        for (name, p), scores in zip(tried, by_point):
+            found[name].append({"params": p, "fold_scores": scores, "mean_score": sum(scores) / k})
+        best = {name: max(found[name], key=lambda s: s["mean_score"])["params"] if found[name] else points[name][0]
+                for name in grids}
+        fitted = self.fit_all(best, train)
+        return {name: Search(best[name], found[name], fitted[name]) for name in grids}
 
 
 def classes_of(df: DataFrame, target: str) -> list[str]:
@@ -176,9 +184,9 @@ def train_classifiers(
     known = df.where(F.col(target).isNotNull())
     parts, train = _partitioned(known, key, roles.columns, target, target, folds, seed, test, val)
     trainer = Trainer(roles, target, classes, seed, parallelism)
-    rows, confusions, searches = [], None, {}
-    for name in models:
-        found = searches[name] = trainer.search(name, grids.get(name, {}), train, "_fold", folds)
+    searches = trainer.search({m: grids.get(m, {}) for m in models}, train, "_fold", folds)
+    rows, confusions = [], None
+    for name, found in searches.items():
         scored = class_scores(found.model.transform(trainer.labelled(parts.where(F.col("_part") != "train"))), classes)
         scored = scored.select("_part", F.col(target).cast("string").alias("actual"),
                                "predicted", "scores").persist(StorageLevel.MEMORY_AND_DISK)
@@ -215,9 +223,9 @@ def train_regressors(
     roles = roles or infer_roles(without(df, [target, *drop]))
     parts, train = _partitioned(known, key, roles.columns, target, None, folds, seed, test, val)
     trainer = Trainer(roles, target, None, seed, parallelism)
-    rows, searches = [], {}
-    for name in models:
-        found = searches[name] = trainer.search(name, grids.get(name, {}), train, "_fold", folds)
+    searches = trainer.search({m: grids.get(m, {}) for m in models}, train, "_fold", folds)
+    rows = []
+    for name, found in searches.items():
         scored = found.model.transform(trainer.labelled(parts.where(F.col("_part") != "train")))
         row = {"model": name}
         for r in regression_metrics(scored, "label", "prediction", ["_part"]).collect():
@@ -276,8 +284,7 @@ def learning_curves(
                 train = data.where((F.col("_fold") != step["fold"]) & (F.col("_hash") < step["cut"]))
                 held = data.where(F.col("_fold") == step["fold"])
                 prepared = trainer.prepare(train)
-                ready = [prepared.transform(trainer.labelled(part)).select("features", "label").persist(
-                    StorageLevel.MEMORY_AND_DISK) for part in (train, held)]
+                ready = [trainer.prepared_rows(prepared, part) for part in (train, held)]
                 found = []
                 for name, params in models.items():
                     learner = trainer.build(name, params).fit(ready[0])

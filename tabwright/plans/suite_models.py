@@ -200,7 +200,7 @@ def grid_search(spark, folder):
     df = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice")
     folded = sampling.folds(df, F.col("p_partkey"), 3)
     trainer = tuning.Trainer(Roles(["p_size"]), "p_retailprice")
-    found = trainer.search("ridge", {"alpha": [0.1, 1.0, 10.0, 100.0]}, folded, "fold", 3)
+    found = trainer.search({"ridge": {"alpha": [0.1, 1.0, 10.0, 100.0]}}, folded, "fold", 3)["ridge"]
     rows = [{"alpha": s["params"]["alpha"], "mean_score": round(s["mean_score"], 4),
              "best": s["params"] == found.params} for s in found.scores]
     return spark.createDataFrame(pa.Table.from_pylist(rows))

@@ -27,7 +27,7 @@ def qcut_bins(values, q=3):
 def test_rank_bins_match_qcut(spark, values, limit):
     data = pd.DataFrame({"id": range(len(values)), "x": [None if v is None else float(v) for v in values]})
     df = spark.createDataFrame(data)
-    bins = fit_rank_bins(df, ["x"], distinct_limit=limit)["x"]
+    bins = fit_rank_bins(df, ["x"], row_limit=limit)["x"]
     got = df.select("id", bins.bin().alias("b")).toPandas().sort_values("id")["b"].astype(float)
     np.testing.assert_array_equal(got.to_numpy(), qcut_bins(data["x"]).to_numpy())
 
@@ -107,7 +107,7 @@ def test_assignment_ignores_partitioning(people, assign, column):
 
 @pytest.mark.parametrize("limit", [1_000_000, 100])
 def test_exact_split_sizes(people, limit):
-    got = sampling.exact_split(people, F.col("id"), stratum="y", distinct_limit=limit).toPandas()
+    got = sampling.exact_split(people, F.col("id"), stratum="y", row_limit=limit).toPandas()
     assert got["part"].value_counts().to_dict() == {"test": 601, "val": 600, "train": 1800}
     for _, part in got.groupby("y"):
         assert abs((part["part"] == "test").sum() - 0.2 * len(part)) <= 1

@@ -24,12 +24,15 @@ def frame():
     })
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 40])
+@pytest.mark.parametrize("limit,levels,grid", [(1_000_000, 4, 4096), (40, 4, 64), (40, 4, 4096), (40, 1, 4)])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_quantiles_match_numpy_whatever_the_limit(spark, frame, limit, by):
+def test_quantiles_match_numpy_whatever_the_limit(spark, frame, limit, levels, grid, by, monkeypatch):
+    from tabwright.operators import orderstats
+    monkeypatch.setattr(orderstats, "_LEVELS", levels)
+    monkeypatch.setattr(orderstats, "_GRID", grid)
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
     columns = ["heavy", "tail", "few", "constant"]
-    got = quantiles(spark.createDataFrame(frame), columns, probs, by, distinct_limit=limit).toPandas()
+    got = quantiles(spark.createDataFrame(frame), columns, probs, by, row_limit=limit).toPandas()
     groups = [((), frame)] if not by else [((k,), part) for k, part in frame.groupby("g")]
     assert len(got) == len(groups) * len(columns)
     for key, part in groups:
@@ -41,10 +44,17 @@ def test_quantiles_match_numpy_whatever_the_limit(spark, frame, limit, by):
                                        part[c].quantile(list(probs)).to_numpy(), rtol=1e-12)
 
 
+def test_infinite_values_take_the_sketch_route(spark):
+    data = pd.DataFrame({"x": np.concatenate([RNG.normal(size=500), [np.inf, -np.inf, np.inf]])})
+    got = quantiles(spark.createDataFrame(data), ["x"], (0.0, 0.5, 1.0), row_limit=20).first()
+    ordered = np.sort(data["x"])
+    assert (got["q0"] == -np.inf or np.isnan(got["q0"])) and got["q1"] == ordered[251]
+
+
 def test_one_value_holding_nearly_all_rows_does_not_stall_the_search(spark):
     rare = RNG.normal(0, 1, 300)
     data = pd.DataFrame({"x": np.concatenate([np.full(200_000, 9.0), rare])})
-    got = quantiles(spark.createDataFrame(data), ["x"], (0.0005, 0.001, 0.5), distinct_limit=5).first()
+    got = quantiles(spark.createDataFrame(data), ["x"], (0.0005, 0.001, 0.5), row_limit=5).first()
     np.testing.assert_allclose([got["q0"], got["q1"], got["q2"]],
                                data["x"].quantile([0.0005, 0.001, 0.5]))
 
@@ -119,7 +129,7 @@ def test_bin_means_match_cut(spark, frame):
 
 def test_box_statistics(spark, frame):
     df = spark.createDataFrame(frame)
-    got = box_statistics(df, "tail", "g", distinct_limit=50).toPandas().set_index("g")
+    got = box_statistics(df, "tail", "g", row_limit=50).toPandas().set_index("g")
     outliers = box_outliers(df, "tail", "g").toPandas()
     for g, part in frame.groupby("g"):
         q1, q2, q3 = part["tail"].quantile([0.25, 0.5, 0.75])
