@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.operators.orderstats import ROW_LIMIT, quantiles
+from tabwright.storage import side_table
 
 
 def _limits(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -100,9 +101,11 @@ def bin_means(df: DataFrame, x: str, y: str, bins: int = 5) -> DataFrame:
 def _fences(df: DataFrame, column: str, group: str, row_limit: int) -> DataFrame:
     quartiles = quantiles(df, [column], (0.25, 0.5, 0.75), [group], row_limit=row_limit)
     reach = (F.col("q2") - F.col("q0")) * 1.5
-    return quartiles.select(group, F.col("q0").alias("q1"), F.col("q1").alias("median"),
+    fences = quartiles.select(group, F.col("q0").alias("q1"), F.col("q1").alias("median"),
                             F.col("q2").alias("q3"), (F.col("q0") - reach).alias("fence_lo"),
                             (F.col("q2") + reach).alias("fence_hi"))
+    # A local relation is broadcast, so the rows stay where they are however large a group is.
+    return side_table(fences, "fences")[0]
 
 
 def box_statistics(df: DataFrame, column: str, group: str, row_limit: int = ROW_LIMIT) -> DataFrame:

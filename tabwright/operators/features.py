@@ -16,6 +16,9 @@ from tabwright.operators.orderstats import ROW_LIMIT, quantile_values
 from tabwright.operators.roles import Roles, infer_roles
 from tabwright.storage import SIDE_TABLE_ROWS
 
+#: Most texts of one column that are encoded as features.
+MAX_CATEGORIES = 100_000
+
 NUMERIC_SUFFIX = "__num"
 TEXT_SUFFIX = "__cat"
 
@@ -76,18 +79,28 @@ class MedianScalerModel(Model, _Standardised, DefaultParamsReadable, DefaultPara
 
 
 class ModeImputer(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):
-    """Fill missing texts by the most frequent one, the smallest on ties."""
+    """Fill missing texts by the most frequent one, the smallest on ties.
+
+    A column with more than ``maxCategories`` texts is refused, since each text becomes a feature
+    of its own and their list is held by the driver."""
+
+    maxCategories = Param(Params._dummy(), "maxCategories", "most texts per column", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, outputCols=None):
+    def __init__(self, *, inputCols=None, outputCols=None, maxCategories=MAX_CATEGORIES):
         super().__init__()
+        self._setDefault(maxCategories=MAX_CATEGORIES)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> "ModeImputerModel":
         from tabwright.operators.profile import describe_text
 
         inputs = self.getOrDefault("inputCols")
-        top = {r["feature"]: r["top"] for r in describe_text(df, inputs).select("feature", "top").collect()}
+        found = describe_text(df, inputs).select("feature", "unique", "top").collect()
+        many = [r["feature"] for r in found if r["unique"] > self.getOrDefault("maxCategories")]
+        if many:
+            raise ValueError(f"too many different texts in {many}; leave these columns out of the features")
+        top = {r["feature"]: r["top"] for r in found}
         return ModeImputerModel()._set(inputCols=inputs, outputCols=self.getOrDefault("outputCols"),
                                        fills=[top.get(c) or "" for c in inputs])
 

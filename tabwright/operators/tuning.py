@@ -25,6 +25,10 @@ from tabwright.operators.scoring import class_scores
 from tabwright.storage import use_checkpoints, written
 
 
+#: Most classes a classifier is trained on.
+MAX_CLASSES = 1_000
+
+
 def grid_points(grid: Mapping[str, Sequence]) -> list[dict]:
     """Every combination of a parameter grid, in the order of sorted names."""
     names = sorted(grid)
@@ -128,9 +132,12 @@ class Trainer:
 
 
 def classes_of(df: DataFrame, target: str) -> list[str]:
-    """Ascending classes of a target, as text."""
-    rows = df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("c")).count()
-    return sorted(r["c"] for r in rows.select("c").collect())
+    """Ascending classes of a target, as text; a target with very many values is refused."""
+    known = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("c")).distinct()
+    rows = known.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{target!r} has more than {MAX_CLASSES} values, too many for classes")
+    return sorted(r["c"] for r in rows)
 
 
 @dataclass
