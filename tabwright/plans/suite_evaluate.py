@@ -317,14 +317,11 @@ def catalogue(spark, folder):
     return rounded(catalogue_of(spark, folder), 4)
 
 
-@query("r2_feature_search", f"""WITH {catalogue_sql()} SELECT feature, mean, row_number() OVER (ORDER BY mean DESC NULLS LAST, feature) AS place
-    FROM catalogue WHERE lower(feature) LIKE '%or%'""")
+@query("r2_feature_search", f"""WITH {catalogue_sql()} SELECT feature, mean, missing FROM catalogue
+    WHERE lower(feature) LIKE '%or%' ORDER BY mean DESC NULLS LAST, feature""")
 def feature_search(spark, folder):
-    """The place is the row's position in the sorted report, kept because comparison ignores order."""
     found = reports.search_features(catalogue_of(spark, folder), "OR", "mean", False)
-    ordered = found.agg(F.collect_list(F.struct("feature", "mean")).alias("rows"))
-    placed = ordered.select(F.posexplode("rows").alias("i", "r"))
-    return rounded(placed.select("r.feature", "r.mean", (F.col("i") + 1).cast("bigint").alias("place")), 4)
+    return rounded(found.select("feature", "mean", "missing"), 4)
 
 
 @query("r3_kind_counts", f"""WITH {catalogue_sql()} SELECT count(*) FILTER (dtype <> 'str') AS numeric,

@@ -160,3 +160,44 @@ def test_profile_edge_cases(spark):
     tied = spark.createDataFrame([("b",), ("a",)], "t string")
     assert profile.describe_text(tied).first()["top"] == "a"
     assert [tuple(r) for r in profile.value_counts(df, "t").collect()] == [("a", 2, 1.0)]
+
+
+def test_whole_profile_and_prepared_rows(spark, tmp_path):
+    n = 200
+    df = spark.createDataFrame(pd.DataFrame({
+        "person_id": range(n), "age": [20 + i % 60 for i in range(n)], "bmi": [None if i % 9 == 0 else 18.0 + i % 20 for i in range(n)],
+        "smoker": [None if i % 11 == 0 else ("Never", "Current")[i % 2] for i in range(n)], "hypertension": [i % 2 for i in range(n)],
+        "annual_medical_cost": [100.0 * i for i in range(n)]}))
+    found = jobs.profile_table(df)
+    assert {"shape", "describe_by_label", "box_age", "rate_smoker", "share_smoker"} <= set(found)
+    rows = {name: t.collect() for name, t in found.items()}
+    assert rows["shape"][0]["n_rows"] == n and sum(r["n"] for r in rows["label_counts"]) == n
+    assert sum(r["n"] for r in rows["histograms"] if r["feature"] == "age") == n
+    assert {r["feature"] for r in rows["describe_by_label"]} == {"age", "bmi", "annual_medical_cost"}
+    prepared = jobs.prepare_and_save(df, str(tmp_path / "rows"))
+    again = spark.read.option("header", True).csv(str(tmp_path / "rows"))
+    assert again.columns == prepared.columns == [
+        "age", "bmi", "annual_medical_cost", "smoker=Current", "smoker=Never", "hypertension"]
+    assert again.count() == n and again.where("bmi IS NULL").count() == 0
+
+
+def test_large_category_lists_are_refused(spark):
+    from tabwright.operators.features import ModeImputer
+    from tabwright.operators.tuning import classes_of
+    df = spark.range(2000).selectExpr("cast(id as string) t")
+    with pytest.raises(ValueError, match="t"):
+        ModeImputer(inputCols=["t"], outputCols=["u"], maxCategories=100).fit(df)
+    with pytest.raises(ValueError, match="classes"):
+        classes_of(df, "t")
+
+
+def test_shared_folder_comes_from_the_session(spark, tmp_path):
+    from tabwright import storage
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert storage.scratch_path(spark, "x").startswith(str(tmp_path))
+        wide, small = storage.side_table(spark.range(50), "s", limit=10)
+        assert not small and wide.count() == 50 and list(tmp_path.iterdir())
+        assert storage.side_table(spark.range(5), "s", limit=10)[1]
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
