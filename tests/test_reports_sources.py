@@ -191,13 +191,29 @@ def test_large_category_lists_are_refused(spark):
         classes_of(df, "t")
 
 
-def test_shared_folder_comes_from_the_session(spark, tmp_path):
+def test_large_side_tables_are_written_to_the_shared_folder(spark, tmp_path, monkeypatch):
     from tabwright import storage
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert storage.scratch_path(spark, "x").startswith(str(tmp_path))
-        wide, small = storage.side_table(spark.range(50), "s", limit=10)
-        assert not small and wide.count() == 50 and list(tmp_path.iterdir())
-        assert storage.side_table(spark.range(5), "s", limit=10)[1]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(storage, "shared_root", lambda session: str(tmp_path))
+    wide, small = storage.side_table(spark.range(50), "s", limit=10)
+    assert not small and wide.count() == 50 and list(tmp_path.iterdir())
+    assert storage.side_table(spark.range(5), "s", limit=10)[1]
+
+
+def test_shared_folder_is_read_from_the_session():
+    from tabwright import storage
+
+    class Conf:
+        def get(self, name, default):
+            return {"spark.checkpoint.dir": "/shared/run/"}.get(name, default)
+
+    class Cluster:
+        conf = Conf()
+
+    assert storage.shared_root(Cluster()) == "/shared/run"
+
+    class Unset(Cluster):
+        conf = type("C", (), {"get": lambda self, name, default: default})()
+        sparkContext = type("S", (), {"master": "yarn"})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_root(Unset())
