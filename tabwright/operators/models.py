@@ -131,7 +131,7 @@ def build_classifier(name: str, params: Mapping | None = None, classes: int = 2,
     if name in ("logreg_l2", "logreg_l1"):
         return PenalisedLogistic(C=float(p.get("C", 1.0)), penalty=name[-2:],
                                  balanced=p.get("class_weight") == "balanced", **columns,
-                                 maxIter=int(p.get("max_iter", 5000)))
+                                 maxIter=int(p.get("max_iter", 5000)), tol=float(p.get("tol", 1e-6)))
     if name == "rf":
         return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p.get("max_depth")),
                                       featureSubsetStrategy="sqrt", seed=seed, maxBins=max_bins,

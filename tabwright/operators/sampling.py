@@ -21,6 +21,11 @@ from tabwright.storage import SIDE_TABLE_ROWS
 PARTS = ("train", "val", "test")
 
 
+def _place(key: Column, seed: int | None) -> Column:
+    """Place of a row in the random order. With ``seed=None`` the key is such a place already."""
+    return key if seed is None else key_hash(key, seed)
+
+
 def random_split(df: DataFrame, key: Column, seed: int = 42, test: float = 0.2, val: float = 0.2,
                  output: str = "part") -> DataFrame:
     """Assign train, val and test in the expected proportions, without a shuffle."""
@@ -39,9 +44,9 @@ def allocate(sizes: Mapping, total: int) -> dict:
     return given
 
 
-def _strata(df: DataFrame, key: Column, seed: int, stratum: str | None) -> tuple[DataFrame, list]:
+def _strata(df: DataFrame, key: Column, seed: int | None, stratum: str | None) -> tuple[DataFrame, list]:
     label = F.col(stratum).cast("string") if stratum else F.lit("all")
-    values = df.select(label.alias("stratum"), key_hash(key, seed).alias("value"))
+    values = df.select(label.alias("stratum"), _place(key, seed).alias("value"))
     rows = value_sizes(values, ["stratum"]).limit(SIDE_TABLE_ROWS + 1).collect()
     if len(rows) > SIDE_TABLE_ROWS:
         raise ValueError(f"{stratum!r} has more than {SIDE_TABLE_ROWS} values, too many strata")
@@ -78,7 +83,7 @@ def _cut_of(cuts: Mapping[str, int], stratum: str | None) -> Column:
     return F.create_map(*pairs)[F.col(stratum).cast("string")]
 
 
-def exact_split(df: DataFrame, key: Column, seed: int = 42, test: float = 0.2, val: float = 0.2,
+def exact_split(df: DataFrame, key: Column, seed: int | None = 42, test: float = 0.2, val: float = 0.2,
                 stratum: str | None = None, output: str = "part",
                 row_limit: int = ROW_LIMIT) -> DataFrame:
     """Assign train, val and test with exact sizes, optionally with equal shares per stratum.
@@ -97,13 +102,13 @@ def exact_split(df: DataFrame, key: Column, seed: int = 42, test: float = 0.2, v
     vals = allocate(rest, n_val)
     positions = {k: (tests[k], tests[k] + vals[k]) for k in sizes}
     cuts = hash_cuts(values, rows, positions, row_limit)
-    h = key_hash(key, seed)
+    h = _place(key, seed)
     first = _cut_of({k: cuts[k][positions[k][0]] for k in sizes}, stratum)
     second = _cut_of({k: cuts[k][positions[k][1]] for k in sizes}, stratum)
     return df.withColumn(output, F.when(h < first, "test").when(h < second, "val").otherwise("train"))
 
 
-def subsample(df: DataFrame, key: Column, n: int, seed: int = 42, stratum: str | None = None,
+def subsample(df: DataFrame, key: Column, n: int, seed: int | None = 42, stratum: str | None = None,
               row_limit: int = ROW_LIMIT) -> DataFrame:
     """Exactly ``n`` rows with the strata in proportion; a smaller table is returned whole."""
     values, rows = _strata(df, key, seed, stratum)
@@ -112,7 +117,7 @@ def subsample(df: DataFrame, key: Column, n: int, seed: int = 42, stratum: str |
         return df
     taken = allocate(sizes, n)
     cuts = hash_cuts(values, rows, {k: (taken[k],) for k in sizes}, row_limit)
-    return df.where(key_hash(key, seed) < _cut_of({k: cuts[k][taken[k]] for k in sizes}, stratum))
+    return df.where(_place(key, seed) < _cut_of({k: cuts[k][taken[k]] for k in sizes}, stratum))
 
 
 def _fold_sizes(sizes: Mapping[str, int], k: int) -> dict[str, list[int]]:
@@ -128,7 +133,7 @@ def _fold_sizes(sizes: Mapping[str, int], k: int) -> dict[str, list[int]]:
     return dealt
 
 
-def folds(df: DataFrame, key: Column, k: int = 3, seed: int = 42, stratum: str | None = None,
+def folds(df: DataFrame, key: Column, k: int = 3, seed: int | None = 42, stratum: str | None = None,
           output: str = "fold", row_limit: int = ROW_LIMIT) -> DataFrame:
     """Number the rows 0 to k-1 for cross-validation, in consecutive blocks of the hash order."""
     values, rows = _strata(df, key, seed, stratum)
@@ -137,7 +142,7 @@ def folds(df: DataFrame, key: Column, k: int = 3, seed: int = 42, stratum: str |
     sizes = _fold_sizes({r["stratum"]: r["n"] for r in rows}, k)
     ends = {s: [sum(blocks[: i + 1]) for i in range(k - 1)] for s, blocks in sizes.items()}
     cuts = hash_cuts(values, rows, ends, row_limit)
-    h = key_hash(key, seed)
+    h = _place(key, seed)
     fold = F.lit(0)
     for i in range(k - 1):
         fold = fold + (h >= _cut_of({s: cuts[s][ends[s][i]] for s in ends}, stratum)).cast("int")
@@ -146,7 +151,7 @@ def folds(df: DataFrame, key: Column, k: int = 3, seed: int = 42, stratum: str |
 
 def random_row(df: DataFrame, key: Column, seed: int = 42) -> DataFrame:
     """One row, chosen by the smallest hash of its key."""
-    return df.orderBy(key_hash(key, seed), key).limit(1)
+    return df.orderBy(_place(key, seed), key).limit(1)
 
 
 def prefix_sizes(n: int, fractions: Sequence[float]) -> list[int]:
@@ -154,7 +159,7 @@ def prefix_sizes(n: int, fractions: Sequence[float]) -> list[int]:
     return sorted({int(f * n) for f in fractions})
 
 
-def nested_prefixes(df: DataFrame, key: Column, fractions: Sequence[float], seed: int = 42, fold: str = "fold",
+def nested_prefixes(df: DataFrame, key: Column, fractions: Sequence[float], seed: int | None = 42, fold: str = "fold",
                     k: int = 3, row_limit: int = ROW_LIMIT) -> list[dict]:
     """Cut points of growing training sets, each containing the smaller ones.
 
@@ -163,7 +168,7 @@ def nested_prefixes(df: DataFrame, key: Column, fractions: Sequence[float], seed
     fractions of the training set of the first fold.
     """
     others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold)).cast("array<string>")
-    values = df.select(F.explode(others).alias("stratum"), key_hash(key, seed).alias("value"))
+    values = df.select(F.explode(others).alias("stratum"), _place(key, seed).alias("value"))
     rows = value_sizes(values, ["stratum"]).collect()
     by_fold = {r["stratum"]: r["n"] for r in rows}
     sizes = prefix_sizes(by_fold["0"], fractions)

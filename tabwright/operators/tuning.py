@@ -166,10 +166,10 @@ def _metrics_frame(like: DataFrame, rows: list[dict], order: str, ascending: boo
 def _partitioned(df: DataFrame, key: Column, features: Sequence[str], target: str, stratum: str | None, k: int,
                  seed: int, test: float, val: float) -> tuple[DataFrame, DataFrame]:
     """The needed columns with part and fold, written once since each fit reads them many times."""
-    hashed = df.select(*features, target, key.cast("string").alias("_key"))
-    hashed = written(hashed, "training")
-    parts = sampling.exact_split(hashed, F.col("_key"), seed, test, val, stratum, "_part")
-    train = sampling.folds(parts.where(F.col("_part") == "train"), F.col("_key"), k, seed, stratum, "_fold")
+    place = F.col("_place")
+    table = written(df.select(*features, target, key_hash(key, seed).alias("_place")), "training")
+    parts = sampling.exact_split(table, place, None, test, val, stratum, "_part")
+    train = sampling.folds(parts.where(F.col("_part") == "train"), place, k, None, stratum, "_fold")
     return parts, train
 
 
@@ -277,18 +277,18 @@ def learning_curves(
     for e in experiments:
         roles = infer_roles(without(df, [e.target, *e.drop, *exclude]))
         known = written(df.where(F.col(e.target).isNotNull()).select(
-            *roles.columns, e.target, key.cast("string").alias("_key")), "curves")
+            *roles.columns, e.target, key_hash(key, seed).alias("_place")), "curves")
         if rows is not None:
-            known = sampling.subsample(known, F.col("_key"), rows, seed, e.target)
-        data = sampling.folds(known.withColumn("_hash", key_hash(F.col("_key"), seed)), F.col("_key"), folds, seed, e.target, "_fold")
+            known = sampling.subsample(known, F.col("_place"), rows, None, e.target)
+        data = sampling.folds(known, F.col("_place"), folds, None, e.target, "_fold")
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             classes = classes_of(data, e.target)
-            steps = sampling.nested_prefixes(data, F.col("_key"), fractions, seed, "_fold", folds)
+            steps = sampling.nested_prefixes(data, F.col("_place"), fractions, None, "_fold", folds)
             trainer = Trainer(roles, e.target, classes, seed)
 
             def one_size(step: dict) -> list[dict]:
-                train = data.where((F.col("_fold") != step["fold"]) & (F.col("_hash") < step["cut"]))
+                train = data.where((F.col("_fold") != step["fold"]) & (F.col("_place") < step["cut"]))
                 held = data.where(F.col("_fold") == step["fold"])
                 prepared = trainer.prepare(train)
                 ready = [trainer.prepared_rows(prepared, part) for part in (train, held)]

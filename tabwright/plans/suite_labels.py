@@ -315,13 +315,13 @@ def nested_prefixes(spark, folder):
     from tabwright.presets import CURVE_FRACTIONS
 
     key = F.col("o_orderkey")
-    folded = sampling.folds(table(spark, folder, "orders"), key, 3, stratum="o_orderstatus")
-    steps = sampling.nested_prefixes(folded, key, CURVE_FRACTIONS)
+    hashed = table(spark, folder, "orders").select("o_orderstatus", "o_totalprice", key_hash(key, 42).alias("h"))
+    folded = sampling.folds(hashed, F.col("h"), 3, None, "o_orderstatus")
+    steps = sampling.nested_prefixes(folded, F.col("h"), CURVE_FRACTIONS, None)
     sets = F.array(*[F.struct(F.lit(s["fold"]).alias("fold"), F.lit(s["size"]).cast("bigint").alias("train_size"),
                               F.lit(s["cut"]).cast("bigint").alias("cut")) for s in steps])
     held = F.filter(sets, lambda s: (s["fold"] != F.col("fold")) & (F.col("h") < s["cut"]))
-    rows = folded.select("fold", "o_totalprice", key_hash(key, 42).alias("h"))
-    return rounded(rows.select("o_totalprice", F.explode(held).alias("s")).groupBy("s.fold", "s.train_size").agg(
+    return rounded(folded.select("o_totalprice", F.explode(held).alias("s")).groupBy("s.fold", "s.train_size").agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg("o_totalprice").alias("mean_price")), 4)
 
 

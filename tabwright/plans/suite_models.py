@@ -11,7 +11,7 @@ from tabwright.operators.features import feature_names
 from tabwright.operators.roles import Roles
 from tabwright.plans.suite import query, rounded, table
 from tabwright.plans.suite_evaluate import METRICS_SQL, PREDICTED_SQL, WIDE_SQL, counts_of, metrics_of, wide_metrics
-from tabwright.plans.suite_labels import HASHED_SQL, CONST_SQL, folds_sql
+from tabwright.plans.suite_labels import folds_sql
 from tabwright.plans.suite_profile import describe_sql
 from tabwright.sources import readers, writers
 from tabwright.storage import scratch_path, use_checkpoints, written
@@ -228,6 +228,94 @@ def model_loop(spark, folder):
         F.round(f"{s}_{m}", 6 if m == "r2" else 3).alias(f"{s}_{m}") for s in ("val", "test") for m in ("mae", "rmse", "r2")])
 
 
+# ---- learners on one grouping column, which have to reproduce figures of the groups ----------
+
+
+def fitted_scores(df, roles, target, classes, name, params, key):
+    """Class scores of a model on its own training rows, one column per class."""
+    fitted = tuning.Trainer(roles, target, classes).fit(name, params, df)
+    scored = scoring.class_scores(fitted.transform(df), classes)
+    return scored.select(*key, *[F.round(F.col("scores")[i], 3).alias(f"p_{c}") for i, c in enumerate(classes)])
+
+
+def rich_orders(spark, folder):
+    return table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderpriority", "o_orderstatus", (F.col("o_totalprice") > 200000).cast("int").alias("rich"))
+
+
+RICH_SQL = """rates AS (SELECT o_orderpriority, avg((o_totalprice > 200000)::INT) AS p FROM orders GROUP BY 1)"""
+PRIORITY = Roles([], ["o_orderpriority"])
+#: A penalty so weak that the fit follows the group rates.
+FREE = {"C": 1e9, "tol": 1e-12}
+
+
+@query("m1_logistic_group_rates", f"""WITH {RICH_SQL} SELECT o_orderkey, round(1 - p, 3) AS p_0, round(p, 3) AS p_1
+    FROM orders JOIN rates USING (o_orderpriority)""")
+def logistic_group_rates(spark, folder):
+    return fitted_scores(rich_orders(spark, folder), PRIORITY, "rich", ["0", "1"], "logreg_l2", FREE, ["o_orderkey"])
+
+
+@query("m1_logistic_balanced_rates", f"""WITH {RICH_SQL}, a AS (SELECT avg((o_totalprice > 200000)::INT) AS q FROM orders),
+    b AS (SELECT o_orderpriority, (p / q) / (p / q + (1 - p) / (1 - q)) AS p FROM rates, a)
+    SELECT o_orderkey, round(1 - p, 3) AS p_0, round(p, 3) AS p_1 FROM orders JOIN b USING (o_orderpriority)""")
+def logistic_balanced_rates(spark, folder):
+    return fitted_scores(rich_orders(spark, folder), PRIORITY, "rich", ["0", "1"], "logreg_l2",
+                         {**FREE, "class_weight": "balanced"}, ["o_orderkey"])
+
+
+@query("m1_multinomial_group_rates", """WITH r AS (SELECT o_orderpriority, avg((o_orderstatus = 'F')::INT) AS f,
+        avg((o_orderstatus = 'O')::INT) AS o, avg((o_orderstatus = 'P')::INT) AS p FROM orders GROUP BY 1)
+    SELECT o_orderkey, round(f, 3) AS p_F, round(o, 3) AS p_O, round(p, 3) AS p_P FROM orders JOIN r USING (o_orderpriority)""")
+def multinomial_group_rates(spark, folder):
+    return fitted_scores(rich_orders(spark, folder), PRIORITY, "o_orderstatus", ["F", "O", "P"], "logreg_l2", FREE, ["o_orderkey"])
+
+
+@query("m2_logistic_l1_group_rates", f"""WITH {RICH_SQL} SELECT o_orderkey, round(1 - p, 3) AS p_0, round(p, 3) AS p_1
+    FROM orders JOIN rates USING (o_orderpriority)""")
+def logistic_l1_group_rates(spark, folder):
+    return fitted_scores(rich_orders(spark, folder), PRIORITY, "rich", ["0", "1"], "logreg_l1", FREE, ["o_orderkey"])
+
+
+LINES = Roles(["l_linenumber"])
+
+
+def numbered_lines(spark, folder):
+    use_checkpoints(spark)
+    return table(spark, folder, "lineitem").select(
+        "l_linenumber", "l_returnflag", "l_extendedprice", (F.col("l_quantity") > 20).cast("int").alias("big"))
+
+
+@query("m4_boosted_group_scores", """WITH s AS (SELECT l_linenumber, CASE WHEN l_quantity > 20 THEN 1 ELSE -1 END AS s FROM lineitem),
+    one AS (SELECT l_linenumber, avg(s) AS f FROM s GROUP BY 1),
+    two AS (SELECT l_linenumber, any_value(f) + 0.1::DOUBLE * avg(4 * s / (1 + exp(2 * s * f))) AS f
+        FROM s JOIN one USING (l_linenumber) GROUP BY 1)
+    SELECT l_linenumber, round(1 - 1 / (1 + exp(-2 * f)), 3) AS p_0, round(1 / (1 + exp(-2 * f)), 3) AS p_1
+    FROM lineitem JOIN two USING (l_linenumber)""")
+def boosted_group_scores(spark, folder):
+    """Two rounds of boosting on one column whose every value becomes a leaf."""
+    return fitted_scores(numbered_lines(spark, folder), LINES, "big", ["0", "1"], "gbr",
+                         {"n_estimators": 2, "learning_rate": 0.1, "max_depth": 6}, ["l_linenumber"])
+
+
+@query("m4_boosted_three_class_scores", """WITH o AS (SELECT l_linenumber,
+        1 / (1 + exp(-2 * avg(CASE l_returnflag WHEN 'A' THEN 1 ELSE -1 END))) AS a,
+        1 / (1 + exp(-2 * avg(CASE l_returnflag WHEN 'N' THEN 1 ELSE -1 END))) AS n,
+        1 / (1 + exp(-2 * avg(CASE l_returnflag WHEN 'R' THEN 1 ELSE -1 END))) AS r FROM lineitem GROUP BY 1)
+    SELECT l_linenumber, round(a / (a + n + r), 3) AS p_A, round(n / (a + n + r), 3) AS p_N, round(r / (a + n + r), 3) AS p_R
+    FROM lineitem JOIN o USING (l_linenumber)""")
+def boosted_three_class_scores(spark, folder):
+    return fitted_scores(numbered_lines(spark, folder), LINES, "l_returnflag", ["A", "N", "R"], "gbr",
+                         {"n_estimators": 1, "max_depth": 6}, ["l_linenumber"])
+
+
+@query("m10_boosted_group_means", """WITH m AS (SELECT l_linenumber, avg(l_extendedprice) AS prediction FROM lineitem GROUP BY 1)
+    SELECT l_linenumber, round(prediction, 3) AS prediction FROM lineitem JOIN m USING (l_linenumber)""")
+def boosted_group_means(spark, folder):
+    df = numbered_lines(spark, folder)
+    fitted = tuning.Trainer(LINES, "l_extendedprice").fit("gbr", {"n_estimators": 3, "max_depth": 6}, df)
+    return fitted.transform(df).select("l_linenumber", F.round("prediction", 3).alias("prediction"))
+
+
 # ---- learners without one ------------------------------------------------------------------
 
 
