@@ -135,7 +135,7 @@ def build_classifier(name: str, params: Mapping | None = None, classes: int = 2,
     if name == "rf":
         return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p.get("max_depth")),
                                       featureSubsetStrategy="sqrt", seed=seed, maxBins=max_bins,
-                                      cacheNodeIds=True, **columns)
+                                      bootstrap=bool(p.get("bootstrap", True)), cacheNodeIds=True, **columns)
     if name == "gbr":
         boosted = GBTClassifier(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
                                 maxDepth=int(p.get("max_depth", 3)), seed=seed, maxBins=max_bins, **columns)
@@ -157,7 +157,8 @@ def build_regressor(name: str, params: Mapping | None = None, seed: int = 42, fe
         return RandomForestRegressor(
             numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p.get("max_depth")),
             minInstancesPerNode=max(1, int(p.get("min_samples_split", 2)) // 2),
-            featureSubsetStrategy="all", seed=seed, maxBins=max_bins, cacheNodeIds=True, **columns)
+            bootstrap=bool(p.get("bootstrap", True)), featureSubsetStrategy="all", seed=seed, maxBins=max_bins,
+            cacheNodeIds=True, **columns)
     if name == "gbr":
         return GBTRegressor(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
                             maxDepth=int(p.get("max_depth", 3)), seed=seed, maxBins=max_bins, **columns)

@@ -285,6 +285,26 @@ def numbered_lines(spark, folder):
         "l_linenumber", "l_returnflag", "l_extendedprice", (F.col("l_quantity") > 20).cast("int").alias("big"))
 
 
+@query("m3_forest_group_classes", """WITH c AS (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2),
+    m AS (SELECT l_linenumber, l_returnflag AS predicted FROM c QUALIFY row_number() OVER (
+        PARTITION BY l_linenumber ORDER BY n DESC, l_returnflag) = 1)
+    SELECT l_linenumber, predicted FROM lineitem JOIN m USING (l_linenumber)""")
+def forest_group_classes(spark, folder):
+    """Without resampling every tree of a forest on one column predicts the commonest class of a group."""
+    df, classes = numbered_lines(spark, folder), ["A", "N", "R"]
+    fitted = tuning.Trainer(LINES, "l_returnflag", classes).fit(
+        "rf", {"n_estimators": 3, "max_depth": 6, "bootstrap": False}, df)
+    return scoring.class_scores(fitted.transform(df), classes).select("l_linenumber", "predicted")
+
+
+@query("m9_forest_group_means", """WITH m AS (SELECT l_linenumber, avg(l_extendedprice) AS prediction FROM lineitem GROUP BY 1)
+    SELECT l_linenumber, round(prediction, 3) AS prediction FROM lineitem JOIN m USING (l_linenumber)""")
+def forest_group_means(spark, folder):
+    df = numbered_lines(spark, folder)
+    fitted = tuning.Trainer(LINES, "l_extendedprice").fit("rf", {"n_estimators": 3, "max_depth": 6, "bootstrap": False}, df)
+    return fitted.transform(df).select("l_linenumber", F.round("prediction", 3).alias("prediction"))
+
+
 @query("m4_boosted_group_scores", """WITH s AS (SELECT l_linenumber, CASE WHEN l_quantity > 20 THEN 1 ELSE -1 END AS s FROM lineitem),
     one AS (SELECT l_linenumber, avg(s) AS f FROM s GROUP BY 1),
     two AS (SELECT l_linenumber, any_value(f) + 0.1::DOUBLE * avg(4 * s / (1 + exp(2 * s * f))) AS f
