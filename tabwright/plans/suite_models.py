@@ -11,7 +11,7 @@ from tabwright.operators.features import feature_names
 from tabwright.operators.roles import Roles
 from tabwright.plans.suite import query, rounded, table
 from tabwright.plans.suite_evaluate import METRICS_SQL, PREDICTED_SQL, WIDE_SQL, counts_of, metrics_of, wide_metrics
-from tabwright.plans.suite_labels import folds_sql
+from tabwright.plans.suite_labels import HASHED_SQL, exact_sql, folds_sql, hash_sql
 from tabwright.plans.suite_profile import describe_sql
 from tabwright.sources import readers, writers
 from tabwright.storage import scratch_path, use_checkpoints, written
@@ -336,6 +336,78 @@ def boosted_group_means(spark, folder):
     return fitted.transform(df).select("l_linenumber", F.round("prediction", 3).alias("prediction"))
 
 
+# ---- loops over learners that predict the commonest class of a group -----------------------
+
+MAJORITY = {"n_estimators": [1], "max_depth": [5], "bootstrap": [False]}
+GRADED_SQL = f"""h AS (SELECT o_orderkey, substr(o_orderpriority, 1, 1)::INT AS priority, o_custkey % 6 AS desk,
+    (o_totalprice > 200000)::INT AS rich, {hash_sql('o_orderkey')} AS h FROM orders)"""
+
+
+def graded_orders(spark, folder):
+    use_checkpoints(spark)
+    return table(spark, folder, "orders").select(
+        "o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), (F.col("o_custkey") % 6).alias("desk"),
+        (F.col("o_totalprice") > 200000).cast("int").alias("rich"))
+
+
+def majority_sql(name: str, feature: str, train: str, keys: str = "") -> str:
+    """Commonest class of each value of ``feature`` in ``train``, the lower class on ties."""
+    k = keys + ", " if keys else ""
+    return f"""{name} AS (SELECT {k}{feature}, CASE WHEN sum(rich) * 2 > count(*) THEN 1 ELSE 0 END AS predicted
+        FROM {train} GROUP BY ALL)"""
+
+
+def judged_sql(feature: str, prefix: str) -> str:
+    """Class metrics of the majority rule on the validation and test parts."""
+    return f"""{majority_sql(prefix + 'm', feature, "(SELECT * FROM parts WHERE part = 'train')")},
+    {prefix}c AS (SELECT part AS split, rich AS actual, predicted, count(*) AS n FROM parts JOIN {prefix}m USING ({feature})
+        WHERE part <> 'train' GROUP BY ALL),
+    {prefix}s AS (SELECT split, actual AS label, n AS t, 0 AS p, CASE WHEN actual = predicted THEN n ELSE 0 END AS tp FROM {prefix}c
+        UNION ALL SELECT split, predicted, 0, n, 0 FROM {prefix}c),
+    {prefix}l AS (SELECT split, label, sum(t)::DOUBLE AS t, sum(p)::DOUBLE AS p, sum(tp)::DOUBLE AS tp FROM {prefix}s GROUP BY ALL),
+    {prefix} AS (SELECT split, sum(tp) / sum(t) AS accuracy, avg(2 * tp / (t + p)) AS f1_macro,
+        coalesce((sum(tp) * sum(t) - sum(t * p)) / nullif(sqrt((sum(t) * sum(t) - sum(p * p)) * (sum(t) * sum(t) - sum(t * t))), 0), 0) AS mcc
+        FROM {prefix}l GROUP BY ALL)"""
+
+
+PARTED_SQL = exact_sql("rich").replace(HASHED_SQL, GRADED_SQL)
+
+
+@query("m13_majority_loop", f"""WITH {PARTED_SQL}, {judged_sql('priority', 'j')} SELECT 'rf' AS model, """ + ", ".join(
+    f"round(max({m}) FILTER (split = '{s}'), 8) AS {s}_{m}" for s in ("val", "test") for m in ("accuracy", "f1_macro", "mcc")) + " FROM j")
+def majority_loop(spark, folder):
+    run = tuning.train_classifiers(graded_orders(spark, folder), "rich", F.col("o_orderkey"), ["rf"], drop=["o_orderkey", "desk"],
+                                   grids={"rf": MAJORITY})
+    return rounded(run.metrics.select("model", *[f"{s}_{m}" for s in ("val", "test") for m in ("accuracy", "f1_macro", "mcc")]), 8)
+
+
+@query("m14_majority_curves", f"""WITH {GRADED_SQL}, {folds_sql('h', 'rich')},
+    trains AS (SELECT f.fold AS held, o.*, row_number() OVER (PARTITION BY f.fold ORDER BY o.h, o.o_orderkey) AS place
+        FROM (SELECT DISTINCT fold FROM folded) f JOIN folded o ON o.fold <> f.fold),
+    steps AS (SELECT DISTINCT floor(x * (SELECT count(*) FROM folded WHERE fold <> 0)::DOUBLE)::BIGINT AS train_size
+        FROM (SELECT unnest([0.1, 0.5, 1.0])::DOUBLE AS x)),
+    seen AS (SELECT train_size, trains.* FROM steps JOIN trains ON place <= train_size),
+    {majority_sql('m', 'priority', 'seen', 'train_size, held')},
+    scores AS (SELECT train_size, held, avg((rich = predicted)::INT) AS t, NULL AS v FROM seen JOIN m USING (train_size, held, priority) GROUP BY 1, 2
+        UNION ALL SELECT train_size, held, NULL, avg((rich = predicted)::INT) FROM m JOIN folded f ON f.fold = held AND f.priority = m.priority
+        GROUP BY 1, 2)
+    SELECT 'rich' AS experiment, 'rf' AS model, train_size, round(avg(t), 8) AS train_mean, round(stddev_pop(t), 8) AS train_std,
+        round(avg(v), 8) AS val_mean, round(stddev_pop(v), 8) AS val_std FROM scores GROUP BY train_size""")
+def majority_curves(spark, folder):
+    return rounded(tuning.learning_curves(
+        graded_orders(spark, folder), [tuning.Experiment("rich", "rich", ("desk",))], F.col("o_orderkey"),
+        {"rf": {k: v[0] for k, v in MAJORITY.items()}}, fractions=[0.1, 0.5, 1.0], rows=None, exclude=["o_orderkey"]), 8)
+
+
+@query("m15_majority_ablation", f"""WITH {PARTED_SQL}, {judged_sql('priority', 'ja')}, {judged_sql('desk', 'jb')}
+    SELECT 'rf' AS model, round(a.accuracy, 8) AS first, round(b.accuracy, 8) AS second, round(b.accuracy - a.accuracy, 8) AS change
+    FROM ja a JOIN jb b USING (split) WHERE split = 'test'""")
+def majority_ablation(spark, folder):
+    experiments = [tuning.Experiment("priority", "rich", ("desk", "o_orderkey")), tuning.Experiment("desk", "rich", ("priority", "o_orderkey"))]
+    metrics, _ = tuning.run_experiments(graded_orders(spark, folder), experiments, F.col("o_orderkey"), models=["rf"], grids={"rf": MAJORITY})
+    return rounded(reports.compare_experiments(metrics, "priority", "desk"), 8)
+
+
 # ---- learners without one ------------------------------------------------------------------
 
 
