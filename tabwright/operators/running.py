@@ -9,7 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.storage import SIDE_TABLE_ROWS
+from tabwright.storage import SIDE_TABLE_ROWS, side_table, written
 
 #: Most rows that one window partition may sort.
 WINDOW_ROWS = 1_000_000
@@ -104,8 +104,9 @@ def average_ranks(df: DataFrame, column: str, output: str = "rank", hot_values:
     ranks = table.select("_value", "_n", (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(output))
     total, distinct = keyed.agg(F.count("_value"), F.approx_count_distinct("_value")).first()
     if distinct <= SIDE_TABLE_ROWS:
-        return keyed.join(ranks.drop("_n"), "_value", "left").drop("_value")
+        return keyed.join(side_table(ranks.drop("_n"), "ranks")[0], "_value", "left").drop("_value")
 
+    ranks = written(ranks, "ranks")
     hot = F.broadcast(ranks.where(F.col("_n") * hot_values > total).drop("_n"))
     cold = ranks.where(F.col("_n") * hot_values <= total).drop("_n")
     frequent = keyed.join(hot, "_value")

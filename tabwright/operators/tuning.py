@@ -163,13 +163,19 @@ def _metrics_frame(like: DataFrame, rows: list[dict], order: str, ascending: boo
     return table.orderBy(F.col(order).asc() if ascending else F.col(order).desc(), "model")
 
 
+def _tuned(models: Sequence[str], grids: Mapping[str, Mapping]) -> bool:
+    return any(len(grid_points(grids.get(m, {}))) > 1 for m in models)
+
+
 def _partitioned(df: DataFrame, key: Column, features: Sequence[str], target: str, stratum: str | None, k: int,
-                 seed: int, test: float, val: float) -> tuple[DataFrame, DataFrame]:
+                 seed: int, test: float, val: float, tuned: bool) -> tuple[DataFrame, DataFrame]:
     """The needed columns with part and fold, written once since each fit reads them many times."""
     place = F.col("_place")
     table = written(df.select(*features, target, key_hash(key, seed).alias("_place")), "training")
     parts = sampling.exact_split(table, place, None, test, val, stratum, "_part")
-    train = sampling.folds(parts.where(F.col("_part") == "train"), place, k, None, stratum, "_fold")
+    train = parts.where(F.col("_part") == "train")
+    if tuned:
+        train = sampling.folds(train, place, k, None, stratum, "_fold")
     return parts, train
 
 
@@ -189,7 +195,7 @@ def train_classifiers(
     classes = classes_of(df, target)
     roles = roles or infer_roles(without(df, [target, *drop]))
     known = df.where(F.col(target).isNotNull())
-    parts, train = _partitioned(known, key, roles.columns, target, target, folds, seed, test, val)
+    parts, train = _partitioned(known, key, roles.columns, target, target, folds, seed, test, val, _tuned(models, grids))
     trainer = Trainer(roles, target, classes, seed, parallelism)
     searches = trainer.search({m: grids.get(m, {}) for m in models}, train, "_fold", folds)
     rows, confusions = [], None
@@ -228,7 +234,7 @@ def train_regressors(
     grids = grids or presets.REGRESSOR_GRIDS
     known = df.where(F.col(target).isNotNull())
     roles = roles or infer_roles(without(df, [target, *drop]))
-    parts, train = _partitioned(known, key, roles.columns, target, None, folds, seed, test, val)
+    parts, train = _partitioned(known, key, roles.columns, target, None, folds, seed, test, val, _tuned(models, grids))
     trainer = Trainer(roles, target, None, seed, parallelism)
     searches = trainer.search({m: grids.get(m, {}) for m in models}, train, "_fold", folds)
     rows = []
