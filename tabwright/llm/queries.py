@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import exact_dedup, topk, warc
+from tabwright.llm import exact_dedup, langid, mixing, resharding, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,35 @@ FROM d
 """
 
 
+@query
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mix = mixing.plan_mix(table(spark, folder, "documents"))
+    return mixing.taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The layout that op3 starts from, and the shards that it fills.
+OLD_SHARDS, NEW_SHARDS = 12, 16
+
+
+@query
+def op3_resharding(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    old = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(OLD_SHARDS)), F.lit(0)).cast("int")
+    rows = table(spark, folder, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
+                                                    F.crc32(text).alias("text_crc32"), old.alias("old_shard"))
+    placed = resharding.reshard(rows, "old_shard", "size", lambda total: resharding.even_capacities(total, NEW_SHARDS),
+                                [F.col("doc_id").asc_nulls_last(), F.col("text_crc32")])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = langid.identify(docs, langid.learn(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
+
+
 @query
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.archive_round_trip(spark, table(spark, folder, "pages"))
