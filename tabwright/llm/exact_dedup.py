@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tabwright.llm.tables import text_bytes
+from tabwright.llm.tables import portions, text_bytes
 from tabwright.storage import written
 
 #: Bytes of a text that a splitter holds; the digest orders texts that agree in them, so splitters stay short.
@@ -30,13 +30,11 @@ _FLUSH_ROWS = 8192
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 1024):
-            part = batch.slice(start, 1024)
-            bodies = [b.lower() for b in text_bytes(part.column("text"))]  # bytes.lower() changes A-Z alone
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([b[:SPLITTER_BYTES] for b in bodies], pa.binary()),
-                 pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary()), pa.array(bodies, pa.binary())], schema=_KEYED)
+    for part in portions(batches, "text"):
+        bodies = [b.lower() for b in text_bytes(part.column("text"))]  # bytes.lower() changes A-Z alone
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array([b[:SPLITTER_BYTES] for b in bodies], pa.binary()),
+             pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary()), pa.array(bodies, pa.binary())], schema=_KEYED)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

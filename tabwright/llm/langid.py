@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwright.llm.tables import portions
+
 #: The sample that a language is learned from: so many documents, and of all of them together so many bytes.
 SAMPLE_DOCS = 64
 SAMPLE_BYTES = 16_384
@@ -158,8 +160,6 @@ def parsers(samples: dict[str, bytes]) -> list[Parser]:
     return _parsers[key]
 
 
-_ROWS = 2048
-
 
 def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text[:256]) or any(c.isalpha() for c in text)
@@ -178,23 +178,21 @@ def identify(docs: DataFrame, samples: dict[str, bytes], carry: Sequence[str] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = parsers(samples)
-        for whole in batches:
-            for start in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(start, _ROWS)
-                texts = [folded(t) if t and has_letter(t) else b"" for t in batch.column("text_").to_pylist()]
-                lengths = np.array([len(t) for t in texts], np.int64)
-                clear = (lengths > 0) & bool(known)
-                names, score, bits = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts)
-                if clear.any():
-                    rates = np.stack([p.entropy(p.phrases(texts), lengths) for p in known])
-                    best = rates.argmin(axis=0)
-                    least = rates.min(axis=0)
-                    # Shares of 2^-bits over a stretch of 8 bytes.
-                    share = 1 / np.exp2(-8 * (rates - least)).sum(axis=0)
-                    score = np.where(clear, share, 0.0)
-                    names = [known[b].language if c else UNKNOWN for b, c in zip(best, clear)]
-                    bits = [float(x) if c else None for x, c in zip(least, clear)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(score, pa.float64()),
-                                                  pa.array(bits, pa.float64())], [*carry, "lang_pred", "score", "bits"])
+        for batch in portions(batches, "text_", 4096, 1 << 23):
+            texts = [folded(t) if t and has_letter(t) else b"" for t in batch.column("text_").to_pylist()]
+            lengths = np.array([len(t) for t in texts], np.int64)
+            clear = (lengths > 0) & bool(known)
+            names, score, bits = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts)
+            if clear.any():
+                rates = np.stack([p.entropy(p.phrases(texts), lengths) for p in known])
+                best = rates.argmin(axis=0)
+                least = rates.min(axis=0)
+                # Shares of 2^-bits over a stretch of 8 bytes.
+                share = 1 / np.exp2(-8 * (rates - least)).sum(axis=0)
+                score = np.where(clear, share, 0.0)
+                names = [known[b].language if c else UNKNOWN for b, c in zip(best, clear)]
+                bits = [float(x) if c else None for x, c in zip(least, clear)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(score, pa.float64()),
+                                              pa.array(bits, pa.float64())], [*carry, "lang_pred", "score", "bits"])
 
     return docs.select(*carry, F.col("text").cast("string").alias("text_")).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.components import components
 from tabwright.llm.shingles import mixed, shingle_sets
-from tabwright.llm.tables import text_bytes
+from tabwright.llm.tables import portions, text_bytes
 from tabwright.storage import written
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -95,21 +95,19 @@ def _sets(kind: str, words: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(percent)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                ids = batch.column("doc_id")
-                sets = shingle_sets(text_bytes(batch.column("text")), words)
-                digests = pa.array([_digest(s, i) for s, i in zip(sets, ids.to_pylist())], pa.binary())
-                if kind == "sizes":
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), digests], ["doc_id", "n_shingles", "digest"])
-                else:
-                    lists = [block_keys(s, classes) if len(s) else s for s in sets] if kind == "keys" else sets
-                    ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                    flat = np.concatenate(lists).view(np.int64) if len(lists) else np.empty(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([*([ids] if kind == "keys" else [batch.column("cluster"), ids, batch.column("digest")]), digests,
-                                                      pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                                                     ["doc_id", "digest", "keys"] if kind == "keys" else ["cluster", "node", "wanted", "digest", "shingles"])
+        for batch in portions(batches, "text"):
+            ids = batch.column("doc_id")
+            sets = shingle_sets(text_bytes(batch.column("text")), words)
+            digests = pa.array([_digest(s, i) for s, i in zip(sets, ids.to_pylist())], pa.binary())
+            if kind == "sizes":
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), digests], ["doc_id", "n_shingles", "digest"])
+            else:
+                lists = [block_keys(s, classes) if len(s) else s for s in sets] if kind == "keys" else sets
+                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                flat = np.concatenate(lists).view(np.int64) if len(lists) else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*([ids] if kind == "keys" else [batch.column("cluster"), ids, batch.column("digest")]), digests,
+                                                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                                                 ["doc_id", "digest", "keys"] if kind == "keys" else ["cluster", "node", "wanted", "digest", "shingles"])
 
     return run
 

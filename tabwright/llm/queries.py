@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import exact_dedup, langid, mixing, ngram_join, resharding, topk, warc
+from tabwright.llm import exact_dedup, langid, mixing, ngram_join, pieces, resharding, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +64,18 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits")
 
 
+#: A public SentencePiece model with byte fallback.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op5_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("original", F.col("text"))
+    encoded = pieces.encode(docs, MODEL_FILE, carry=["doc_id", "original"])
+    return pieces.decoded(encoded, MODEL_FILE).select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("text").eqNullSafe(F.col("original")).alias("lossless"), "ids")
+
+
 @query
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.archive_round_trip(spark, table(spark, folder, "pages"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,18 @@ from tabwright.storage import written
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, rows: int = 1024, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that none has more than ``rows`` rows or, unless a single row has, ``size`` bytes in ``column``."""
+    for batch in batches:
+        filled = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = filled[start - 1] if start else 0
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(filled, before + size, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
