@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import exact_dedup, langid, mixing, ngram_join, pieces, resharding, topk, warc
+from tabwright.llm import exact_dedup, langid, mixing, ngram_join, pieces, resharding, suffix_dedup, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,7 +73,7 @@ def op5_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("original", F.col("text"))
     encoded = pieces.encode(docs, MODEL_FILE, carry=["doc_id", "original"])
     return pieces.decoded(encoded, MODEL_FILE).select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("text").eqNullSafe(F.col("original")).alias("lossless"), "ids")
+        "doc_id", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.col("text").eqNullSafe(F.col("original")).alias("lossless"), "ids")
 
 
 @query
@@ -95,6 +95,11 @@ FROM g
 """
 
 
+@query
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, folder, "documents"))

@@ -14,7 +14,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE_VALUES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
+BYTE_VALUES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -24,7 +24,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n:
         size = max(n, 2 * PIECE_BYTES)
         inverse = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -42,9 +42,9 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     inside[1:-1] = ~_IS_SPACE[flat]
     change = np.diff(inside)
     starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-    up, down = _power_tables(len(flat) + 1)
+    up, down = power_tables(len(flat) + 1)
     total = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[flat] * up[:len(flat)], out=total[1:])
+    np.cumsum(BYTE_VALUES[flat] * up[:len(flat)], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
