@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 CANDIDATE_ROWS = 4096
 QUERY_ROWS = 2048
 #: Entries taken from every list between two tests of the stopping rule.
-STEP = 16
+STEP = 64
 
 _RESULT = "query_id long, vec_id long, score long"
 
@@ -26,30 +26,29 @@ def threshold_top_k(query: np.ndarray, query_id: int, vectors: np.ndarray, ids:
     """
     rows = len(ids)
     used = np.flatnonzero(query)
-    met = np.zeros(rows, bool)
+    down, up = used[query[used] > 0], used[query[used] < 0]
+    met = ids == query_id  # the query's own row
+    left = rows - int(met.sum())
     scores, found = np.empty(0, vectors.dtype), np.empty(0, np.int64)
     depth = 0
-    own = ids == query_id
-    met[own] = True
-    while depth < rows:
-        upto = min(rows, depth + step)
-        if len(used):
-            down = lists[used[query[used] > 0]][:, rows - upto:rows - depth]
-            up = lists[used[query[used] < 0]][:, depth:upto]
-            new = np.unique(np.concatenate([down.ravel(), up.ravel()]))
-        else:
-            new, upto = np.arange(rows), rows
-        new = new[~met[new]]
+    while left:
+        upto = min(rows, depth + step) if len(used) else rows
+        fresh = np.zeros(rows, bool)
+        fresh[lists[down, rows - upto:rows - depth]] = True
+        fresh[lists[up, depth:upto]] = True
+        new = np.flatnonzero(fresh & ~met if len(used) else ~met)
         met[new] = True
-        scores = np.concatenate([scores, vectors[new] @ query])
-        found = np.concatenate([found, ids[new]])
+        left -= len(new)
+        depth = upto
+        scores, found = np.concatenate([scores, vectors[new] @ query]), np.concatenate([found, ids[new]])
         if len(found) > k:
-            best = np.lexsort((found, -scores))[:k]
+            # All that reach the kth score, then the order with ties.
+            near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+            best = near[np.lexsort((found[near], -scores[near]))[:k]]
             scores, found = scores[best], found[best]
-        depth = upto
-        if len(found) == k and depth < rows:
-            at = np.where(query[used] > 0, lists[used, rows - depth - 1], lists[used, depth])
-            if scores.min() > vectors[at, used] @ query[used]:
+        if len(found) == k and left:
+            bound = vectors[lists[down, rows - depth - 1], down] @ query[down] + vectors[lists[up, depth], up] @ query[up]
+            if scores.min() > bound:
                 break
     best = np.lexsort((found, -scores))[:k]
     return [(int(scores[b]), int(found[b])) for b in best]
@@ -62,10 +61,12 @@ def _block(k: int):
             ids = candidates["vec_id"].to_numpy(np.int64)
             vectors = np.stack(candidates["parts"].to_numpy()).astype(np.int64) if len(candidates["parts"].iloc[0]) else np.zeros((len(ids), 0), np.int64)
             targets = np.stack(queries["parts"].to_numpy()).astype(np.int64) if len(queries["parts"].iloc[0]) else np.zeros((len(queries), 0), np.int64)
-            # Products of doubles are exact, and much faster, while every sum stays below 2^53.
+            # Floating products are exact, and much faster, while every sum fits the mantissa.
             largest = max((float(np.abs(x).max()) for x in (vectors, targets) if x.size), default=0.0)
-            if largest * largest * max(1, vectors.shape[1]) < 2.0**53:
-                vectors, targets = vectors.astype(np.float64), targets.astype(np.float64)
+            for kind, limit in ((np.float32, 2.0**24), (np.float64, 2.0**53)):
+                if largest * largest * max(1, vectors.shape[1]) < limit:
+                    vectors, targets = vectors.astype(kind), targets.astype(kind)
+                    break
             lists = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
             for query_id, query in zip(queries["vec_id"].to_numpy(np.int64), targets):
                 out += [(int(query_id), i, s) for s, i in threshold_top_k(query, int(query_id), vectors, ids, lists, k)]
