@@ -5,19 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabwright.llm import exact_dedup
+from tabwright.llm import exact_dedup, langid, mixing, ngram_join, pieces
+from tabwright.llm.queries import MODEL_FILE
 from tabwright.storage import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, and those that no learned language parses, go."""
+    return langid.recognised(docs)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for the case of A-Z, the row with the largest doc_id stays."""
     return exact_dedup.deduplicated(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by a Jaccard similarity of at least 0.9 of their 3-word shingles, the one with the smallest doc_id stays."""
+    return ngram_join.representatives(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every drawn document, segmented with merge-dropout."""
+    encoded = pieces.encode(docs.select("doc_id", "source", "text"), MODEL_FILE, carry=["doc_id", "source"])
+    return encoded.select("doc_id", "source", F.array_size("ids").cast("long").alias("n_pieces"), "ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", keep_known_languages),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("merge_dropout", encode_pieces),
+]
 
 #: The stages learn a model, draw from generators and use a tokenizer, which SQL cannot express.
 ORACLE_SQL = None

@@ -148,6 +148,26 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
     return {k: b" ".join(v) for k, v in texts.items() if any(v)}
 
 
+#: A text that no learned language parses into phrases of so many bytes on average is in none of them.
+LEAST_PHRASE = 2.0
+
+
+def recognised(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are in a learned language.
+
+    Rejected are ``und`` texts and those that even the best language cuts into phrases shorter than ``LEAST_PHRASE`` bytes, as other
+    scripts and noise are. Where nothing could be learned, nothing is known to be foreign: all texts with a letter stay.
+    """
+    samples = learn(docs)
+    if not samples:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    limit = {k: math.log2(max(2, len(v))) / LEAST_PHRASE for k, v in samples.items()}
+    packed = docs.select(F.struct("*").alias("row_"), F.col("text"))
+    found = identify(packed, samples, carry=["row_"])
+    most = F.create_map(*(F.lit(x) for kv in limit.items() for x in kv))
+    return found.filter(F.col("bits") <= F.element_at(most, F.col("lang_pred"))).select("row_.*")
+
+
 _parsers: dict[tuple, list[Parser]] = {}
 
 
@@ -160,7 +180,6 @@ def parsers(samples: dict[str, bytes]) -> list[Parser]:
     return _parsers[key]
 
 
-
 def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text[:256]) or any(c.isalpha() for c in text)
 

@@ -237,3 +237,12 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     classes = components(links)
     of_node = nodes.join(classes, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return base.join(of_node, "digest", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of their component.
+
+    Rows that repeat an id stay or go together; rows without an id stay only where nothing they link with has one.
+    """
+    stays = jaccard_components(docs, **how).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("stays_")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays_")), "left_semi")
