@@ -172,8 +172,9 @@ def _pieces(mix: Mix) -> DataFrame:
 
 def taken_words(mix: Mix) -> DataFrame:
     """One row per document: ``doc_id, source_name, size, source_size, target, taken``, the words that all drawn blocks take of it."""
+    # As many rows as there are drawn blocks: never broadcast, though the planner sees only the small table of draws below it.
     times = mix.slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = (_pieces(mix).select("source", "block", "place", "words").join(times, ["source", "block"])
+    taken = (_pieces(mix).select("source", "block", "place", "words").join(times.hint("merge"), ["source", "block"])
              .groupBy("source", "place").agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
     known = _source_table(mix.rows.sparkSession, mix.sources).drop("source_name")
     return (mix.rows.select("doc_id", "source", "source_name", "size", "place").join(taken, ["source", "place"], "left")
@@ -187,7 +188,7 @@ def mixed_blocks(mix: Mix) -> DataFrame:
     part = F.array_join(F.slice(word, F.col("start").cast("int") + 1, F.col("words").cast("int")), " ")
     packed = _pieces(mix).select("source", "block", "place", "doc_id", part.alias("part")).groupBy("source", "block").agg(
         F.array_sort(F.collect_list(F.struct("place", "part", "doc_id"))).alias("parts"))  # at most block_words parts
-    return mix.slots.join(packed, ["source", "block"]).select(
+    return mix.slots.hint("merge").join(packed, ["source", "block"]).select(
         "shard", "slot", "source", "block", F.array_join("parts.part", " ").alias("text"), F.col("parts.doc_id").alias("doc_ids"))
 
 
