@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Treat NaN as missing in every floating column."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
@@ -25,8 +30,8 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def is_missing(df: DataFrame, column: str) -> Column:
     """True where the column is null or NaN."""
     if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
-        return F.col(column).isNull() | F.isnan(column)
-    return F.col(column).isNull()
+        return named(column).isNull() | F.isnan(named(column))
+    return named(column).isNull()
 
 
 def to_number(column: Column) -> Column:

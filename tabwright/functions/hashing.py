@@ -16,8 +16,11 @@ def row_key(*columns: str) -> Column:
 
 
 def key_hash(key: Column, seed: int) -> Column:
-    """Uniform integer in ``[0, HASH_RANGE)``; the same key and seed always give the same value."""
-    text = F.concat(key.cast("string"), F.lit(f":{seed}"))
+    """Uniform integer in ``[0, HASH_RANGE)``; the same key and seed always give the same value.
+
+    A missing key is a key like any other.
+    """
+    text = F.concat(F.coalesce(key.cast("string"), F.lit("missing key")), F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 

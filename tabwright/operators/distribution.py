@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
@@ -13,9 +14,16 @@ from tabwright.storage import side_table
 
 
 def _limits(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Minimum and maximum of each column, one row from one pass; absent when all is null."""
+    """Minimum and maximum of each column, one row from one pass; absent when all is null.
+
+    Equal-width bins have no place for infinite values, so a column that has any is refused.
+    """
     row = df.agg(*[f(c).alias(f"{c}{i}") for c in columns for i, f in enumerate((F.min, F.max))]).first()
-    return {c: (row[f"{c}0"], row[f"{c}1"]) for c in columns if row[f"{c}0"] is not None}
+    found = {c: (row[f"{c}0"], row[f"{c}1"]) for c in columns if row[f"{c}0"] is not None}
+    endless = [c for c, ends in found.items() if not all(map(math.isfinite, ends))]
+    if endless:
+        raise ValueError(f"infinite values in {endless}; filter them before binning")
+    return found
 
 
 def _histogram_range(lo: float, hi: float) -> tuple[float, float]:

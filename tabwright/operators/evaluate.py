@@ -71,7 +71,10 @@ def binary_rates(counts: DataFrame, positive: str, by: Sequence[str] = ()) -> Da
 
 
 def _score_counts(df: DataFrame, score: str, positive: Column, by: Sequence[str], window_rows: int) -> DataFrame:
-    rows = df.select(*by, F.col(score).cast("double").alias("score"), positive.cast("int").alias("hit"))
+    """Rows of either class per distinct score. Missing scores are left out, NaN is refused."""
+    value = F.col(score).cast("double")
+    known = F.when(F.isnan(value), F.raise_error(F.lit(f"{score!r} has a NaN score, which has no rank"))).otherwise(value)
+    rows = df.select(*by, known.alias("score"), positive.cast("int").alias("hit"))
     return running_totals(
         rows.where(F.col("hit").isNotNull()), "score",
         {"pos": F.sum("hit").cast("bigint"), "neg": F.sum(1 - F.col("hit")).cast("bigint")},

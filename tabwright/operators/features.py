@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from tabwright.operators.orderstats import ROW_LIMIT, quantile_values
 from tabwright.operators.roles import Roles, infer_roles
-from tabwright.storage import SIDE_TABLE_ROWS
 
-#: Most texts of one column that are encoded as features.
-MAX_CATEGORIES = 100_000
+#: Most texts of one column that become features, in the vector and in the wide form alike; each is a name held by the driver.
+MAX_CATEGORIES = 10_000
 
 NUMERIC_SUFFIX = "__num"
 TEXT_SUFFIX = "__cat"
@@ -113,7 +112,7 @@ class ModeImputerModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWrit
                                for (c, out), fill in zip(self.columns(), self.getOrDefault("fills"))})
 
 
-def preparation_stages(roles: Roles, output: str = "features", scale: bool = True) -> list:
+def preparation_stages(roles: Roles, output: str = "features", scale: bool = True, max_categories: int = MAX_CATEGORIES) -> list:
     """Stages from raw columns to one feature vector, in the order numeric, text, passthrough.
 
     A text column becomes one 0/1 feature per value seen in training, in ascending order; a value
@@ -130,7 +129,7 @@ def preparation_stages(roles: Roles, output: str = "features", scale: bool = Tru
         codes = [c + "__idx" for c in roles.categorical]
         vectors = [c + "__hot" for c in roles.categorical]
         stages += [
-            ModeImputer(inputCols=roles.categorical, outputCols=texts),
+            ModeImputer(inputCols=roles.categorical, outputCols=texts, maxCategories=max_categories),
             StringIndexer(inputCols=texts, outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"),
             OneHotEncoder(inputCols=codes, outputCols=vectors, dropLast=True),
         ]
@@ -156,9 +155,10 @@ def feature_names(prepared: PipelineModel | Sequence, roles: Roles) -> list[str]
 class Preprocessor:
     """Fixed-role preparation with a wide, named result instead of a vector."""
 
-    def __init__(self, roles: Roles | None = None, scale: bool = True):
+    def __init__(self, roles: Roles | None = None, scale: bool = True, max_categories: int = MAX_CATEGORIES):
         self.roles = roles
         self.scale = scale
+        self.max_categories = max_categories
         self.stages: list = []
 
     def fit(self, df: DataFrame) -> "Preprocessor":
@@ -171,7 +171,7 @@ class Preprocessor:
                 inputCols=self.roles.numeric, outputCols=numbers, centre=self.scale).fit(df))
         if self.roles.categorical:
             texts = [c + TEXT_SUFFIX for c in self.roles.categorical]
-            mode = ModeImputer(inputCols=self.roles.categorical, outputCols=texts).fit(df)
+            mode = ModeImputer(inputCols=self.roles.categorical, outputCols=texts, maxCategories=self.max_categories).fit(df)
             current = mode.transform(df)
             self.stages.append(mode)
             self.values = _categories(current, texts)
@@ -195,12 +195,9 @@ class Preprocessor:
 
 
 def _categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Ascending distinct values per text column; the total decides the width of the result."""
+    """Ascending distinct values per text column. ``ModeImputer`` has refused columns with too many."""
     long = df.select(*columns).unpivot([], list(columns), "feature", "value").distinct()
-    rows = long.limit(SIDE_TABLE_ROWS + 1).collect()
-    if len(rows) > SIDE_TABLE_ROWS:
-        raise ValueError(f"more than {SIDE_TABLE_ROWS} text values, too many for one column each")
     values: dict[str, list[str]] = {c: [] for c in columns}
-    for r in sorted(rows, key=lambda r: r["value"]):
+    for r in sorted(long.collect(), key=lambda r: r["value"]):
         values[r["feature"]].append(r["value"])
     return values

@@ -174,9 +174,13 @@ def quality_scores(
 def grade(df: DataFrame, column: str, output: str, row_limit: int = ROW_LIMIT) -> DataFrame:
     """Low, medium or high by tercile of the average ranks of ``column``.
 
-    With two distinct terciles the grades are low and high; with fewer every known row is medium.
+    With two distinct terciles the ranks are cut again at their median into low and high (the
+    two terciles stand where that gives one bin); with fewer every known row is medium.
     """
     fitted = fit_rank_bins(df, [column], 3, row_limit)[column]
+    if fitted.bins == 2:
+        halves = fit_rank_bins(df, [column], 2, row_limit)[column]
+        fitted = halves if halves.bins == 2 else fitted
     number = fitted.bin()
     if fitted.bins == 3:
         names = F.when(number == 1, "low").when(number == 2, "medium").when(number == 3, "high")

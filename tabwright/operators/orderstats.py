@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwright.functions.cleaning import named
 from tabwright.storage import side_table
 
 #: Most rows (after narrowing) or distinct values that one window partition may sort.
@@ -216,12 +217,12 @@ def _pick_inside(values: DataFrame, keys: list[str], ready: DataFrame) -> DataFr
 
 
 def _number(column: str) -> Column:
-    return F.nullif(F.col(column).cast("double"), F.lit(float("nan")))
+    return F.nullif(named(column).cast("double"), F.lit(float("nan")))
 
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Long form ``by..., feature, value`` of numeric columns; NaN becomes null."""
-    return df.select(*by, *[_number(c).alias(c) for c in columns]).unpivot(list(by), list(columns), "feature", "value")
+    return df.select(*by, *[_number(c).alias(c) for c in columns]).unpivot(list(by), [named(c) for c in columns], "feature", "value")
 
 
 def quantiles(
@@ -262,7 +263,7 @@ def _column_sizes(df: DataFrame, columns: Sequence[str], by: list[str],
     figures = {"n": F.count, "lo": F.min, "hi": F.max, **extras}
     numbers = df.select(*by, *[_number(c).alias(c) for c in columns])
     packed = numbers.groupBy(*by).agg(*[
-        F.struct(F.lit(c).alias("feature"), *[f(F.col(c)).alias(n) for n, f in figures.items()]).alias(f"_{i}")
+        F.struct(F.lit(c).alias("feature"), *[f(named(c)).alias(n) for n, f in figures.items()]).alias(f"_{i}")
         for i, c in enumerate(columns)])
     return packed.select(*by, F.explode(F.array(*[F.col(f"_{i}") for i in range(len(columns))])).alias("s")).select(
         *by, "s.*")
@@ -296,4 +297,5 @@ def _fraction_at(prob: float) -> Column:
 
 
 def _interpolated(low: Column, high: Column, fraction: Column) -> Column:
-    return low + (high - low) * fraction
+    # At a whole position the next value does not count, infinite or not.
+    return F.when(fraction == 0, low).otherwise(low + (high - low) * fraction)

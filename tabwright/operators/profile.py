@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.functions.cleaning import is_missing
+from tabwright.functions.cleaning import is_missing, named
 from tabwright.operators.orderstats import ROW_LIMIT, quantiles
 from tabwright.operators.roles import NUMERIC, columns_of_type, present
-from tabwright.storage import SIDE_TABLE_ROWS
 
 QUARTILES = (0.25, 0.5, 0.75)
 #: Aggregate expressions evaluated in one pass before the next batch starts.
 PAIRS_PER_PASS = 300
+#: Most columns that values are turned into.
+MOST_COLUMNS = 10_000
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         F.count(F.lit(1)).alias("_rows"), *[F.count_if(is_missing(df, c)).alias(c) for c in columns])
     types = F.create_map(*[F.lit(x) for c in columns for x in (c, type_name(df.schema[c].dataType))])
     rate = F.try_divide(F.col("missing"), F.col("_rows"))
-    return counted.unpivot(["_rows"], columns, "feature", "missing").select(
+    return counted.unpivot(["_rows"], [named(c) for c in columns], "feature", "missing").select(
         "feature", types[F.col("feature")].alias("dtype"), F.col("_rows").alias("n_rows"),
         (F.col("_rows") - F.col("missing")).alias("count"), "missing", rate.alias("missing_rate"))
 
@@ -82,7 +83,7 @@ def columns_with_missing(counts: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row in every column; nulls count as equal."""
-    counts = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    counts = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
     return counts.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates"))
 
 
@@ -134,17 +135,25 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _known_values(df: DataFrame, column: str) -> list:
+def _known_values(df: DataFrame, column: str, most: int) -> list:
     """Distinct values of a low-cardinality column, with the cardinality checked."""
-    rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(SIDE_TABLE_ROWS + 1).collect()
-    if len(rows) > SIDE_TABLE_ROWS:
-        raise ValueError(f"{column!r} has more than {SIDE_TABLE_ROWS} values, too many for columns")
+    rows = df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column!r} has more than {most} values, too many for columns; use crosstab_long")
     return sorted(r[0] for r in rows)
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: Sequence | None = None) -> DataFrame:
-    """Share of each ``column`` value within each ``row`` value; the shares of a row add to 1."""
-    values = list(values) if values is not None else _known_values(df, column)
+def crosstab_long(df: DataFrame, row: str, column: str) -> DataFrame:
+    """Share of each ``column`` value within each ``row`` value: ``row, value, share``, for any number of values."""
+    known = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
+    counts = known.groupBy(F.col(row).alias("row"), F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    totals = known.groupBy(F.col(row).alias("row")).agg(F.count(F.lit(1)).alias("total"))
+    return counts.join(totals, "row").select("row", "value", (F.col("n") / F.col("total")).alias("share"))
+
+
+def crosstab(df: DataFrame, row: str, column: str, values: Sequence | None = None, most_values: int = MOST_COLUMNS) -> DataFrame:
+    """``crosstab_long`` with a column per value, of which there may be ``most_values``; the shares of a row add to 1."""
+    values = list(values) if values is not None else _known_values(df, column, most_values)
     known = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
     counts = known.groupBy(row).agg(
         F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(column) == v).alias(str(v)) for v in values])

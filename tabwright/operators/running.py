@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,45 +25,48 @@ def running_totals(
     """Aggregate ``rows`` to distinct ``order`` values and add running totals.
 
     For every measure ``m`` the result has ``m``, ``m_before`` (total of the preceding values) and
-    ``m_next`` (the measure of the following value, null at the end). Equal values collapse
-    before any window, so a value that many rows share costs one row. When a key has more than
-    ``window_rows`` distinct values, the value range is cut into buckets, each is summed on its
-    own, and the totals of the preceding buckets are added.
+    ``m_next`` (the measure of the following value, null at the end). Null and NaN have no place
+    in an order and are left out. Equal values collapse before any window, so a value that many
+    rows share costs one row. Beyond ``window_rows`` distinct values the table is
+    range-partitioned and written, each partition is summed on its own, and the totals of the
+    preceding partitions are added; their number grows with the table.
     """
     keys = list(keys)
-    rows = rows.where(F.col(order).isNotNull())
-    splits = _bucket_splits(rows, order, window_rows)
-    if splits is None:
-        rows = rows.withColumn("_bucket", F.lit(0))
+    rows = rows.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double")))
+    table = rows.groupBy(*keys, order).agg(*[m.alias(n) for n, m in measures.items()])
+    distinct = rows.agg(F.approx_count_distinct(F.struct(*keys, order))).first()[0]
+    cut = distinct > window_rows
+    if cut:
+        parts = math.ceil(2 * distinct / window_rows)
+        # The partition number must not change between the uses of the table, so it is written.
+        table = written(table.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()), "running")
     else:
-        rows = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(rows)
-        rows = rows.withColumn("_bucket", F.col("_bucket").cast("int"))
+        table = table.withColumn("_part", F.lit(0))
 
-    table = rows.groupBy(*keys, "_bucket", order).agg(*[m.alias(n) for n, m in measures.items()])
     sequence = F.col(order).desc() if descending else F.col(order).asc()
-    within = Window.partitionBy(*keys, "_bucket").orderBy(sequence)
+    within = Window.partitionBy(*keys, "_part").orderBy(sequence)
     result = table.select(
         "*",
         *[(F.sum(m).over(within) - F.col(m)).alias(f"{m}_before") for m in measures],
         *[F.lead(m).over(within).alias(f"{m}_next") for m in measures],
     )
-    if splits is None:
-        return result.drop("_bucket")
+    if not cut:
+        return result.drop("_part")
 
-    # One row per key and bucket; the number of buckets is the length of ``splits``.
+    # At most one row per partition and one more per key.
     first = F.max_by if descending else F.min_by
-    totals = table.groupBy(*keys, "_bucket").agg(
+    totals = table.groupBy(*keys, "_part").agg(
         *[F.sum(m).alias(f"{m}_sum") for m in measures],
         *[first(m, order).alias(f"{m}_first") for m in measures],
     )
-    bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    across = Window.partitionBy(*keys).orderBy(bucket_order)
+    part_order = F.col("_part").desc() if descending else F.col("_part").asc()
+    across = Window.partitionBy(*keys).orderBy(part_order)
     offsets = totals.select(
-        *keys, "_bucket",
+        *keys, "_part",
         *[(F.sum(f"{m}_sum").over(across) - F.col(f"{m}_sum")).alias(f"{m}_offset") for m in measures],
         *[F.lead(f"{m}_first").over(across).alias(f"{m}_entry") for m in measures],
     )
-    joined = result.join(offsets, [*keys, "_bucket"])
+    joined = result.join(offsets, [*keys, "_part"])
     return joined.select(
         *keys, order, *measures,
         *[(F.col(f"{m}_before") + F.col(f"{m}_offset")).alias(f"{m}_before") for m in measures],
@@ -72,21 +74,6 @@ def running_totals(
     )
 
 
-def _bucket_splits(rows: DataFrame, order: str, window_rows: int) -> list[float] | None:
-    """Cut points giving buckets of at most about ``window_rows`` distinct values, if any needed.
-
-    The cuts are row quantiles: a bucket never has more distinct values than rows, apart from a
-    value that is itself a cut, which adds one.
-    """
-    n, distinct = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(order)).first()
-    if distinct <= window_rows:
-        return None
-    buckets = min(max(2, math.ceil(2 * n / window_rows)), SIDE_TABLE_ROWS)
-    probs = [i / buckets for i in range(1, buckets)]
-    marks = rows.agg(F.percentile_approx(F.col(order).cast("double"), probs, 10 * buckets)).first()[0]
-    return [-math.inf, *sorted(set(marks)), math.inf]
-
-
 def average_ranks(df: DataFrame, column: str, output: str = "rank", hot_values: int = 1_000,
                   window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Add the 1-based average rank of ``column``; ties share their mean rank, null stays null.

@@ -11,14 +11,15 @@ import math
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.hashing import HASH_RANGE, key_hash, key_uniform
 from tabwright.operators.orderstats import ROW_LIMIT, order_statistics, value_sizes
-from tabwright.storage import SIDE_TABLE_ROWS
 
 PARTS = ("train", "val", "test")
+#: Cuts of so many strata are written into the expression; more are joined from a table.
+LITERAL_STRATA = 1_000
 
 
 def _place(key: Column, seed: int | None) -> Column:
@@ -45,11 +46,10 @@ def allocate(sizes: Mapping, total: int) -> dict:
 
 
 def _strata(df: DataFrame, key: Column, seed: int | None, stratum: str | None) -> tuple[DataFrame, list]:
+    """Places of the rows, and size and range per stratum: one row per stratum reaches the driver."""
     label = F.col(stratum).cast("string") if stratum else F.lit("all")
     values = df.select(label.alias("stratum"), _place(key, seed).alias("value"))
-    rows = value_sizes(values, ["stratum"]).limit(SIDE_TABLE_ROWS + 1).collect()
-    if len(rows) > SIDE_TABLE_ROWS:
-        raise ValueError(f"{stratum!r} has more than {SIDE_TABLE_ROWS} values, too many strata")
+    rows = value_sizes(values, ["stratum"]).collect()
     if any(r["stratum"] is None for r in rows):
         raise ValueError(f"{stratum!r} has missing values; a stratum must be known")
     return values, sorted(rows, key=lambda r: r["stratum"])
@@ -75,12 +75,19 @@ def hash_cuts(values: DataFrame, rows: Sequence, positions: Mapping[str, Sequenc
     return cuts
 
 
-def _cut_of(cuts: Mapping[str, int], stratum: str | None) -> Column:
+def _with_cuts(df: DataFrame, stratum: str | None, cuts: Mapping[str, Sequence[int]], names: Sequence[str]) -> DataFrame:
+    """Add the cuts of each row's stratum: literals for few strata, else by a join with their table."""
     if stratum is None:
-        return F.lit(cuts["all"]).cast("bigint")
-    pairs = [F.lit(x) if i == 0 else F.lit(x).cast("bigint") for k, v in cuts.items()
-             for i, x in enumerate((k, v))]
-    return F.create_map(*pairs)[F.col(stratum).cast("string")]
+        return df.withColumns({n: F.lit(c).cast("bigint") for n, c in zip(names, cuts["all"])})
+    if len(cuts) <= LITERAL_STRATA:
+        text = F.col(stratum).cast("string")
+        pairs = [x for k, c in cuts.items() for x in (F.lit(k), F.array(*[F.lit(v).cast("bigint") for v in c]))]
+        found = F.create_map(*pairs)[text]
+        return df.withColumns({n: found[i] for i, n in enumerate(names)})
+    # The planner knows the size of this local relation and broadcasts it only while it is small.
+    table = df.sparkSession.createDataFrame(pa.table({"_stratum": list(cuts), **{n: pa.array([c[i] for c in cuts.values()], pa.int64())
+                                                                                   for i, n in enumerate(names)}}))
+    return df.join(table, F.col(stratum).cast("string") == F.col("_stratum")).drop("_stratum")
 
 
 def exact_split(df: DataFrame, key: Column, seed: int | None = 42, test: float = 0.2, val: float = 0.2,
@@ -103,21 +110,43 @@ def exact_split(df: DataFrame, key: Column, seed: int | None = 42, test: float =
     positions = {k: (tests[k], tests[k] + vals[k]) for k in sizes}
     cuts = hash_cuts(values, rows, positions, row_limit)
     h = _place(key, seed)
-    first = _cut_of({k: cuts[k][positions[k][0]] for k in sizes}, stratum)
-    second = _cut_of({k: cuts[k][positions[k][1]] for k in sizes}, stratum)
-    return df.withColumn(output, F.when(h < first, "test").when(h < second, "val").otherwise("train"))
+    cut = _with_cuts(df, stratum, {k: [cuts[k][p] for p in positions[k]] for k in sizes}, ["_first", "_second"])
+    part = F.when(h < F.col("_first"), "test").when(h < F.col("_second"), "val").otherwise("train")
+    return cut.withColumn(output, part).drop("_first", "_second")
 
 
 def subsample(df: DataFrame, key: Column, n: int, seed: int | None = 42, stratum: str | None = None,
               row_limit: int = ROW_LIMIT) -> DataFrame:
-    """Exactly ``n`` rows with the strata in proportion; a smaller table is returned whole."""
+    """Exactly ``n`` rows with the strata in proportion; a smaller table is returned whole.
+
+    Where rows share the key that the cut falls on, the missing ones are taken among those rows by a hash of their content.
+    """
     values, rows = _strata(df, key, seed, stratum)
     sizes = {r["stratum"]: r["n"] for r in rows}
     if sum(sizes.values()) <= n:
         return df
     taken = allocate(sizes, n)
     cuts = hash_cuts(values, rows, {k: (taken[k],) for k in sizes}, row_limit)
-    return df.where(_place(key, seed) < _cut_of({k: cuts[k][taken[k]] for k in sizes}, stratum))
+    marked = _with_cuts(df, stratum, {k: [cuts[k][taken[k]], taken[k]] for k in sizes}, ["_cut", "_taken"])
+    marked = marked.withColumn("_h", _place(key, seed)).where(F.col("_h") <= F.col("_cut"))
+    label = F.col(stratum).cast("string") if stratum else F.lit("all")
+    counts = marked.groupBy(label.alias("_stratum")).agg(
+        F.count_if(F.col("_h") < F.col("_cut")).alias("_below"), F.count_if(F.col("_h") == F.col("_cut")).alias("_at"),
+        F.first("_taken").alias("_wanted")).collect()
+    short = {r["_stratum"]: (r["_wanted"] - r["_below"], r["_at"]) for r in counts if r["_wanted"] > r["_below"]}
+    helpers = ("_cut", "_taken", "_h")
+    below = marked.where(F.col("_h") < F.col("_cut")).drop(*helpers)
+    if not short:
+        return below
+    # Only rows of the one key that a cut falls on are numbered.
+    lacking = {k: [v[0]] for k, v in short.items()}
+    tied = marked.where(F.col("_h") == F.col("_cut")).drop(*helpers)
+    if stratum:
+        tied = tied.where(label.isin(list(lacking)))
+    tied = _with_cuts(tied, stratum, lacking, ["_short"])
+    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
+    extra = tied.withColumn("_row", place).where(F.col("_row") <= F.col("_short")).drop("_row", "_short")
+    return below.unionByName(extra)
 
 
 def _fold_sizes(sizes: Mapping[str, int], k: int) -> dict[str, list[int]]:
@@ -143,10 +172,10 @@ def folds(df: DataFrame, key: Column, k: int = 3, seed: int | None = 42, stratum
     ends = {s: [sum(blocks[: i + 1]) for i in range(k - 1)] for s, blocks in sizes.items()}
     cuts = hash_cuts(values, rows, ends, row_limit)
     h = _place(key, seed)
-    fold = F.lit(0)
-    for i in range(k - 1):
-        fold = fold + (h >= _cut_of({s: cuts[s][ends[s][i]] for s in ends}, stratum)).cast("int")
-    return df.withColumn(output, fold)
+    names = [f"_end{i}" for i in range(k - 1)]
+    cut = _with_cuts(df, stratum, {s: [cuts[s][e] for e in ends[s]] for s in ends}, names)
+    fold = sum([(h >= F.col(n)).cast("int") for n in names], F.lit(0))
+    return cut.withColumn(output, fold).drop(*names)
 
 
 def random_row(df: DataFrame, key: Column, seed: int = 42) -> DataFrame:
@@ -160,17 +189,17 @@ def prefix_sizes(n: int, fractions: Sequence[float]) -> list[int]:
 
 
 def nested_prefixes(df: DataFrame, key: Column, fractions: Sequence[float], seed: int | None = 42, fold: str = "fold",
-                    k: int = 3, row_limit: int = ROW_LIMIT) -> list[dict]:
+                    k: int = 3, row_limit: int = ROW_LIMIT, most: int | None = None) -> list[dict]:
     """Cut points of growing training sets, each containing the smaller ones.
 
     For each fold, the training rows are those of the other folds in hash order. The result lists
     fold, size and cut; a training set is ``fold != f`` and ``key_hash < cut``. The sizes are
-    fractions of the training set of the first fold.
+    fractions of the training set of the first fold, or of ``most`` rows where it is larger.
     """
     others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold)).cast("array<string>")
     values = df.select(F.explode(others).alias("stratum"), _place(key, seed).alias("value"))
     rows = value_sizes(values, ["stratum"]).collect()
     by_fold = {r["stratum"]: r["n"] for r in rows}
-    sizes = prefix_sizes(by_fold["0"], fractions)
+    sizes = prefix_sizes(by_fold["0"] if most is None else min(by_fold["0"], most), fractions)
     cuts = hash_cuts(values, rows, {f: sizes for f in by_fold}, row_limit)
     return [{"fold": int(f), "size": s, "cut": cuts[f][s]} for f in sorted(by_fold) for s in sizes]

@@ -25,7 +25,7 @@ from tabwright.operators.scoring import class_scores
 from tabwright.storage import use_checkpoints, written
 
 
-#: Most classes a classifier is trained on.
+#: Most classes a classifier is trained on, unless asked otherwise.
 MAX_CLASSES = 1_000
 
 
@@ -131,12 +131,12 @@ class Trainer:
         return {name: Search(best[name], found[name], fitted[name]) for name in grids}
 
 
-def classes_of(df: DataFrame, target: str) -> list[str]:
-    """Ascending classes of a target, as text; a target with very many values is refused."""
+def classes_of(df: DataFrame, target: str, most: int = MAX_CLASSES) -> list[str]:
+    """Ascending classes of a target, as text; a target with more than ``most`` values is refused."""
     known = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("c")).distinct()
-    rows = known.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{target!r} has more than {MAX_CLASSES} values, too many for classes")
+    rows = known.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{target!r} has more than {most} values, too many for classes")
     return sorted(r["c"] for r in rows)
 
 
@@ -183,6 +183,7 @@ def train_classifiers(
     df: DataFrame, target: str, key: Column, models: Sequence[str] = ("logreg_l2", "logreg_l1"),
     drop: Sequence[str] = (), grids: Mapping[str, Mapping] | None = None, folds: int = 3, seed: int = 42,
     test: float = 0.2, val: float = 0.2, select_by: str = "test_mcc", parallelism: int = 2, roles: Roles | None = None,
+    most_classes: int = MAX_CLASSES,
 ) -> Run:
     """Split, tune, fit and compare classifiers on one target.
 
@@ -192,7 +193,7 @@ def train_classifiers(
     _check(models, CLASSIFIERS)
     use_checkpoints(df.sparkSession)
     grids = grids or presets.CLASSIFIER_GRIDS
-    classes = classes_of(df, target)
+    classes = classes_of(df, target, most_classes)
     roles = roles or infer_roles(without(df, [target, *drop]))
     known = df.where(F.col(target).isNotNull())
     parts, train = _partitioned(known, key, roles.columns, target, target, folds, seed, test, val, _tuned(models, grids))
@@ -270,13 +271,13 @@ EXPERIMENTS = (
 def learning_curves(
     df: DataFrame, experiments: Sequence[Experiment], key: Column,
     models: Mapping[str, Mapping] = presets.CURVE_MODELS, fractions: Sequence[float] = tuple(presets.CURVE_FRACTIONS),
-    folds: int = 3, rows: int | None = presets.CURVE_ROWS, seed: int = 42, parallelism: int = 2,
+    folds: int = 3, fit_rows: int | None = None, seed: int = 42, parallelism: int = 2,
     exclude: Sequence[str] = (),
 ) -> DataFrame:
     """Accuracy on growing training sets, as mean and population deviation over the folds.
 
-    One row per experiment, model and training size. ``rows=None`` uses the whole table instead
-    of a stratified subsample.
+    One row per experiment, model and training size. ``fit_rows`` bounds the largest training
+    set; accuracy is always measured on all rows of the held-out fold.
     """
     use_checkpoints(df.sparkSession)
     results: list[dict] = []
@@ -284,13 +285,11 @@ def learning_curves(
         roles = infer_roles(without(df, [e.target, *e.drop, *exclude]))
         known = written(df.where(F.col(e.target).isNotNull()).select(
             *roles.columns, e.target, key_hash(key, seed).alias("_place")), "curves")
-        if rows is not None:
-            known = sampling.subsample(known, F.col("_place"), rows, None, e.target)
         data = sampling.folds(known, F.col("_place"), folds, None, e.target, "_fold")
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             classes = classes_of(data, e.target)
-            steps = sampling.nested_prefixes(data, F.col("_place"), fractions, None, "_fold", folds)
+            steps = sampling.nested_prefixes(data, F.col("_place"), fractions, None, "_fold", folds, most=fit_rows)
             trainer = Trainer(roles, e.target, classes, seed)
 
             def one_size(step: dict) -> list[dict]:
@@ -299,13 +298,15 @@ def learning_curves(
                 prepared = trainer.prepare(train)
                 ready = [trainer.prepared_rows(prepared, part) for part in (train, held)]
                 found = []
-                for name, params in models.items():
-                    learner = trainer.build(name, params).fit(ready[0])
-                    on_train, on_held = (trainer.accuracy(learner.transform(part)) for part in ready)
-                    found.append({"experiment": e.name, "model": name, "fold": step["fold"],
-                                  "train_size": step["size"], "train_accuracy": on_train, "val_accuracy": on_held})
-                for part in ready:
-                    part.unpersist()
+                try:
+                    for name, params in models.items():
+                        learner = trainer.build(name, params).fit(ready[0])
+                        on_train, on_held = (trainer.accuracy(learner.transform(part)) for part in ready)
+                        found.append({"experiment": e.name, "model": name, "fold": step["fold"],
+                                      "train_size": step["size"], "train_accuracy": on_train, "val_accuracy": on_held})
+                finally:
+                    for part in ready:
+                        part.unpersist()
                 return found
 
             with ThreadPoolExecutor(parallelism) as pool:

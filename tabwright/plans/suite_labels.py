@@ -123,6 +123,19 @@ def quality(spark, folder):
     return rounded(labels.grade(scored, "score", "quality").select("p_partkey", "score", "quality"))
 
 
+# Heavy ties leave two terciles, so the ranks are cut again at their median.
+TIED_SQL = """tied AS (SELECT p_partkey, CASE WHEN p_size <= 25 THEN 0 WHEN p_size <= 35 THEN 1 ELSE 2 END AS v FROM part),
+    k AS (SELECT p_partkey, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM tied),
+    e AS (SELECT quantile_cont(r, 0.5) AS mid FROM k)"""
+
+
+@query("l7_two_grades", f"""WITH {TIED_SQL} SELECT p_partkey, v, CASE WHEN r <= mid THEN 'low' ELSE 'high' END AS quality FROM k, e""")
+def two_grades(spark, folder):
+    size = F.col("p_size")
+    tied = table(spark, folder, "part").select("p_partkey", F.when(size <= 25, 0).when(size <= 35, 1).otherwise(2).alias("v"))
+    return labels.grade(tied, "v", "quality")
+
+
 GAPPY_PARTS_SQL = """gaps AS (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_size END AS size,
     CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS price,
     CASE WHEN p_partkey % 9 <> 0 THEN p_type END AS type, (p_size > 25)::INT AS large FROM part)"""
@@ -318,11 +331,16 @@ def nested_prefixes(spark, folder):
     hashed = table(spark, folder, "orders").select("o_orderstatus", "o_totalprice", key_hash(key, 42).alias("h"))
     folded = sampling.folds(hashed, F.col("h"), 3, None, "o_orderstatus")
     steps = sampling.nested_prefixes(folded, F.col("h"), CURVE_FRACTIONS, None)
-    sets = F.array(*[F.struct(F.lit(s["fold"]).alias("fold"), F.lit(s["size"]).cast("bigint").alias("train_size"),
-                              F.lit(s["cut"]).cast("bigint").alias("cut")) for s in steps])
-    held = F.filter(sets, lambda s: (s["fold"] != F.col("fold")) & (F.col("h") < s["cut"]))
-    return rounded(folded.select("o_totalprice", F.explode(held).alias("s")).groupBy("s.fold", "s.train_size").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.avg("o_totalprice").alias("mean_price")), 4)
+    # One aggregation per fold and stretch between neighbouring cuts; a set is the sum of its stretches.
+    cuts = F.array(*[F.lit(c).cast("bigint") for c in sorted({s["cut"] for s in steps})])
+    stretch = F.aggregate(cuts, F.lit(0), lambda n, c: n + (c <= F.col("h")).cast("int"))
+    cells = folded.groupBy("fold", stretch.alias("stretch")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    sets = spark.createDataFrame([(s["fold"], s["size"], s["cut"]) for s in steps], "held bigint, train_size bigint, cut bigint")
+    sets = sets.withColumn("first", F.aggregate(cuts, F.lit(0), lambda n, c: n + (c < F.col("cut")).cast("int")))
+    # Both sides are a few rows per fold: as many cells as cuts and as many sets.
+    inside = F.broadcast(sets).join(cells, (F.col("fold") != F.col("held")) & (F.col("stretch") <= F.col("first")))
+    return rounded(inside.groupBy(F.col("held").cast("int").alias("fold"), "train_size").agg(
+        F.sum("n").alias("n_rows"), (F.sum("total") / F.sum("n")).alias("mean_price")), 4)
 
 
 @query("t_row_key_hash", f"""SELECT l_orderkey, l_linenumber, count(*) AS copies,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabwright.operators import evaluate, labels, models, profile, reports, sampling, scoring, tuning
@@ -12,7 +13,7 @@ from tabwright.operators.roles import Roles
 from tabwright.plans.suite import query, rounded, table
 from tabwright.plans.suite_evaluate import METRICS_SQL, PREDICTED_SQL, WIDE_SQL, counts_of, metrics_of, wide_metrics
 from tabwright.plans.suite_labels import HASHED_SQL, exact_sql, folds_sql, hash_sql
-from tabwright.plans.suite_profile import describe_sql
+from tabwright.plans.suite_profile import describe_sql, described
 from tabwright.sources import readers, writers
 from tabwright.storage import scratch_path, use_checkpoints, written
 
@@ -34,7 +35,7 @@ def csv_scan(spark, folder):
 @query("s2_report_scan", describe_sql("orders", ["o_totalprice", "o_custkey"]))
 def report_scan(spark, folder):
     path = scratch_path(spark, "report")
-    writers.write_report(rounded(profile.describe(table(spark, folder, "orders"), ["o_totalprice", "o_custkey"])), path)
+    writers.write_report(described(profile.describe(table(spark, folder, "orders"), ["o_totalprice", "o_custkey"])), path)
     return readers.read_report(spark, path)
 
 
@@ -276,6 +277,43 @@ def logistic_l1_group_rates(spark, folder):
     return fitted_scores(rich_orders(spark, folder), PRIORITY, "rich", ["0", "1"], "logreg_l1", FREE, ["o_orderkey"])
 
 
+def dear_lines(spark, folder):
+    """A 0/1 feature (large quantity) that says much about the label (high price)."""
+    df = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") > 25).cast("double").alias("x"),
+                                                 (F.col("l_extendedprice") > 40000).cast("double").alias("label"))
+    return VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+
+
+def penalised_rates(spark, folder, penalty, c):
+    df = dear_lines(spark, folder)
+    scored = models.PenalisedLogistic(C=c, penalty=penalty, tol=1e-12).fit(df).transform(df)
+    return scored.select("l_orderkey", "l_linenumber", F.round(vector_to_array("probability")[1], 4).alias("p"))
+
+
+DEAR_SQL = """d AS (SELECT l_orderkey, l_linenumber, l_quantity > 25 AS x, (l_extendedprice > 40000)::INT AS y FROM lineitem),
+    t AS (SELECT count(*) FILTER (x)::DOUBLE AS n1, sum(y) FILTER (x)::DOUBLE AS s1, count(*) FILTER (NOT x)::DOUBLE AS n0,
+        sum(y) FILTER (NOT x)::DOUBLE AS s0 FROM d)"""
+
+
+# With a positive slope, the absolute penalty moves 1 / C positives from one group to the other until both rates meet.
+@query("m2_logistic_l1_penalised", f"""WITH {DEAR_SQL}, r AS (SELECT (s1 - 250) / n1 AS p1, (s0 + 250) / n0 AS p0, (s1 + s0) / (n1 + n0) AS p FROM t)
+    SELECT l_orderkey, l_linenumber, round(CASE WHEN p1 <= p0 THEN p WHEN x THEN p1 ELSE p0 END, 4) AS p FROM d, r""")
+def logistic_l1_penalised(spark, folder):
+    return penalised_rates(spark, folder, "l1", 0.004)
+
+
+# The squared penalty moves delta positives where delta times C is the difference of the log odds; found by bisection.
+@query("m1_logistic_l2_penalised", f"""WITH RECURSIVE {DEAR_SQL},
+    b(i, lo, hi) AS (SELECT 0, 0::DOUBLE, s1 - n1 * (s0 + s1) / (n0 + n1) FROM t
+        UNION ALL SELECT i + 1, CASE WHEN rising THEN m ELSE lo END, CASE WHEN rising THEN hi ELSE m END
+        FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m, ln((s1 - (lo + hi) / 2) / (n1 - s1 + (lo + hi) / 2))
+                - ln((s0 + (lo + hi) / 2) / (n0 - s0 - (lo + hi) / 2)) > 0.004 * (lo + hi) / 2 AS rising FROM b, t) WHERE i < 60),
+    r AS (SELECT (s1 - lo) / n1 AS p1, (s0 + lo) / n0 AS p0 FROM b, t WHERE i = 60)
+    SELECT l_orderkey, l_linenumber, round(CASE WHEN x THEN p1 ELSE p0 END, 4) AS p FROM d, r""")
+def logistic_l2_penalised(spark, folder):
+    return penalised_rates(spark, folder, "l2", 0.004)
+
+
 LINES = Roles(["l_linenumber"])
 
 
@@ -396,7 +434,7 @@ def majority_loop(spark, folder):
 def majority_curves(spark, folder):
     return rounded(tuning.learning_curves(
         graded_orders(spark, folder), [tuning.Experiment("rich", "rich", ("desk",))], F.col("o_orderkey"),
-        {"rf": {k: v[0] for k, v in MAJORITY.items()}}, fractions=[0.1, 0.5, 1.0], rows=None, exclude=["o_orderkey"]), 8)
+        {"rf": {k: v[0] for k, v in MAJORITY.items()}}, fractions=[0.1, 0.5, 1.0], exclude=["o_orderkey"]), 8)
 
 
 @query("m15_majority_ablation", f"""WITH {PARTED_SQL}, {judged_sql('priority', 'ja')}, {judged_sql('desk', 'jb')}
@@ -418,7 +456,8 @@ def task(spark, folder):
         F.sum("l_extendedprice").alias("worth"), F.min("l_returnflag").alias("flag"))
     orders = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
         "o_orderkey", "o_totalprice", "o_orderpriority", "lines", "quantity", "worth", "flag")
-    rich = labels.risk_label(orders, costs=["worth"], output="rich")
+    # The label's median and every fit read the join again, so it is written once.
+    rich = labels.risk_label(written(orders, "task-rows"), costs=["worth"], output="rich")
     return rich.select("o_orderkey", "o_totalprice", "o_orderpriority", "lines", "quantity", "worth", "flag", "rich")
 
 
@@ -426,8 +465,7 @@ NUMBERS = Roles(["lines", "quantity"], ["o_orderpriority"])
 
 
 def split_task(spark, folder):
-    """The task with its parts, written once because every pass of a fit reads it again."""
-    return written(sampling.random_split(task(spark, folder), F.col("o_orderkey")), "task")
+    return sampling.random_split(task(spark, folder), F.col("o_orderkey"))
 
 
 def classifier_scores(spark, folder, name, params, target):

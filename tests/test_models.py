@@ -186,6 +186,6 @@ def test_grid_search_takes_the_first_best_point(patients):
 def test_learning_curves_grow(patients):
     curves = tuning.learning_curves(
         patients, [tuning.Experiment("risk", "risk", ("grade", "cost"))], F.col("id"),
-        {"logreg_l2": {"C": 10.0}}, fractions=[0.1, 1.0], folds=2, rows=400, exclude=["id"]).orderBy("train_size").collect()
+        {"logreg_l2": {"C": 10.0}}, fractions=[0.1, 1.0], folds=2, fit_rows=200, exclude=["id"]).orderBy("train_size").collect()
     assert [r["train_size"] for r in curves] == [20, 200]
     assert curves[-1]["val_mean"] > 0.85 and curves[-1]["val_std"] is not None
