@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,10 @@ class Pieces:
         self.of_code[[ord(" "), ord(_SPACE)]] = self.id.get(_SPACE, _NONE), _NONE
         self.score = np.array([model.get_score(i) for i in range(size)], np.float32)
         # What each piece decodes to; bytes of one character may be split over pieces.
-        self.raw = [b"" if special[i] else bytes([int(t[3:5], 16)]) if i in byte_ids else t.replace(_SPACE, " ").encode() for i, t in enumerate(self.text)]
+        raw = [b"" if special[i] else bytes([int(t[3:5], 16)]) if i in byte_ids else t.replace(_SPACE, " ").encode() for i, t in enumerate(self.text)]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_size = np.array([*map(len, raw), 0], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         pairs = [(self.id[t[:k]], self.id[t[k:]], i) for t, i in self.id.items() for k in range(1, len(t)) if t[:k] in self.id and t[k:] in self.id]
         table = np.array(pairs, np.int64).reshape(-1, 3)
         keys = table[:, 0] * size + table[:, 1]
@@ -271,8 +275,18 @@ class Encoder:
 
 def decode(pieces: Pieces, ids: Sequence[int]) -> str:
     """The text that was encoded; ids outside the vocabulary and control pieces stand for nothing."""
-    raw = b"".join([pieces.raw[i] for i in ids if 0 <= i < pieces.size])
-    return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+    return decode_all(pieces, np.asarray(ids, np.int64), np.array([len(ids)]))[0]
+
+
+def decode_all(pieces: Pieces, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """``decode`` of many texts whose ids lie one after the other, up to ``ends``."""
+    ids = np.where((ids >= 0) & (ids < pieces.size), ids, pieces.size)  # one past the end: nothing
+    size = pieces.raw_size[ids]
+    filled = np.concatenate([[0], np.cumsum(size)])
+    raw = pieces.raw[np.arange(filled[-1]) + np.repeat(pieces.raw_start[ids] - filled[:-1], size)].tobytes()
+    cuts = filled[np.concatenate([[0], ends])]
+    parts = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+    return [(p[1:] if p[:1] == b" " else p).decode("utf-8", "replace") for p in parts]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -317,9 +331,12 @@ def decoded(encoded: DataFrame, model_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_file)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                texts = [None if v is None else decode(pieces, v) for v in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                lists = batch.column("ids")
+                filled = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))
+                texts = decode_all(pieces, np.asarray(lists.flatten(), np.int64), filled)
+                found = pa.array(texts, pa.string(), mask=np.asarray(lists.is_null()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "text"])
 
     return encoded.mapInArrow(run, schema)
