@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright import presets
+from tabwright.functions.cleaning import named
 from tabwright.operators.roles import present
 
 
@@ -77,30 +78,40 @@ def score_rows(df: DataFrame, cost_model: Model, class_model: Model, classes: Se
     """Score every row with a cost model and a class model in one pass.
 
     The input columns are kept and joined by prediction, clipped probabilities per class, the
-    comparison with the actual values and an error band.
+    comparison with the actual values and an error band. With ``schema``, the models see exactly
+    its columns: unknown ones are hidden from them, absent ones are null, types are cast.
     """
-    inputs = df
-    if schema is not None:
-        absent = [f for f in schema.fields if f.name not in df.columns]
-        inputs = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent})
+    fields = df.schema if schema is None else schema
     kept = df.columns
-    actual_cost = F.col(cost).cast("double") if cost in kept else None
-    actual_label = F.col(label) if label in kept else None
-    costed = cost_model.transform(inputs).select(*inputs.columns, F.col("prediction").alias("_cost"))
+    own = {c: F.col(f"_row.`{c}`") for c in kept}
+    inputs = df.select(F.struct("*").alias("_row"), *[
+        (named(f.name).cast(f.dataType) if f.name in kept else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields.fields])
+    actual_cost = own[cost].cast("double") if cost in kept else None
+    actual_label = own.get(label)
+    costed = cost_model.transform(inputs).select(*[named(c) for c in inputs.columns], F.col("prediction").alias("_cost"))
     classed = class_scores(class_model.transform(costed), classes, "_scores", "_class")
     pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in classes]), clipped(F.col("_scores")))
     compared = compare_cost(F.col("_cost"), actual_cost) | compare_class(F.col("_class"), actual_label)
-    scored = classed.select(*kept, pairs.alias("probabilities"), *[c.alias(n) for n, c in compared.items()])
+    scored = classed.select(*[own[c].alias(c) for c in kept], pairs.alias("probabilities"), *[c.alias(n) for n, c in compared.items()])
     return scored.withColumn("band", error_band(F.col("error")))
 
 
+def model_importances(model: PipelineModel, names: Sequence[str]) -> dict[str, float]:
+    """Importance per feature: a tree model's own, or the size of a linear model's coefficients (of standardised inputs)."""
+    learner = model.stages[-1] if isinstance(model, PipelineModel) else model
+    members = learner.models if hasattr(learner, "models") else [learner]
+    if all(hasattr(m, "featureImportances") for m in members):
+        vectors = [m.featureImportances.toArray() for m in members]
+    elif hasattr(learner, "coefficientMatrix"):
+        vectors = abs(learner.coefficientMatrix.toArray())
+    else:
+        vectors = [abs(learner.coefficients.toArray())]
+    return {name: float(sum(v[i] for v in vectors) / len(vectors)) for i, name in enumerate(names)}
+
+
 def feature_importances(model: PipelineModel, names: Sequence[str], spark, n: int = 10) -> DataFrame:
     """The ``n`` most important features with their share of the largest importance."""
-    learner = model.stages[-1] if isinstance(model, PipelineModel) else model
-    members = [learner] if hasattr(learner, "featureImportances") else learner.models
-    vectors = [m.featureImportances.toArray() for m in members]
-    rows = [{"name": name, "importance": float(sum(v[i] for v in vectors) / len(vectors))}
-            for i, name in enumerate(names)]
+    rows = [{"name": n, "importance": v} for n, v in model_importances(model, names).items()]
     table = spark.createDataFrame(pa.Table.from_pylist(rows))
     return top_importances(table, n)
 

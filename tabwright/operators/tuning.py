@@ -13,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright import presets
 from tabwright.functions.hashing import key_hash
@@ -150,6 +151,9 @@ class Run:
     metrics: DataFrame
     confusions: DataFrame | None
     searches: dict[str, Search] = field(default_factory=dict)
+    roles: Roles | None = None
+    inputs: T.StructType | None = None
+    classes: list[str] | None = None
 
 
 def _check(models: Sequence[str], known: Sequence[str]) -> None:
@@ -221,7 +225,8 @@ def train_classifiers(
         scored.unpersist()
     best = max(rows, key=lambda r: r[select_by])
     return Run(best["model"], best[select_by], searches[best["model"]].model,
-               _metrics_frame(df, rows, select_by, False), confusions, searches)
+               _metrics_frame(df, rows, select_by, False), confusions, searches, roles,
+               df.select(*roles.columns).schema, classes)
 
 
 def train_regressors(
@@ -248,7 +253,7 @@ def train_regressors(
         rows.append(row)
     best = min(rows, key=lambda r: r[select_by])
     return Run(best["model"], best[select_by], searches[best["model"]].model,
-               _metrics_frame(df, rows, select_by, True), None, searches)
+               _metrics_frame(df, rows, select_by, True), None, searches, roles, df.select(*roles.columns).schema)
 
 
 @dataclass(frozen=True)

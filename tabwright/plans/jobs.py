@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright import presets
 from tabwright.operators import distribution, labels, profile, reports, scoring, tuning
-from tabwright.operators.features import Preprocessor
+from tabwright.operators.features import Preprocessor, feature_names
 from tabwright.operators.roles import NUMERIC, Roles, columns_of_type, present
 from tabwright.sources import readers, writers
 
@@ -66,6 +68,12 @@ def _save_summary(spark: SparkSession, summary: Mapping, path: str) -> None:
     writers.write_json(spark.createDataFrame(pa.Table.from_pylist([dict(summary)])), path)
 
 
+def model_card(model: PipelineModel, roles: Roles, inputs: T.StructType, classes: Sequence[str] | None = None) -> dict:
+    """What scoring needs besides the model: the columns it was trained on, its classes and importances."""
+    return {"inputs": inputs.jsonValue(), "classes": list(classes or []),
+            "importances": scoring.model_importances(model, feature_names(model, roles))}
+
+
 def train_and_save_classifiers(df: DataFrame, folder: str, target: str, key: Column, derive_target: bool = False,
                                **options) -> tuning.Run:
     """Train classifiers and leave metrics, confusions, the best model and a summary in ``folder``."""
@@ -76,7 +84,7 @@ def train_and_save_classifiers(df: DataFrame, folder: str, target: str, key: Col
     documents = writers.confusion_documents(run.confusions)
     for name in run.searches:
         writers.write_json(documents.where(F.col("model") == name), f"{folder}/confusion_{name}.json")
-    saved = writers.save_model(run.model, folder, "best_cls_model")
+    saved = writers.save_model(run.model, folder, "best_cls_model", card=model_card(run.model, run.roles, run.inputs, run.classes))
     _save_summary(df.sparkSession, {
         "best_model": run.best, "best_test_mcc": run.best_score, "metrics_csv": f"{folder}/metrics_cls.csv",
         "model_artifact": saved, "target": target, "derived_target": derive_target}, f"{folder}/run_cls_summary.json")
@@ -86,19 +94,30 @@ def train_and_save_classifiers(df: DataFrame, folder: str, target: str, key: Col
 def train_and_save_regressors(df: DataFrame, folder: str, target: str, key: Column, **options) -> tuning.Run:
     run = tuning.train_regressors(df, target, key, **options)
     writers.write_report(run.metrics, f"{folder}/metrics_reg.csv")
-    saved = writers.save_model(run.model, folder, "best_reg_model")
+    saved = writers.save_model(run.model, folder, "best_reg_model", card=model_card(run.model, run.roles, run.inputs))
     _save_summary(df.sparkSession, {
         "best_model": run.best, "best_test_rmse": run.best_score, "metrics_csv": f"{folder}/metrics_reg.csv",
         "model_artifact": saved, "target": target}, f"{folder}/run_reg_summary.json")
     return run
 
 
-def score_with_latest(df: DataFrame, class_folder: str, cost_folder: str, classes: Sequence[str], **columns) -> DataFrame:
-    """Score every row with the most recently saved models of two training folders."""
-    spark = df.sparkSession
-    cost = writers.load_latest(spark, cost_folder, "best_reg_model")
-    risk = writers.load_latest(spark, class_folder, "best_cls_model")
-    return scoring.score_rows(df, cost, risk, classes, **columns)
-
-
+def score_with_latest(df: DataFrame, class_folder: str, cost_folder: str, classes: Sequence[str] | None = None,
+                      columns: Mapping[str, str] | None = None, **options) -> DataFrame:
+    """Score every row with the most recently saved models of two training folders, and say why.
 
+    Input columns, classes and importances come from the models' cards; ``classes`` is needed only
+    for a model saved without one. ``columns`` renames the inputs of the findings, see ``with_reasons``.
+    """
+    spark = df.sparkSession
+    paths = [writers.latest_model_path(spark, cost_folder, "best_reg_model"), writers.latest_model_path(spark, class_folder, "best_cls_model")]
+    cost, risk = (PipelineModel.load(p) for p in paths)
+    cards = [writers.load_card(spark, p) for p in paths]
+    classes = classes or cards[1].get("classes")
+    if not classes:
+        raise ValueError("the class model was saved without its classes, name them")
+    schema = None
+    if all("inputs" in c for c in cards):
+        fields = {f.name: f for c in cards for f in T.StructType.fromJson(c["inputs"]).fields}
+        schema = T.StructType(list(fields.values()))
+    scored = scoring.score_rows(df, cost, risk, classes, schema=schema, **options)
+    return scoring.with_reasons(scored, cards[1].get("importances", {}), columns)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +46,31 @@ def curve_documents(curves: DataFrame) -> DataFrame:
     return packed.select("experiment", "model", *[F.col(f"points.{f}").alias(n) for f, n in names.items()])
 
 
-def save_model(model: PipelineModel, folder: str, prefix: str, stamp: str | None = None) -> str:
-    """Save under ``folder/prefix_<time>`` and return the path."""
+def save_model(model: PipelineModel, folder: str, prefix: str, stamp: str | None = None, card: Mapping | None = None) -> str:
+    """Save under ``folder/prefix_<time>`` and return the path.
+
+    ``card`` is what scoring has to know besides the model (input columns, classes, importances);
+    it travels with the model as one JSON document.
+    """
     stamp = stamp or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
     path = f"{folder}/{prefix}_{stamp}"
     model.write().overwrite().save(path)
+    if card is not None:
+        text = SparkSession.active().createDataFrame([(json.dumps(card),)], "value string")
+        text.coalesce(1).write.mode("overwrite").text(f"{path}/card")
     return path
 
 
+def load_card(spark: SparkSession, path: str) -> dict:
+    """The card of a saved model; empty when it was saved without one."""
+    try:
+        return json.loads(spark.read.text(f"{path}/card").first()["value"])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+
+
 def latest_model_path(spark: SparkSession, folder: str, prefix: str) -> str:
     """Most recently saved model whose name starts with ``prefix``."""
     files = spark.read.format("binaryFile").load(f"{folder}/{prefix}_*/metadata/part-*")
@@ -63,8 +82,3 @@ def latest_model_path(spark: SparkSession, folder: str, prefix: str) -> str:
 
 def load_latest(spark: SparkSession, folder: str, prefix: str) -> PipelineModel:
     return PipelineModel.load(latest_model_path(spark, folder, prefix))
-
-
-def run_summary(best_model: str, best_score: float, score_name: str, **details: str | bool) -> Sequence[dict]:
-    """Summary document of a training run, ready for ``createDataFrame``."""
-    return [{"best_model": best_model, score_name: best_score, **details}]

@@ -140,7 +140,11 @@ def test_training_job_files_can_be_loaded_again(spark, tmp_path):
     assert loaded["summaries"].first()["best_model"] == "logreg_l2"
     assert loaded["metrics"].first()["test_accuracy"] > 0.9
     assert loaded["confusions"].agg(F.sum("n")).first()[0] == 120
-    scored = jobs.score_with_latest(df, folder, str(tmp_path / "reg"), ["0", "1"])
+    # Inputs are aligned, classes and drivers come with the model.
+    odd = df.drop("is_high_risk").withColumns({"age": F.col("age").cast("string"), "unknown": F.lit(1)})
+    again = jobs.score_with_latest(odd, folder, str(tmp_path / "reg")).orderBy("person_id").first()
+    assert again["predicted_risk"] == "0" and again["actual_risk"] == "" and again["age"] == "0" and "Key drivers: age." in again["reason"]
+    scored = jobs.score_with_latest(df, folder, str(tmp_path / "reg"))
     assert scored.where("correct").count() > 270 and scored.where("band = 'good'").count() > 270
 
 
