@@ -420,6 +420,25 @@ def majority_loop(spark, folder):
     return rounded(run.metrics.select("model", *[f"{s}_{m}" for s in ("val", "test") for m in ("accuracy", "f1_macro", "mcc")]), 8)
 
 
+@query("m12_macro_f1_search", f"""WITH {PARTED_SQL}, tr AS (SELECT o_orderkey, h, rich, priority FROM parts WHERE part = 'train'), {folds_sql('tr', 'rich')},
+    tried AS (SELECT depth, f.fold AS held, o.fold, rich, CASE WHEN depth = 0 THEN 'any' ELSE priority::VARCHAR END AS k
+        FROM (SELECT unnest([0, 6]) AS depth) g, (SELECT DISTINCT fold FROM folded) f, folded o),
+    rule AS (SELECT depth, held, k, CASE WHEN sum(rich) * 2 > count(*) THEN 1 ELSE 0 END AS predicted FROM tried WHERE fold <> held GROUP BY ALL),
+    c AS (SELECT depth, held, rich AS actual, predicted, count(*) AS n FROM tried JOIN rule USING (depth, held, k) WHERE fold = held GROUP BY ALL),
+    sides AS (SELECT depth, held, actual AS label, n AS t, 0 AS p, CASE WHEN actual = predicted THEN n ELSE 0 END AS tp FROM c
+        UNION ALL SELECT depth, held, predicted, 0, n, 0 FROM c),
+    each AS (SELECT depth, held, label, 2 * sum(tp)::DOUBLE / (sum(t) + sum(p)) AS f1 FROM sides GROUP BY ALL),
+    per_fold AS (SELECT depth, held, avg(f1) AS f1 FROM each GROUP BY ALL), points AS (SELECT depth, avg(f1) AS mean_score FROM per_fold GROUP BY ALL)
+    SELECT depth::BIGINT AS max_depth, round(mean_score, 8) AS mean_score, row_number() OVER (ORDER BY mean_score DESC, depth) = 1 AS chosen FROM points""")
+def macro_f1_search(spark, folder):
+    """A grid of one-tree forests, each point scored by its mean macro F1 over the folds."""
+    grid = {"n_estimators": [1], "bootstrap": [False], "max_depth": [0, 6]}
+    run = tuning.train_classifiers(graded_orders(spark, folder), "rich", F.col("o_orderkey"), ["rf"], drop=["o_orderkey", "desk"], grids={"rf": grid})
+    search = run.searches["rf"]
+    rows = [(s["params"]["max_depth"], s["mean_score"], s["params"] == search.params) for s in search.scores]
+    return rounded(spark.createDataFrame(rows, "max_depth bigint, mean_score double, chosen boolean"), 8)
+
+
 @query("m14_majority_curves", f"""WITH {GRADED_SQL}, {folds_sql('h', 'rich')},
     trains AS (SELECT f.fold AS held, o.*, row_number() OVER (PARTITION BY f.fold ORDER BY o.h, o.o_orderkey) AS place
         FROM (SELECT DISTINCT fold FROM folded) f JOIN folded o ON o.fold <> f.fold),
