@@ -250,7 +250,9 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, group_rows: int = G
     base = written(rows.mapInArrow(_described, "doc_id long, node long, tag int, n_bytes long, sha256 string"), "passage-texts")
     entries = rows.mapInArrow(_entries(length), _ENTRIES)
     keys = entries.groupBy("key").agg(F.min("span").alias("low"), F.max("span").alias("high"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    met = written(entries.join(keys.select("key", (F.col("low") == F.col("high")).alias("alike")), "key"), "passage-anchors")
+    # Written, so that the join reads plain shuffles and an anchor of very many texts can be split between tasks.
+    keys = written(keys.select("key", (F.col("low") == F.col("high")).alias("alike")), "passage-keys")
+    met = written(entries.join(keys, "key"), "passage-anchors")
     mixed_ = met.filter("NOT alike")
     stretch = F.struct("node", "tag", "start", "windows", "offset")
     distinct = written(mixed_.groupBy("key", "span").agg(F.count(F.lit(1)).alias("times"), F.min(stretch).alias("one")), "passage-stretches")
