@@ -9,8 +9,11 @@ from tabwright.storage import written
 
 
 def _smaller_ends(edges: DataFrame) -> DataFrame:
-    """Both ends of every edge to the smallest neighbour of its centre; a centre of any degree is summed before it is shuffled."""
-    return edges.join(edges.groupBy("a").agg(F.min("b").alias("least")), "a")
+    """Every edge with the smallest neighbour of its centre.
+
+    The minima are summed before they are shuffled and written before the join, which can then split a centre of any degree.
+    """
+    return edges.join(written(edges.groupBy("a").agg(F.min("b").alias("least")), "least"), "a")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -220,6 +220,8 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     keyed = keyed.filter(F.col("doc_id").isNotNull() & (F.size("keys") > 0)).groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"))
     entries = keyed.select(F.explode("keys").alias("key"), "node")
     lists = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
+    # Written, so that the join reads plain shuffles and a list of very many sets can be split between tasks.
+    lists = written(lists, "join-lists")
     meeting = entries.join(lists, "key").filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     clusters = written(components(meeting), "join-clusters").withColumnRenamed("root", "cluster")
     wanted = clusters.join(nodes, "node")
