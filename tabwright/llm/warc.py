@@ -166,9 +166,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, level: i
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     shared = F.octet_length("html") >= least_bytes
-    # One row per payload that occurs more than once; a group of any size is summed before it is shuffled.
+    # One row per payload that occurs more than once; a group of any size is summed before it is shuffled. Written, so
+    # that the join reads plain shuffles and can split such a group between tasks.
     groups = rows.filter(shared).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    marked = rows.join(groups.select("digest", "refers_to", F.lit(True).alias("grouped")), "digest", "left")
+    groups = written(groups.select("digest", "refers_to", F.lit(True).alias("grouped")), "warc-groups")
+    marked = rows.join(groups, "digest", "left")
     marked = marked.withColumn("revisit", F.coalesce(F.col("grouped") & ~F.col("page_id").eqNullSafe(F.col("refers_to")), F.lit(False)) & shared)
     date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     files = marked.select("page_id", "url", "html", F.when(F.col("revisit"), F.col("refers_to")).alias("refers_to"), "revisit")
