@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.operators.orderstats import ROW_LIMIT, quantiles
+from tabwright.operators.orderstats import ROW_LIMIT, melt, quantiles
 from tabwright.storage import side_table
 
 
@@ -137,6 +137,26 @@ def box_statistics(df: DataFrame, column: str, group: str, row_limit: int = ROW_
     )
 
 
+def box_from_description(df: DataFrame, described: DataFrame, columns: Sequence[str], group: str) -> DataFrame:
+    """``box_statistics`` of many columns in one pass: ``feature, group, n, q1, median, q3, whisker_lo, whisker_hi, outliers``.
+
+    The quartiles come from a description of the same columns by the same group.
+    """
+    reach = (F.col("p75") - F.col("p25")) * 1.5
+    fences = side_table(described.select("feature", group, F.col("p25").alias("q1"), F.col("p50").alias("median"), F.col("p75").alias("q3"),
+                                         (F.col("p25") - reach).alias("fence_lo"), (F.col("p75") + reach).alias("fence_hi")), "fences")[0]
+    v = F.col("value")
+    inside = (v >= F.col("fence_lo")) & (v <= F.col("fence_hi"))
+    quartiles = ["q1", "median", "q3"]
+    return (
+        melt(df, columns, [group]).where(v.isNotNull()).join(fences, ["feature", group]).groupBy("feature", group)
+        .agg(F.count(v).alias("n"), *[F.first(c).alias(c) for c in quartiles],
+             F.min(F.when(inside & (v <= F.col("q1")), v)).alias("low"), F.max(F.when(inside & (v >= F.col("q3")), v)).alias("high"),
+             F.count_if(~inside).alias("outliers"))
+        .select("feature", group, "n", *quartiles, F.coalesce("low", "q1").alias("whisker_lo"), F.coalesce("high", "q3").alias("whisker_hi"), "outliers")
+    )
+
+
 def box_outliers(df: DataFrame, column: str, group: str, row_limit: int = ROW_LIMIT) -> DataFrame:
     """The rows of ``df`` that lie beyond the whiskers of their group."""
     fences = _fences(df, column, group, row_limit).select(group, "fence_lo", "fence_hi")

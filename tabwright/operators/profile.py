@@ -151,6 +151,19 @@ def crosstab_long(df: DataFrame, row: str, column: str) -> DataFrame:
     return counts.join(totals, "row").select("row", "value", (F.col("n") / F.col("total")).alias("share"))
 
 
+def category_counts(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """Rows per value and label of many columns from one pass: ``feature, value, label, n``; missing values and labels are left out."""
+    texts = df.select(F.col(label).alias("label"), *[F.col(c).cast("string").alias(c) for c in columns])
+    long = texts.unpivot(["label"], [named(c) for c in columns], "feature", "value")
+    return long.where(F.col("value").isNotNull() & F.col("label").isNotNull()).groupBy("feature", "value", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_shares(counts: DataFrame) -> DataFrame:
+    """Share of every label within each value of a column; the share of a 0/1 label's 1 is its rate."""
+    totals = counts.groupBy("feature", "value").agg(F.sum("n").alias("total"))
+    return counts.join(totals, ["feature", "value"]).select("feature", "value", "label", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence | None = None, most_values: int = MOST_COLUMNS) -> DataFrame:
     """``crosstab_long`` with a column per value, of which there may be ``most_values``; the shares of a row add to 1."""
     values = list(values) if values is not None else _known_values(df, column, most_values)

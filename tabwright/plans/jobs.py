@@ -15,28 +15,43 @@ from tabwright.operators import distribution, labels, profile, reports, scoring,
 from tabwright.operators.features import Preprocessor, feature_names
 from tabwright.operators.roles import NUMERIC, Roles, columns_of_type, present
 from tabwright.sources import readers, writers
+from tabwright.storage import side_table
+
+
+def profile_by_label(df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str]) -> dict[str, DataFrame]:
+    """Description and box statistics of all numbers and label shares of all texts, by a label.
+
+    The table is read as often for many columns as for few: quartiles of all columns are found together and serve both the
+    description and the boxes, and one count of ``(column, value, label)`` serves all texts.
+    """
+    found = {}
+    if numeric:
+        described, _ = side_table(profile.describe(df, numeric, by=[label]), "described")
+        found["describe_by_label"] = described
+        found["boxes"] = distribution.box_from_description(df.where(F.col(label).isNotNull()), described, numeric, label)
+    if categorical:
+        counts, _ = side_table(profile.category_counts(df, categorical, label), "categories")
+        found["shares"] = profile.label_shares(counts)
+    return found
 
 
 def profile_table(df: DataFrame, numeric: Sequence[str] = tuple(presets.PROFILE_NUMERIC_COLUMNS),
                   categorical: Sequence[str] = tuple(presets.PROFILE_CATEGORICAL_COLUMNS),
                   bins: int = 40) -> dict[str, DataFrame]:
-    """Every table of an exploratory report, each one lazy and independent of the others."""
+    """Every table of an exploratory report.
+
+    Quantiles, limits and label counts are evaluated on the way, since other tables build on
+    them; how often the table is read does not depend on the number of columns.
+    """
     numeric, categorical = present(df, numeric), present(df, categorical)
     labelled = labels.risk_label(df)
-    found = {
+    return {
         "shape": profile.shape(df), "missing": profile.most_missing(df, 15),
         "duplicates": profile.duplicate_rows(df), "describe": profile.describe(df),
         "label_counts": profile.value_counts(labelled, "risk_label"),
-        "describe_by_label": profile.describe(labelled, numeric, by=["risk_label"]),
         "histograms": distribution.histograms(df, {c: bins for c in numeric}),
         "correlations": profile.correlations(df, numeric),
-    }
-    for c in numeric:
-        found[f"box_{c}"] = distribution.box_statistics(labelled, c, "risk_label")
-    for c in categorical:
-        found[f"share_{c}"] = profile.crosstab(labelled, c, "risk_label")
-        found[f"rate_{c}"] = profile.rate_by(labelled, c, F.col("risk_label") == 1)
-    return found
+    } | profile_by_label(labelled, "risk_label", numeric, categorical)
 
 
 def profile_files(df: DataFrame, folder: str) -> None:

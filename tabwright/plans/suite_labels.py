@@ -337,8 +337,9 @@ def nested_prefixes(spark, folder):
     cells = folded.groupBy("fold", stretch.alias("stretch")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
     sets = spark.createDataFrame([(s["fold"], s["size"], s["cut"]) for s in steps], "held bigint, train_size bigint, cut bigint")
     sets = sets.withColumn("first", F.aggregate(cuts, F.lit(0), lambda n, c: n + (c < F.col("cut")).cast("int")))
-    # Both sides are a few rows per fold: as many cells as cuts and as many sets.
-    inside = F.broadcast(sets).join(cells, (F.col("fold") != F.col("held")) & (F.col("stretch") <= F.col("first")))
+    # Every cell counts in the sets of all other folds.
+    others = F.filter(F.sequence(F.lit(0), F.lit(2)), lambda f: f != F.col("fold"))
+    inside = cells.withColumn("held", F.explode(others.cast("array<bigint>"))).join(sets, "held").where(F.col("stretch") <= F.col("first"))
     return rounded(inside.groupBy(F.col("held").cast("int").alias("fold"), "train_size").agg(
         F.sum("n").alias("n_rows"), (F.sum("total") / F.sum("n")).alias("mean_price")), 4)
 

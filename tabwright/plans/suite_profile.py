@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabwright.operators import distribution, profile
 from tabwright.operators.roles import columns_of_type, present, NUMERIC
+from tabwright.plans import jobs
 from tabwright.plans.suite import query, rounded, table
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -292,3 +293,33 @@ def present_columns(spark, folder):
 def columns_by_type(spark, folder):
     df = table(spark, folder, "part")
     return rounded(profile.describe(df, columns_of_type(df, *NUMERIC)).select("feature", "max"))
+
+
+NUMBERS, TEXTS = ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"]
+
+
+def e1_sql() -> str:
+    boxes = " UNION ALL ".join(f"""SELECT '{c}' AS feature, dear, {c} AS v, quantile_cont({c}, 0.25) OVER (PARTITION BY dear) AS q1,
+        quantile_cont({c}, 0.75) OVER (PARTITION BY dear) AS q3 FROM lab WHERE {c} IS NOT NULL""" for c in NUMBERS)
+    counts = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, dear, count(*) AS n FROM lab WHERE {c} IS NOT NULL GROUP BY ALL" for c in TEXTS)
+    lines = [f"SELECT 'describe' AS part, feature, dear::VARCHAR AS grp, '{f}' AS figure, {f}::DOUBLE AS number FROM described" for f in ("count", "mean", "p25", "p50", "p75")]
+    lines += [f"SELECT 'box', feature, dear::VARCHAR, '{f}', round({f}::DOUBLE, 6) FROM box" for f in ("whisker_lo", "whisker_hi", "outliers")]
+    lines += ["SELECT 'share', feature, value || '=' || dear, 'share', round(n / sum(n) OVER (PARTITION BY feature, value)::DOUBLE, 8) FROM counts"]
+    return f"""WITH {GAPPY_SQL}, lab AS (SELECT *, (l_extendedprice > 40000)::INT AS dear FROM gappy), described AS ({describe_sql('lab', NUMBERS, 'dear')}),
+        spread AS ({boxes}), fenced AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM spread),
+        box AS (SELECT feature, dear, min(v) FILTER (v >= lo) AS whisker_lo, max(v) FILTER (v <= hi) AS whisker_hi,
+            count(*) FILTER (v < lo OR v > hi) AS outliers FROM fenced GROUP BY ALL), counts AS ({counts}) """ + " UNION ALL ".join(lines)
+
+
+@query("e1_profile", e1_sql())
+def profile_report(spark, folder):
+    """The parts of the exploratory report that depend on a label, as one long table."""
+    df = gappy_lineitem(spark, folder).withColumn("dear", (F.col("l_extendedprice") > 40000).cast("int"))
+    found = jobs.profile_by_label(df, "dear", NUMBERS, TEXTS)
+    figures = lambda part, t, names: t.select(F.lit(part).alias("part"), "feature", F.col("dear").cast("string").alias("grp"), *[
+        F.col(n).cast("double").alias(n) for n in names]).unpivot(["part", "feature", "grp"], names, "figure", "number")
+    numbers = figures("describe", described(found["describe_by_label"]), ["count", "mean", "p25", "p50", "p75"])
+    boxes = figures("box", rounded(found["boxes"]), ["whisker_lo", "whisker_hi", "outliers"])
+    shares = found["shares"].select(F.lit("share").alias("part"), "feature", F.concat_ws("=", "value", F.col("label").cast("string")).alias("grp"),
+                                    F.lit("share").alias("figure"), F.round("share", 8).alias("number"))
+    return numbers.unionByName(boxes).unionByName(shares)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwright.operators import distribution, evaluate, orderstats, profile, running, sampling
+from tabwright.plans import jobs
 
 
 def numbers(spark, n=900, keys=None):
@@ -96,3 +97,16 @@ def test_crosstab_in_long_form(spark):
     assert long == {(r["g"], c): r[c] for r in wide for c in r.asDict() if c != "g" and r[c]}
     with pytest.raises(ValueError, match="crosstab_long"):
         profile.crosstab(df, "g", "key", most_values=20)
+
+
+def test_profile_reads_the_table_equally_often_for_many_columns(spark):
+    df = spark.range(2000).select("id", (F.col("id") % 2).alias("y"), *[(F.col("id") * (7 + i) % 97).cast("double").alias(f"x{i}") for i in range(8)],
+                                  *[(F.col("id") % (3 + i)).cast("string").alias(f"t{i}") for i in range(8)])
+    jobs_of = {}
+    for n in (2, 8):
+        spark.sparkContext.setJobGroup(f"profile-{n}", "count jobs")
+        for part in jobs.profile_by_label(df, "y", [f"x{i}" for i in range(n)], [f"t{i}" for i in range(n)]).values():
+            part.collect()
+        jobs_of[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"profile-{n}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs_of[8] <= jobs_of[2] + 2

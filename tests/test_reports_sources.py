@@ -173,11 +173,12 @@ def test_whole_profile_and_prepared_rows(spark, tmp_path):
         "smoker": [None if i % 11 == 0 else ("Never", "Current")[i % 2] for i in range(n)], "hypertension": [i % 2 for i in range(n)],
         "annual_medical_cost": [100.0 * i for i in range(n)]}))
     found = jobs.profile_table(df)
-    assert {"shape", "describe_by_label", "box_age", "rate_smoker", "share_smoker"} <= set(found)
+    assert {"shape", "describe_by_label", "boxes", "shares"} <= set(found)
     rows = {name: t.collect() for name, t in found.items()}
     assert rows["shape"][0]["n_rows"] == n and sum(r["n"] for r in rows["label_counts"]) == n
     assert sum(r["n"] for r in rows["histograms"] if r["feature"] == "age") == n
-    assert {r["feature"] for r in rows["describe_by_label"]} == {"age", "bmi", "annual_medical_cost"}
+    assert {r["feature"] for r in rows["describe_by_label"]} == {r["feature"] for r in rows["boxes"]} == {"age", "bmi", "annual_medical_cost"}
+    assert sum(r["share"] for r in rows["shares"] if r["feature"] == "smoker") == pytest.approx(2)
     prepared = jobs.prepare_and_save(df, str(tmp_path / "rows"))
     again = spark.read.option("header", True).csv(str(tmp_path / "rows"))
     assert again.columns == prepared.columns == [
