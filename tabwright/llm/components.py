@@ -16,6 +16,13 @@ def _smaller_ends(edges: DataFrame) -> DataFrame:
     return edges.join(written(edges.groupBy("a").agg(F.min("b").alias("least")), "least"), "a")
 
 
+def _is_star_forest(pairs: DataFrame) -> bool:
+    """Every node hangs on to one root, and no root hangs on to anything."""
+    several = pairs.groupBy("a").count().filter("count > 1").select("a")
+    inner = pairs.select(F.col("b").alias("a")).join(pairs.select("a"), "a", "left_semi")
+    return several.union(inner).isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for every node that has an edge to another one; ``root`` is the smallest node it reaches.
 
@@ -23,7 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     pairs = written(pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
-    while True:
+    while not _is_star_forest(pairs):
         # Large star: every larger neighbour of a node hangs on to its smallest one.
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _smaller_ends(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
@@ -31,9 +38,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = _smaller_ends(large)
         small = low.select(F.col("b").alias("a"), F.col("least").alias("b")).union(low.select("a", F.col("least").alias("b")))
         pairs = written(small.filter("a <> b").distinct(), "edges")
-        # Done when every node hangs on to one root and no root hangs on to anything.
-        several = pairs.groupBy("a").count().filter("count > 1").select("a")
-        inner = pairs.select(F.col("b").alias("a")).join(pairs.select("a").distinct(), "a", "left_semi")
-        if several.union(inner).isEmpty():
-            break
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -191,13 +191,26 @@ def join_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int,
 
 
 def _joined(percent: int):
+    """Every set of one task, hung on to the smallest node of what it is connected with there."""
+
     def run(table: pa.Table) -> pa.Table:
         seen: dict[int, np.ndarray] = {}
         for node, shingles in zip(table.column("node").to_pylist(), table.column("shingles")):
             seen.setdefault(node, np.asarray(shingles.values).view(np.uint64))
         nodes = list(seen)
-        links = join_sets(list(seen.values()), percent)
-        return pa.table({"a": pa.array([nodes[x] for x, _ in links], pa.int64()), "b": pa.array([nodes[y] for _, y in links], pa.int64())})
+        root = list(range(len(nodes)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for x, y in join_sets(list(seen.values()), percent):
+            x, y = find(x), find(y)
+            root[y if nodes[x] < nodes[y] else x] = x if nodes[x] < nodes[y] else y
+        hung = [(nodes[k], nodes[find(k)]) for k in range(len(nodes)) if find(k) != k]
+        return pa.table({"a": pa.array([a for a, _ in hung], pa.int64()), "b": pa.array([b for _, b in hung], pa.int64())})
 
     return run
 
@@ -220,14 +233,15 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     keyed = keyed.filter(F.col("doc_id").isNotNull() & (F.size("keys") > 0)).groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"))
     entries = keyed.select(F.explode("keys").alias("key"), "node")
     lists = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
-    # Written, so that the join reads plain shuffles and a list of very many sets can be split between tasks.
+    # Written, so that the join reads plain shuffles and a list of very many sets can be split between tasks. What grows
+    # with the documents is never broadcast, here and below, small as it may be for a small table.
     lists = written(lists, "join-lists")
-    meeting = entries.join(lists, "key").filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    meeting = entries.join(lists.hint("merge"), "key").filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     clusters = written(components(meeting), "join-clusters").withColumnRenamed("root", "cluster")
     wanted = clusters.join(nodes, "node")
     weight = wanted.groupBy("cluster").agg(F.sum("n").alias("weight"))
     wanted = written(wanted.join(weight, "cluster"), "join-wanted")
-    texts = rows.join(wanted.select("cluster", F.col("node").alias("doc_id"), "digest"), "doc_id")
+    texts = rows.join(wanted.select("cluster", F.col("node").alias("doc_id"), "digest").hint("merge"), "doc_id")
     sets = texts.mapInArrow(_sets("sets", words, percent), "cluster long, node long, wanted binary, digest binary, shingles array<long>")
     sets = sets.filter("wanted = digest").join(weight.filter(F.col("weight") > task_shingles).select("cluster", "weight"), "cluster", "left")
     parts = F.coalesce(F.ceil(F.col("weight") / (task_shingles // 2)), F.lit(1)).cast("int")
