@@ -252,7 +252,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, group_rows: int = G
     keys = entries.groupBy("key").agg(F.min("span").alias("low"), F.max("span").alias("high"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     # Written, so that the join reads plain shuffles and an anchor of very many texts can be split between tasks.
     keys = written(keys.select("key", (F.col("low") == F.col("high")).alias("alike")), "passage-keys")
-    met = written(entries.join(keys, "key"), "passage-anchors")
+    met = written(entries.join(keys.hint("merge"), "key"), "passage-anchors")
     mixed_ = met.filter("NOT alike")
     stretch = F.struct("node", "tag", "start", "windows", "offset")
     distinct = written(mixed_.groupBy("key", "span").agg(F.count(F.lit(1)).alias("times"), F.min(stretch).alias("one")), "passage-stretches")
@@ -263,14 +263,14 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, group_rows: int = G
     wanted = distinct.join(kinds, "key").select("one.node", "one.tag", F.struct("key", (F.col("kinds") > group_rows).alias("hot"), "one.start", "one.windows", "one.offset").alias("w"))
     wanted = wanted.groupBy("node", "tag").agg(F.collect_list("w").alias("wanted"))
     long_texts = rows.filter(F.octet_length("text") >= length).select("node", "text")
-    pieces = long_texts.join(wanted, "node").mapInArrow(_stretches(length), "key long, hot boolean, node long, tag int, start int, windows int, offset int, stretch binary")
+    pieces = long_texts.join(wanted.hint("merge"), "node").mapInArrow(_stretches(length), "key long, hot boolean, node long, tag int, start int, windows int, offset int, stretch binary")
     pieces = written(pieces, "passage-pieces")
     ends = pieces.filter("NOT hot").groupBy("key").applyInArrow(_sorted_groups(length), _INTERVALS)
     single = pieces.filter("hot").select("node", "tag", "start", "windows", "stretch").mapInArrow(_windows(length), "window binary, node long, tag int, start int")
     several = single.groupBy("window").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("window")
     hot = single.join(several, "window").select("node", "tag", "start", (F.col("start") + length).alias("stop"))
     spans = repeated.union(ends).union(hot).groupBy("node", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    cut = long_texts.join(spans, "node").mapInArrow(_cut, "node long, tag int, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,stop:int>>")
+    cut = long_texts.join(spans.hint("merge"), "node").mapInArrow(_cut, "node long, tag int, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,stop:int>>")
     cut = cut.dropDuplicates(["node", "tag"])
     nothing = F.array().cast("array<struct<start:int,stop:int>>")
     return base.join(cut, ["node", "tag"], "left").select(
