@@ -102,4 +102,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     key = lambda sha: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), sha).alias("row_key_")
     kept = exact_duplicates(docs).filter("kept").select(key(F.col("text_sha256")))
     rows = docs.select("*", key(_text_sha256("text")))
-    return rows.join(kept, "row_key_").dropDuplicates(["row_key_"]).select(*docs.columns)
+    return rows.join(kept.hint("merge"), "row_key_").dropDuplicates(["row_key_"]).select(*docs.columns)

@@ -201,5 +201,5 @@ def mixed_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     taken = taken_words(plan_mix(docs, seed=seed, **how)).groupBy("doc_id").agg(F.sum("taken").alias("taken_"), F.sum("size").alias("size_"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     times = taken.filter("size_ > 0").select(F.col("doc_id").alias("drawn_"), F.floor(F.col("taken_") / F.col("size_") + chance).cast("int").alias("times_"))
-    drawn = docs.join(times.filter("times_ > 0"), F.col("doc_id").eqNullSafe(F.col("drawn_")))
+    drawn = docs.join(times.filter("times_ > 0").hint("merge"), F.col("doc_id").eqNullSafe(F.col("drawn_")))
     return drawn.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*docs.columns)

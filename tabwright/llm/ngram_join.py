@@ -261,4 +261,4 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
     Rows that repeat an id stay or go together; rows without an id stay only where nothing they link with has one.
     """
     stays = jaccard_components(docs, **how).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("stays_")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays_")), "left_semi")
+    return docs.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("stays_")), "left_semi")
