@@ -18,8 +18,11 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Spark's limit on tree depth, used when no depth is asked for.
+#: Spark's limit on tree depth, used when no depth is asked for. The driver holds all trees, and so deep ones grow with the
+#: rows: ``max_depth``, ``min_instances`` (rows per leaf) and ``subsampling_rate`` bound them on large tables.
 DEEPEST = 30
+#: Most classes that are weighted.
+MOST_CLASSES = 10_000
 CLASSIFIERS = ("logreg_l2", "logreg_l1", "rf", "gbr")
 REGRESSORS = ("linear", "ridge", "lasso", "elasticnet", "rf", "gbr")
 
@@ -42,8 +45,11 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def _weight_expression(df: DataFrame, label: str):
-    """Balanced weights as a literal map; the number of classes is what the learner itself holds."""
-    pairs = [F.lit(float(x)) for r in class_weights(df, label).collect() for x in (r[label], r["weight"])]
+    """Balanced weights as a literal map, of at most ``MOST_CLASSES`` classes."""
+    found = class_weights(df, label).limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"{label!r} has more than {MOST_CLASSES} values, too many for classes")
+    pairs = [F.lit(float(x)) for r in found for x in (r[label], r["weight"])]
     return F.create_map(*pairs)[F.col(label).cast("double")]
 
 
@@ -135,6 +141,7 @@ def build_classifier(name: str, params: Mapping | None = None, classes: int = 2,
     if name == "rf":
         return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p.get("max_depth")),
                                       featureSubsetStrategy="sqrt", seed=seed, maxBins=max_bins,
+                                      minInstancesPerNode=int(p.get("min_instances", 1)), subsamplingRate=float(p.get("subsampling_rate", 1.0)),
                                       bootstrap=bool(p.get("bootstrap", True)), cacheNodeIds=True, **columns)
     if name == "gbr":
         boosted = GBTClassifier(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
@@ -156,7 +163,8 @@ def build_regressor(name: str, params: Mapping | None = None, seed: int = 42, fe
         # Spark has no least size for splitting a node; half of it per child is the nearest.
         return RandomForestRegressor(
             numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p.get("max_depth")),
-            minInstancesPerNode=max(1, int(p.get("min_samples_split", 2)) // 2),
+            minInstancesPerNode=int(p.get("min_instances", max(1, int(p.get("min_samples_split", 2)) // 2))),
+            subsamplingRate=float(p.get("subsampling_rate", 1.0)),
             bootstrap=bool(p.get("bootstrap", True)), featureSubsetStrategy="all", seed=seed, maxBins=max_bins,
             cacheNodeIds=True, **columns)
     if name == "gbr":
