@@ -105,9 +105,9 @@ def _sets(kind: str, words: int, percent: int):
                 lists = [block_keys(s, classes) if len(s) else s for s in sets] if kind == "keys" else sets
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 flat = np.concatenate(lists).view(np.int64) if len(lists) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*([ids] if kind == "keys" else [batch.column("cluster"), ids, batch.column("digest")]), digests,
+                yield pa.RecordBatch.from_arrays([*([ids] if kind == "keys" else [batch.column("cluster"), batch.column("weight"), ids, batch.column("digest")]), digests,
                                                   pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                                                 ["doc_id", "digest", "keys"] if kind == "keys" else ["cluster", "node", "wanted", "digest", "shingles"])
+                                                 ["doc_id", "digest", "keys"] if kind == "keys" else ["cluster", "weight", "node", "wanted", "digest", "shingles"])
 
     return run
 
@@ -241,10 +241,10 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     wanted = clusters.join(nodes, "node")
     weight = wanted.groupBy("cluster").agg(F.sum("n").alias("weight"))
     wanted = written(wanted.join(weight, "cluster"), "join-wanted")
-    texts = rows.join(wanted.select("cluster", F.col("node").alias("doc_id"), "digest").hint("merge"), "doc_id")
-    sets = texts.mapInArrow(_sets("sets", words, percent), "cluster long, node long, wanted binary, digest binary, shingles array<long>")
-    sets = sets.filter("wanted = digest").join(weight.filter(F.col("weight") > task_shingles).select("cluster", "weight"), "cluster", "left")
-    parts = F.coalesce(F.ceil(F.col("weight") / (task_shingles // 2)), F.lit(1)).cast("int")
+    texts = rows.join(wanted.select("cluster", "weight", F.col("node").alias("doc_id"), "digest").hint("merge"), "doc_id")
+    sets = texts.mapInArrow(_sets("sets", words, percent), "cluster long, weight long, node long, wanted binary, digest binary, shingles array<long>")
+    sets = sets.filter("wanted = digest")
+    parts = F.when(F.col("weight") > task_shingles, F.ceil(F.col("weight") / (task_shingles // 2))).otherwise(1).cast("int")
     sets = sets.select("cluster", "node", "shingles", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
     # A row goes to every pair of parts that holds its own.
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
