@@ -25,8 +25,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a Jaccard similarity of at least 0.9 of their 3-word shingles, the one with the smallest doc_id stays."""
-    return ngram_join.representatives(docs)
+    """Of documents connected by a Jaccard similarity of at least 0.8 of their 5-word shingles, the one with the smallest doc_id stays."""
+    return ngram_join.representatives(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
