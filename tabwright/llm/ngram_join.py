@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.components import components
@@ -96,18 +96,18 @@ def _sets(kind: str, words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(percent)
         for batch in portions(batches, "text"):
-            ids = batch.column("doc_id")
+            ids = pa.nulls(batch.num_rows) if kind == "sets" else batch.column("doc_id")
             sets = shingle_sets(text_bytes(batch.column("text")), words)
             digests = pa.array([_digest(s, i) for s, i in zip(sets, ids.to_pylist())], pa.binary())
             if kind == "sizes":
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), digests], ["doc_id", "n_shingles", "digest"])
+                yield pa.RecordBatch.from_arrays([ids, batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), digests], ["doc_id", "row", "n_shingles", "digest"])
             else:
                 lists = [block_keys(s, classes) if len(s) else s for s in sets] if kind == "keys" else sets
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 flat = np.concatenate(lists).view(np.int64) if len(lists) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*([ids] if kind == "keys" else [batch.column("cluster"), batch.column("weight"), ids, batch.column("digest")]), digests,
-                                                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                                                 ["doc_id", "digest", "keys"] if kind == "keys" else ["cluster", "weight", "node", "wanted", "digest", "shingles"])
+                carried = [] if kind == "keys" else [batch.column(c) for c in ("cluster", "weight", "node", "wanted")]
+                yield pa.RecordBatch.from_arrays([*carried, digests, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                                                 ["digest", "keys"] if kind == "keys" else ["cluster", "weight", "node", "wanted", "digest", "shingles"])
 
     return run
 
@@ -215,22 +215,35 @@ def _joined(percent: int):
     return run
 
 
+def _row_key() -> Column:
+    """The same for rows that repeat an id (or its lack) and a text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
     Two documents link when ``100 * |intersection| >= percent * |union|`` of their sets of ``words``-word shingles;
-    ``component_id`` is the smallest doc_id that links reach. A document without words (or with a null text) links with nothing. A null
-    doc_id counts in no component id; a document that reaches no id has a null one. Rows that repeat an id and a text are copies; equal
-    ids with different texts are distinct documents unless both stand for a set, then they are joined as one node. Other columns are ignored.
+    ``component_id`` is the smallest doc_id that links reach. A document without words (or with a null text) links with nothing. A
+    document without an id links like any other but counts in no component id; one that reaches no id has a null one. Rows that repeat an
+    id and a text are copies; equal ids with different texts are distinct documents. Other columns are ignored.
 
-    Copies of a set are one node from the start. Lists of the index hold node numbers only; nodes that share a list form
-    clusters, and a cluster of more than ``task_shingles`` is joined in pairs of bounded parts.
+    Copies of a set are one node from the start, numbered without regard to doc_ids. Lists of the index hold node numbers only; nodes that
+    share a list form clusters, and a cluster of more than ``task_shingles`` is joined in pairs of bounded parts.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = written(rows.mapInArrow(_sets("sizes", words, percent), "doc_id long, n_shingles long, digest binary"), "join-sizes")
-    nodes = base.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"))
-    keyed = rows.mapInArrow(_sets("keys", words, percent), "doc_id long, digest binary, keys array<long>")
-    keyed = keyed.filter(F.col("doc_id").isNotNull() & (F.size("keys") > 0)).groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"))
+    return _components(docs, words, percent, task_shingles).drop("row")
+
+
+def _components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, task_shingles: int = TASK_SHINGLES) -> DataFrame:
+    """``jaccard_components`` with the key of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias("row"))
+    base = written(rows.mapInArrow(_sets("sizes", words, percent), "doc_id long, row long, n_shingles long, digest binary"), "join-sizes")
+    # One row of every set, with an id if there is one, stands for it.
+    with_id = F.min(F.when(F.col("doc_id").isNotNull(), F.col("row")))
+    nodes = base.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.coalesce(with_id, F.min("row")).alias("row"), F.first("n_shingles").alias("n"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
+    keyed = rows.mapInArrow(_sets("keys", words, percent), "digest binary, keys array<long>")
+    keyed = keyed.filter(F.size("keys") > 0).groupBy("digest").agg(F.any_value("keys").alias("keys")).join(nodes.select("digest", "node").hint("merge"), "digest")
     entries = keyed.select(F.explode("keys").alias("key"), "node")
     lists = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
     # Written, so that the join reads plain shuffles and a list of very many sets can be split between tasks. What grows
@@ -238,10 +251,12 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     lists = written(lists, "join-lists")
     meeting = entries.join(lists.hint("merge"), "key").filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     clusters = written(components(meeting), "join-clusters").withColumnRenamed("root", "cluster")
-    wanted = clusters.join(nodes, "node")
+    wanted = clusters.join(nodes.select("node", "digest", "row", "n").hint("merge"), "node")
     weight = wanted.groupBy("cluster").agg(F.sum("n").alias("weight"))
     wanted = written(wanted.join(weight, "cluster"), "join-wanted")
-    texts = rows.join(wanted.select("cluster", "weight", F.col("node").alias("doc_id"), "digest").hint("merge"), "doc_id")
+    # Copies without an id share their key, so they are summed before they are shuffled.
+    single = rows.filter("doc_id IS NOT NULL").select("row", "text").union(rows.filter("doc_id IS NULL").select("row", "text").distinct())
+    texts = single.join(wanted.select("cluster", "weight", "node", "row", F.col("digest").alias("wanted")).hint("merge"), "row")
     sets = texts.mapInArrow(_sets("sets", words, percent), "cluster long, weight long, node long, wanted binary, digest binary, shingles array<long>")
     sets = sets.filter("wanted = digest")
     parts = F.when(F.col("weight") > task_shingles, F.ceil(F.col("weight") / (task_shingles // 2))).otherwise(1).cast("int")
@@ -250,15 +265,19 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = sets.groupBy("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     links = pairs.applyInArrow(_joined(percent), "a long, b long")
-    classes = components(links)
-    of_node = nodes.join(classes, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    return base.join(of_node, "digest", "left").select("doc_id", "n_shingles", "component_id")
+    classes = components(links).join(nodes.select("node", "least_id").hint("merge"), "node")
+    least = written(classes.groupBy("root").agg(F.min("least_id").alias("component_id")), "join-least")
+    named = classes.select("node", "root").join(least.hint("merge"), "root").select("node", "component_id", F.lit(True).alias("linked"))
+    named = nodes.select("digest", "node", "least_id").join(named.hint("merge"), "node", "left")
+    of_set = named.select("digest", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id"))
+    return base.join(of_set, "digest", "left").select("doc_id", "row", "n_shingles", "component_id")
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose doc_id is the smallest of their component.
 
-    Rows that repeat an id stay or go together; rows without an id stay only where nothing they link with has one.
+    Rows that repeat an id and a text stay or go together; rows without an id stay only where nothing they link with has one.
     """
-    stays = jaccard_components(docs, **how).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("stays_")).distinct()
-    return docs.join(stays.hint("merge"), F.col("doc_id").eqNullSafe(F.col("stays_")), "left_semi")
+    stays = _components(docs, **how).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("stays_"), F.col("row").alias("stays_row_")).distinct()
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("stays_")) & (_row_key() == F.col("stays_row_"))
+    return docs.join(stays.hint("merge"), own, "left_semi")

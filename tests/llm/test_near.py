@@ -1,9 +1,11 @@
-"""Near copies beyond op9's own rule: the pipeline's stage."""
+"""Near copies: rows without an id, ids with several texts, and the rule of the pipeline's stage."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
-from test_copies import LOWER, WORD, frame
+from tabwright.llm import ngram_join
+from test_copies import LOWER, WORD, frame, near_rows
 
 
 def shingles_of(text, words):
@@ -51,3 +53,20 @@ def test_stage_takes_five_words_and_four_fifths(spark):
     assert kept == {i for i, _, c in components_brute(rows, 5, 80) if i == c}
     assert 500 in kept and 501 not in kept
     assert kept != {i for i, _, c in components_brute(rows, 3, 90) if i == c}
+
+
+def test_rows_without_an_id_and_ids_with_two_texts(spark):
+    def words(name, n=200):
+        return [f"{name}{k}" for k in range(n)]
+
+    a, x, y, z = words("a"), words("x"), words("y"), words("z")
+    rows = near_rows(families=4) + [
+        (3000, replaced(a)), (None, replaced(a, 20, 90)), (3001, replaced(a, 20, 90, 40, 60, 120)),  # only the row without an id links the others
+        (3050, replaced(x)), (3100, replaced(x, 50)), (3100, replaced(y)), (3200, replaced(y, 50)), (None, replaced(y, 70)),
+        (None, replaced(z)), (None, replaced(z, 9)), (None, None), (None, "")] + [(None, "a text of its own")] * 30
+    want = components_brute(rows, 3, 90)
+    got = ngram_join.jaccard_components(frame(spark, rows), task_shingles=1000)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert {c for i, _, c in want if i in (3000, 3001)} == {3000}
+    kept = ngram_join.representatives(frame(spark, rows))
+    assert Counter(map(tuple, kept.collect())) == Counter(r for r, (i, _, c) in zip(rows, want) if i == c)
