@@ -91,13 +91,19 @@ def reshard(rows: DataFrame, old: str, size: str, capacities: Callable[[int], Se
         i = olds[k]
         cuts.append((i, j, start[i], start[i] + units))
         start[i] += units
+    # Rows of size 0 stand at the end of the line and go with the last cut. A shard of nothing else has no flow: it stays where it is, if it can.
+    if held and not wanted:
+        raise ValueError("no new shards")
+    cuts += [(i, i if 0 <= i < len(wanted) else 0, 0, 0) for i in olds if not held[i]]
+    last = {i: k for k, (i, _, _, _) in enumerate(cuts)}
+    cuts = [(*cut, last[cut[0]] == k) for k, cut in enumerate(cuts)]
     # A row goes where its middle lies. At most one cut per old and new shard, so this side of the join is bounded.
-    table = spark.createDataFrame(cuts, f"`{old}` int, shard int, from_ long, to_ long")
+    table = spark.createDataFrame(cuts, f"`{old}` int, shard int, from_ long, to_ long, last_ boolean")
     middle = 2 * F.col("before") + F.col(size)
-    placed = lined.join(F.broadcast(table), old).filter((middle >= 2 * F.col("from_")) & (middle < 2 * F.col("to_"))).drop("from_", "to_", "before")
+    placed = lined.join(F.broadcast(table), old).filter((middle >= 2 * F.col("from_")) & ((middle < 2 * F.col("to_")) | F.col("last_"))).drop("from_", "to_", "last_", "before")
     counts = {(r[0], r[1]): r[2] for r in placed.groupBy(old, "shard").agg(F.count(F.lit(1))).collect()}
     shifts, filled, passed = [], {}, {}
-    for i, j, _, _ in cuts:
+    for i, j, *_ in cuts:
         n = counts.get((i, j), 0)
         shifts.append((i, j, filled.get(j, 0) - passed.get(i, 0)))
         filled[j], passed[i] = filled.get(j, 0) + n, passed.get(i, 0) + n

@@ -123,6 +123,17 @@ def test_reshard(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/new").count() == len(rows)
 
 
+def test_rows_of_size_0_are_placed(spark):
+    """At the end of a shard's line, and in shards that hold nothing else."""
+    rows = [(k, 10 if k % 3 else 0, k % 2) for k in range(60)] + [(100 + k, 0, 2) for k in range(5)] + [(200 + k, 0, 9) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, old int").repartition(3)
+    for given in (df, df.withColumn("size", F.lit(0).cast("long"))):
+        got = resharding.reshard(given, "old", "size", lambda t: resharding.even_capacities(t, 3), [F.col("doc_id")]).toPandas()
+        assert sorted(got["doc_id"]) == sorted(r[0] for r in rows)
+        assert all(sorted(s) == list(range(len(s))) for s in got.groupby("shard")["slot"].agg(list))
+        assert set(got.loc[got["old"] == 2, "shard"]) == {2}
+
+
 def test_untouched_shards_stay(spark, tmp_path):
     df = spark.createDataFrame([(k, 10, k % 3 if k % 3 < 2 else 1) for k in range(90)], "doc_id long, size long, old int")
     placed = resharding.reshard(df, "old", "size", [300, 300, 300], [F.col("doc_id")])
