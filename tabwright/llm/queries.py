@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import exact_dedup, langid, mixing, ngram_join, pieces, pii, resharding, suffix_dedup, topk, warc
+from tabwright.llm import (divergence, exact_dedup, langid, mixing, ngram_join, pieces, pii, periodic, projected_search,
+                           resharding, suffix_dedup, topk, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +129,50 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.parts, c.parts
 r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.looped(table(spark, folder, "documents")))
+    best = periodic.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda run: F.concat(run["start"], F.lit(","), run["length"], F.lit(","), run["period"], F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+                        best["period"].alias("period"), F.expr("1000 * length div period").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_projected_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return projected_search.nearest(vectors.filter(F.col("vec_id") % 100 == 0), vectors)
+
+
+@query
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
+ORACLES["op13_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS body FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS kinds FROM kept GROUP BY lang),
+own AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM own GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(s.total, 0) AS total, coalesce(l.kinds, 0) AS kinds
+           FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN langs l ON l.lang = g.lang LEFT JOIN totals s ON s.lang = g.lang AND s.source = g.source),
+probs AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 1)) // (g.total + g.kinds) AS p,
+                 1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.kinds) AS q
+          FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+          LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+         FROM probs a JOIN probs b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+rated AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+          FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+          LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+          UNION ALL
+          SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM probs WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rated)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
