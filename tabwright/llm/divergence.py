@@ -7,11 +7,11 @@ counted; the rest is extended to twice its length, until complete terms remain.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +22,8 @@ from tabwright.storage import written
 LEAST_DOCUMENTS = 3
 #: Bytes of the shortest prefixes, by which the terms are also dealt over tasks.
 FIRST_PREFIX = 8
-#: A task sums the terms of its documents until it holds so many, then passes them on.
-HELD_TERMS = 400_000
+#: Text, in bytes, whose terms a task sums at a time.
+PART_BYTES = 16 << 20
 #: Probabilities are counted in parts of so many.
 PARTS = 1_000_000_000
 
@@ -31,68 +31,115 @@ PARTS = 1_000_000_000
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def _summed(least: int):
-    """Per source, term and part of a task: occurrences, and the first ``least`` documents (numbers unique in the table)."""
+def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of every occurrence of a term: number of its text and of the term; and the terms."""
+    data = b" ".join(texts).translate(_TERM_BYTES)
+    flat = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(flat) + 2, np.int8)
+    inside[1:-1] = flat != 32
+    change = np.diff(inside)
+    starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    offsets = np.cumsum(np.append(0, ends - starts))
+    letters = np.ascontiguousarray(flat[inside[1:-1].astype(bool)])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
+    document = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+    return document, np.asarray(coded.indices, np.int64), coded.dictionary.cast(pa.binary())
+
+
+def _coded(values: list) -> tuple[np.ndarray, list]:
+    numbers: dict = {}
+    return np.array([numbers.setdefault(v, len(numbers)) for v in values], np.int64), list(numbers)
+
+
+def _lists(rows: np.ndarray, n: int) -> pa.Array:
+    """Borders of lists, from the sorted number of the list of every element."""
+    return pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32))
+
+
+def _summed_part(langs: list[str], sources: list[str], texts: list[bytes], first: int) -> pa.RecordBatch:
+    document, term, terms = _terms(texts)
+    lang, lang_names = _coded(langs)
+    pair, pairs = _coded(list(zip(langs, sources)))
+    kinds = max(len(terms), 1)
+    once = np.unique(document * kinds + term)
+    once_document, once_term = once // kinds, once % kinds
+    rows, documents = np.unique(lang[once_document] * kinds + once_term, return_counts=True)
+    row_lang, row_term = rows // kinds, rows % kinds
+
+    # Documents with a prefix stand with the first of its terms, so that sums over terms count each of them once.
+    lengths = np.asarray(pc.binary_length(terms), np.int64)
+    places, depths, found = [], [], []
+    size, depth = first, 0
+    while (lengths >= size).any():
+        coded = pc.binary_slice(terms, 0, size).dictionary_encode()
+        prefix, n = np.asarray(coded.indices, np.int64), len(coded.dictionary)
+        long = lengths >= size
+        of_rows = np.flatnonzero(long[row_term])
+        keys, holder = np.unique(row_lang[of_rows] * n + prefix[row_term[of_rows]], return_index=True)
+        held = long[once_term]
+        holds = np.unique(once_document[held] * n + prefix[once_term[held]])
+        _, counts = np.unique(lang[holds // n] * n + holds % n, return_counts=True)
+        value = np.zeros(len(rows), np.int64)
+        value[of_rows[holder]] = counts
+        places.append(of_rows)
+        depths.append(np.full(len(of_rows), depth))
+        found.append(value[of_rows])
+        size, depth = 2 * size, depth + 1
+    place, depth_of, value = (np.concatenate([np.empty(0, np.int64), *part]) for part in (places, depths, found))
+    order = np.lexsort((depth_of, place))
+    prefix_documents = pa.ListArray.from_arrays(_lists(place[order], len(rows)), pa.array(value[order]))
+
+    own, counts = np.unique(pair[document] * kinds + term, return_counts=True)
+    lang_of_pair = np.array([lang_names.index(name) for name, _ in pairs], np.int64)
+    row_of_own = np.searchsorted(rows, lang_of_pair[own // kinds] * kinds + own % kinds)
+    order = np.argsort(row_of_own, kind="stable")
+    names = pa.array([source for _, source in pairs]).take(pa.array(own[order] // kinds))
+    by_source = pa.ListArray.from_arrays(_lists(row_of_own[order], len(rows)), pa.StructArray.from_arrays([names, pa.array(counts[order])], ["source", "n"]))
+    return pa.RecordBatch.from_arrays([pa.array(lang_names, pa.string()).take(pa.array(row_lang)), terms.take(pa.array(row_term)), pa.array(documents),
+                                       prefix_documents, by_source], ["lang", "term", "documents", "prefix_documents", "sources"])
+
+
+def _summed(first: int):
+    """Terms of the documents of a part, by language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        document = TaskContext.get().partitionId() << 40
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = defaultdict(dict)
+        held: tuple[list, list, list] = ([], [], [])
         size = 0
-
-        def passed_on() -> Iterator[pa.RecordBatch]:
-            for (lang, source), terms in held.items():
-                items = list(terms.items())
-                for k in range(0, len(items), 20_000):
-                    part = items[k:k + 20_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array([t for t, _ in part], pa.binary()),
-                         pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1:] for _, v in part], pa.list_(pa.int64()))],
-                        ["lang", "source", "term", "n", "documents"])
-            held.clear()
-
-        for batch in batches:
-            for piece in portions(iter([batch]), "text"):
-                keys = zip(piece.column("lang").to_pylist(), piece.column("source").to_pylist())
-                for key, text in zip(keys, text_bytes(piece.column("text"))):
-                    terms = held[key]
-                    size -= len(terms)
-                    for term, n in Counter(text.translate(_TERM_BYTES).split()).items():
-                        seen = terms.get(term)
-                        if seen is None:
-                            terms[term] = [n, document]
-                        else:
-                            seen[0] += n
-                            if len(seen) <= least:
-                                seen.append(document)
-                    size += len(terms)
-                    document += 1
-                    if size >= HELD_TERMS:
-                        yield from passed_on()
-                        size = 0
-        yield from passed_on()
+        for piece in portions(batches, "text"):
+            texts = text_bytes(piece.column("text"))
+            for column, values in zip(held, (piece.column("lang").to_pylist(), piece.column("source").to_pylist(), texts)):
+                column.extend(values)
+            size += sum(map(len, texts))
+            if size >= PART_BYTES:
+                whole = _summed_part(*held, first)
+                held, size = ([], [], []), 0
+                yield from portions(iter([whole]), "term", 20_000)
+        if held[0]:
+            yield from portions(iter([_summed_part(*held, first)]), "term", 20_000)
 
     return run
 
 
-def refined(terms: DataFrame, group: str, least: int, longest: int, first: int = FIRST_PREFIX) -> DataFrame:
-    """The rows of ``terms`` whose term occurs in at least ``least`` distinct documents of its ``group``.
+def refined(summed: DataFrame, least: int, longest: int, first: int = FIRST_PREFIX) -> DataFrame:
+    """The rows of ``summed`` whose term occurs in at least ``least`` documents of its ``lang``, with ``head``, its shortest prefix.
 
-    ``terms`` holds ``group``, a binary ``term`` of at most ``longest`` bytes, without the byte 0, and a ``document`` per row; a term may omit
-    documents beyond its first ``least``. Prefixes of ``first``, 2 * ``first``, ... bytes of the term and its end mark are counted, and the
-    rows of those in fewer than ``least`` documents go. All levels work on one shuffle by group and shortest prefix.
+    ``summed`` has a row per ``lang``, binary ``term`` (of at most ``longest`` bytes, without the byte 0) and part of the documents:
+    ``documents``, the number of those with the term, and ``prefix_documents``, one number for every size ``first``, 2 * ``first``, ... up to the length of the
+    term: of the rows of a part that share the lang and the prefix of that size, one holds the number of documents with it, the
+    others 0. Prefixes are counted level by level, and the rows of those in fewer than ``least`` documents go; a term shorter than the
+    size of a level is complete there, with its own documents. All levels work on one shuffle by lang and shortest prefix.
     """
     marked = F.concat("term", F.lit(b"\x00"))
-    live = terms.withColumn("head_", F.substring(marked, 1, first))
-    live = live.repartition(group, "head_")
-    size = first
+    live = summed.withColumn("head", F.substring(marked, 1, first)).repartition("head", "lang")
+    columns, size, depth = live.columns, first, 0
     while True:
         live = live.withColumn("prefix_", F.substring(marked, 1, size))
-        of_prefix = Window.partitionBy(group, "head_", "prefix_")
-        live = live.withColumn("place_", F.dense_rank().over(of_prefix.orderBy("document")))
-        live = live.withColumn("found_", F.max("place_").over(of_prefix)).filter(F.col("found_") >= least)
+        documents = F.when(F.octet_length("term") < size, F.col("documents")).otherwise(F.get("prefix_documents", F.lit(depth)))
+        found = F.sum(documents).over(Window.partitionBy("head", "lang", *([] if size == first else ["prefix_"])))
+        live = live.withColumn("found_", found).filter(F.col("found_") >= least).select(columns)
         if size > longest:
-            return live.drop("head_", "prefix_", "place_", "found_")
-        size *= 2
+            return live
+        size, depth = 2 * size, depth + 1
 
 
 def _probability(n: str, total: str, kinds: str) -> str:
@@ -111,15 +158,12 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     Null text, lang and source count as ''. Every row is a document, repeated rows and ids too.
     """
     filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")]
-    summed = docs.select(*filled).mapInArrow(_summed(least), "lang string, source string, term binary, n long, documents array<long>")
-    summed = written(summed, "audit-terms")
+    schema = "lang string, term binary, documents long, prefix_documents array<long>, sources array<struct<source:string,n:bigint>>"
+    summed = written(docs.select(*filled).mapInArrow(_summed(FIRST_PREFIX), schema), "audit-terms")
     longest = summed.agg(F.max(F.octet_length("term"))).first()[0] or 0
-    # Only the first document of a row carries its occurrences.
-    rows = summed.select("lang", "source", "term", "n", F.posexplode("documents").alias("k", "document"))
-    rows = rows.select("lang", "source", "term", F.when(F.col("k") == 0, F.col("n")).otherwise(0).alias("n"), "document")
-    kept = refined(rows, "lang", least, longest)
+    kept = refined(summed, least, longest).select("lang", "head", "term", F.inline("sources"))
     # Grouping by the shortest prefix too needs no further shuffle.
-    kept = kept.groupBy("lang", F.substring(F.concat("term", F.lit(b"\x00")), 1, FIRST_PREFIX).alias("head_"), "term", "source").agg(F.sum("n").alias("n"))
+    kept = kept.groupBy("head", "lang", "term", "source").agg(F.sum("n").alias("n"))
     return written(kept.select("lang", "source", F.col("term").cast("string").alias("term"), "n"), "audit-kept")
 
 

@@ -207,7 +207,8 @@ def test_pii_query_matches_the_rules(spark):
 
 def test_pipeline(spark):
     """Every stage against what brute force leaves of its own input."""
-    from test_copies import WORD, near_brute
+    from test_copies import WORD
+    from test_near import components_brute
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, inputs = docs.columns, []
@@ -220,7 +221,7 @@ def test_pipeline(spark):
     for i, t in inputs[1].items():
         newest[t.encode().lower()] = max(i, newest.get(t.encode().lower(), i))
     assert set(inputs[2]) == set(newest.values())
-    assert set(inputs[3]) == {i for i, _, c in near_brute(list(inputs[2].items())) if i == c}
+    assert set(inputs[3]) == {i for i, _, c in components_brute(list(inputs[2].items()), 5, 80) if i == c}
     assert set(inputs[4]) <= set(inputs[3]) and all(inputs[4][i] == inputs[3][i] for i in inputs[4])
     final = docs.collect()
     words = sum(len(WORD.findall(inputs[4][r["doc_id"]])) for r in final)
@@ -235,10 +236,10 @@ def test_queries_are_registered(spark):
 
     names = set(contract.queries())
     assert {n for n in names if n.startswith("op")} == set(QUERIES) and "pipeline" in names
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op6_warc", "op10_top_k"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op6_warc", "op10_top_k", "op13_divergence"])
 def test_sql(spark, name):
     from compare import connect, difference
 
