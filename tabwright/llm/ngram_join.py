@@ -1,8 +1,8 @@
 """Exact Jaccard self-join of word shingles with set-relation skipping.
 
 Sets meet in an index whose lists are keyed by whole position blocks: a set's shingles, in hash order, are cut into blocks
-at fixed positions of that order, and a list holds the sets that agree in all shingles of one block. Two sets within the threshold
-differ in fewer shingles than there are blocks, hence agree in at least one; everything else is skipped unseen. What meets
+at fixed positions of that order, and a list holds the sets that agree in all shingles of one block. Linked sets differ in fewer shingles
+than they have filled blocks, hence agree in at least one of these; everything else is skipped unseen. What meets
 is joined exactly: lists ordered by position and size, of which whole stretches are skipped, and answers
 derived from those of a highly similar set.
 """
@@ -10,11 +10,13 @@ derived from those of a highly similar set.
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ PERCENT = 90
 SHINGLE_WORDS = 3
 #: Shingles of the sets that are joined in one task.
 TASK_SHINGLES = 2_000_000
+#: Sets of which a task remembers that it has seen them.
+REMEMBERED = 1_000_000
 
 _TAG = np.uint64(0xD6E8FEB86659FD93)
 
@@ -38,6 +42,7 @@ class SizeClasses:
     def __init__(self, percent: int = PERCENT) -> None:
         self.percent = percent
         self.low = [1]
+        self._blocks: dict[int, int] = {}
 
     def of(self, size: int) -> int:
         while self.low[-1] <= size:
@@ -47,11 +52,24 @@ class SizeClasses:
     def high(self, k: int) -> int:
         return 100 * self.low[k] // self.percent
 
-    def blocks(self, k: int) -> int:
-        """One more than the shingles in which two linked sets of class ``k``, or of it and the one below, can differ."""
+    def differ(self, k: int) -> int:
+        """The most shingles in which two linked sets of class ``k``, or of it and the one below, can differ."""
         if k + 1 >= len(self.low):
             self.of(self.high(k) + 1)
-        return 2 * self.high(k) * (100 - self.percent) // (100 + self.percent) + 1
+        return 2 * self.high(k) * (100 - self.percent) // (100 + self.percent)
+
+    def blocks(self, k: int) -> int:
+        """Blocks of class ``k``: so many that its smallest sets, and those of the class below, nearly always fill more than ``differ(k)``."""
+        if k not in self._blocks:
+            needed, size = self.differ(k) + 1, self.low[max(k - 1, 0)]
+            blocks = needed
+            while blocks < 2 * needed:
+                empty = blocks * math.exp(-size / blocks)
+                if blocks - empty - 4 * math.sqrt(empty) >= needed:
+                    break
+                blocks += max(1, needed // 100)
+            self._blocks[k] = blocks
+        return self._blocks[k]
 
 
 def _block_sums(ordered: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,23 +83,32 @@ def _block_sums(ordered: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarra
 
 
 def block_keys(ordered: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Keys of the index lists that a set stands in.
+    """Keys of the index lists that a set stands in, for its own class and the next one.
 
-    A block without shingles is no evidence. Where one occurs, the set stands instead in the lists of a second cut, by another order
-    of the shingles, tagged with the empty block: sets that agree only in the empty block still agree in one of those.
+    A block without shingles is no evidence and has no key. Linked sets differ in at most ``differ`` shingles, so where either fills more
+    blocks than that, they share a list. A set that fills fewer, by chance, also stands in the lists of a second
+    cut, by another order of the shingles, and, should that fail too, in those of its single shingles: two such sets meet there.
     """
     own = classes.of(len(ordered))
     keys = []
     for k in (own, own + 1):
-        blocks = classes.blocks(k)
-        if blocks < 2:  # only equal sets link
+        most = classes.differ(k)
+        if not most:  # only equal sets link
             continue
-        sums, counts = _block_sums(ordered, blocks)
-        place = np.arange(blocks, dtype=np.uint64)
-        keys.append(mixed(mixed(sums + mixed(place + np.uint64(k << 32))) + counts.astype(np.uint64))[counts > 0])
-        for empty in np.flatnonzero(counts == 0):
-            again, n = _block_sums(np.sort(mixed(ordered + _TAG)), blocks)
-            keys.append(mixed(mixed(again + mixed(place + np.uint64((k << 32) + (int(empty) + 1 << 48)))) + n.astype(np.uint64)))
+        blocks = classes.blocks(k)
+        for cut, shingles in enumerate((ordered, None, None)):
+            if cut == 1:
+                shingles = np.sort(mixed(ordered + _TAG))
+            tag = np.uint64((k << 2 | cut) << 32)
+            if cut == 2:
+                keys.append(mixed(mixed(ordered ^ _TAG) + mixed(tag)))
+                break
+            sums, counts = _block_sums(shingles, blocks)
+            place = np.arange(blocks, dtype=np.uint64)
+            filled = counts > 0
+            keys.append(mixed(mixed(sums + mixed(place + tag)) + counts.astype(np.uint64))[filled])
+            if int(filled.sum()) > most:
+                break
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
@@ -90,28 +117,86 @@ def _digest(ordered: np.ndarray, doc_id: int | None) -> bytes:
     return hashlib.blake2b(ordered.tobytes(), digest_size=16).digest() if len(ordered) else f"{doc_id}".encode()
 
 
-def _sets(kind: str, words: int, percent: int):
-    """Per document: what ``kind`` names, of its set of shingles."""
+def _arrays(lists: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(lists).view(np.int64) if lists else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32)), pa.array(flat))
+
+
+def _indexed(words: int, percent: int):
+    """Per row: size and digest of its set; with the first row of a set in a task, its number and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = SizeClasses(percent)
+        classes, number, seen = SizeClasses(percent), TaskContext.get().partitionId() << 40, set()
         for batch in portions(batches, "text"):
-            ids = pa.nulls(batch.num_rows) if kind == "sets" else batch.column("doc_id")
             sets = shingle_sets(text_bytes(batch.column("text")), words)
-            digests = pa.array([_digest(s, i) for s, i in zip(sets, ids.to_pylist())], pa.binary())
-            if kind == "sizes":
-                yield pa.RecordBatch.from_arrays([ids, batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), digests], ["doc_id", "row", "n_shingles", "digest"])
-            else:
-                lists = [block_keys(s, classes) if len(s) else s for s in sets] if kind == "keys" else sets
-                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                flat = np.concatenate(lists).view(np.int64) if len(lists) else np.empty(0, np.int64)
-                carried = [] if kind == "keys" else [batch.column(c) for c in ("cluster", "weight", "node", "wanted")]
-                yield pa.RecordBatch.from_arrays([*carried, digests, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                                                 ["digest", "keys"] if kind == "keys" else ["cluster", "weight", "node", "wanted", "digest", "shingles"])
+            digests = [_digest(s, i) for s, i in zip(sets, batch.column("doc_id").to_pylist())]
+            nodes, keys = [], []
+            for ordered, digest in zip(sets, digests):
+                if digest in seen:
+                    nodes.append(None)
+                    keys.append(np.empty(0, np.uint64))
+                    continue
+                if len(seen) >= REMEMBERED:  # what is forgotten only gets another number
+                    seen.clear()
+                seen.add(digest)
+                nodes.append(number)
+                number += 1
+                keys.append(block_keys(ordered, classes) if len(ordered) else ordered)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                                              pa.array(nodes, pa.int64()), _arrays(keys)], ["doc_id", "row", "n_shingles", "digest", "node", "keys"])
 
     return run
 
 
+def _shingled(words: int):
+    """The set of every row, beside the columns that it carries."""
+    carried = ["cluster", "weight", "node", "wanted"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "text"):
+            sets = shingle_sets(text_bytes(batch.column("text")), words)
+            digests = pa.array([_digest(s, None) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), digests, _arrays(sets)], [*carried, "digest", "shingles"])
+
+    return run
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and node: every node of a list with the first one of that list in this task.
+
+    The first and last list of a task may go on in others; these give their key and first node besides.
+    """
+
+    def rows(keys: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        key = pa.nulls(len(a), pa.int64()) if keys is None else pa.array(keys, pa.int64())
+        return pa.RecordBatch.from_arrays([key, pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
+
+    held, size = [], 0
+    last: tuple[int, int] | None = None  # the list that is being read: key and first node
+    for batch in batches:
+        keys, nodes = np.asarray(batch.column("key")), np.asarray(batch.column("node"))
+        if not len(keys):
+            continue
+        fresh = np.append(last is None or keys[0] != last[0], keys[1:] != keys[:-1])
+        if last is None:
+            yield rows(keys[:1], nodes[:1], nodes[:1])
+        starts = np.flatnonzero(fresh)
+        firsts = np.append(-1 if last is None else last[1], nodes[starts])
+        first = firsts[np.cumsum(fresh)]
+        last = (int(keys[-1]), int(first[-1]))
+        differ = first != nodes
+        held.append(np.stack([first[differ], nodes[differ]]))
+        size += int(differ.sum())
+        if size >= 1 << 20:  # neighbours share many lists
+            pairs = np.unique(np.concatenate(held, axis=1), axis=1)
+            yield rows(None, *pairs)
+            held, size = [], 0
+    if held:
+        yield rows(None, *np.unique(np.concatenate(held, axis=1), axis=1))
+    if last is not None:
+        yield rows(np.array([last[0]]), np.array([last[1]]), np.array([last[1]]))
+
+
 def linked(sizes: tuple[int, int], shared: int, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (sizes[0] + sizes[1] - shared)
 
@@ -228,8 +313,9 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     document without an id links like any other but counts in no component id; one that reaches no id has a null one. Rows that repeat an
     id and a text are copies; equal ids with different texts are distinct documents. Other columns are ignored.
 
-    Copies of a set are one node from the start, numbered without regard to doc_ids. Lists of the index hold node numbers only; nodes that
-    share a list form clusters, and a cluster of more than ``task_shingles`` is joined in pairs of bounded parts.
+    Texts are shingled once; copies of a set in one task have one number from the start, others are joined to the smallest number by their
+    digest. Entries of the index are sorted by range, so that a list of any length spreads over tasks. Sets that share a
+    list form clusters, and a cluster of more than ``task_shingles`` is joined in pairs of bounded parts.
     """
     return _components(docs, words, percent, task_shingles).drop("row")
 
@@ -237,19 +323,25 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
 def _components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """``jaccard_components`` with the key of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias("row"))
-    base = written(rows.mapInArrow(_sets("sizes", words, percent), "doc_id long, row long, n_shingles long, digest binary"), "join-sizes")
+    indexed = "doc_id long, row long, n_shingles long, digest binary, node long, keys array<long>"
+    base = written(rows.mapInArrow(_indexed(words, percent), indexed), "join-index")
     # One row of every set, with an id if there is one, stands for it.
     with_id = F.min(F.when(F.col("doc_id").isNotNull(), F.col("row")))
-    nodes = base.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.coalesce(with_id, F.min("row")).alias("row"), F.first("n_shingles").alias("n"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
-    keyed = rows.mapInArrow(_sets("keys", words, percent), "digest binary, keys array<long>")
-    keyed = keyed.filter(F.size("keys") > 0).groupBy("digest").agg(F.any_value("keys").alias("keys")).join(nodes.select("digest", "node").hint("merge"), "digest")
-    entries = keyed.select(F.explode("keys").alias("key"), "node")
-    lists = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
-    # Written, so that the join reads plain shuffles and a list of very many sets can be split between tasks. What grows
-    # with the documents is never broadcast, here and below, small as it may be for a small table.
-    lists = written(lists, "join-lists")
-    meeting = entries.join(lists.hint("merge"), "key").filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    nodes = base.groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id"), F.coalesce(with_id, F.min("row")).alias("row"),
+                                       F.first("n_shingles").alias("n"))
+    nodes = written(nodes, "join-nodes")
+    entries = base.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), "node")
+    stars = entries.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_stars, "key long, a long, b long")
+    stars = written(stars, "join-stars")
+    borders = stars.filter("key IS NOT NULL").select("key", "a")
+    across = borders.join(borders.groupBy("key").agg(F.min("a").alias("least")), "key").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    meeting = stars.filter("key IS NULL").select("a", "b").union(across.filter("a < b")).distinct()
+    # What grows with the documents is never broadcast, here and below, small as it may be for a small table.
+    numbers = base.filter("node IS NOT NULL").select("digest", F.col("node").alias("other")).join(nodes.select("digest", "node").hint("merge"), "digest")
+    numbers = written(numbers.filter("other <> node").select("other", "node"), "join-numbers")
+    for end in ("a", "b"):
+        again = numbers.select(F.col("other").alias(end), "node").hint("merge")
+        meeting = meeting.join(again, end, "left").withColumn(end, F.coalesce("node", end)).drop("node")
     clusters = written(components(meeting), "join-clusters").withColumnRenamed("root", "cluster")
     wanted = clusters.join(nodes.select("node", "digest", "row", "n").hint("merge"), "node")
     weight = wanted.groupBy("cluster").agg(F.sum("n").alias("weight"))
@@ -257,7 +349,7 @@ def _components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERC
     # Copies without an id share their key, so they are summed before they are shuffled.
     single = rows.filter("doc_id IS NOT NULL").select("row", "text").union(rows.filter("doc_id IS NULL").select("row", "text").distinct())
     texts = single.join(wanted.select("cluster", "weight", "node", "row", F.col("digest").alias("wanted")).hint("merge"), "row")
-    sets = texts.mapInArrow(_sets("sets", words, percent), "cluster long, weight long, node long, wanted binary, digest binary, shingles array<long>")
+    sets = texts.mapInArrow(_shingled(words), "cluster long, weight long, node long, wanted binary, digest binary, shingles array<long>")
     sets = sets.filter("wanted = digest")
     parts = F.when(F.col("weight") > task_shingles, F.ceil(F.col("weight") / (task_shingles // 2))).otherwise(1).cast("int")
     sets = sets.select("cluster", "node", "shingles", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
@@ -278,6 +370,7 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
 
     Rows that repeat an id and a text stay or go together; rows without an id stay only where nothing they link with has one.
     """
-    stays = _components(docs, **how).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("stays_"), F.col("row").alias("stays_row_")).distinct()
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("stays_")) & (_row_key() == F.col("stays_row_"))
-    return docs.join(stays.hint("merge"), own, "left_semi")
+    stays = _components(docs, **how).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "row").distinct()
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("own_id"), _row_key().alias("own_row"))
+    own = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_row") == F.col("row"))
+    return rows.join(stays.hint("merge"), own, "left_semi").select("whole.*")

@@ -155,19 +155,50 @@ def reach(n, links):
     return [find(x) for x in range(n)]
 
 
-def test_linked_sets_share_a_list():
-    """The pigeonhole argument, with empty blocks: small sets and few differences."""
-    classes, rng = ngram_join.SizeClasses(), np.random.default_rng(1)
-    for _ in range(3000):
-        n = int(rng.integers(9, 80))
-        a = rng.integers(0, 2**64, n, dtype=np.uint64)
-        b = a.copy()
-        swaps = int(rng.integers(0, n // 8 + 1))
-        b[:swaps] = rng.integers(0, 2**64, swaps, dtype=np.uint64)
-        b = b[:n - int(rng.integers(0, 3))]
-        a, b = np.unique(a), np.unique(b)
-        if ngram_join.linked((len(a), len(b)), len(np.intersect1d(a, b))) and len(np.union1d(a, b)) > len(np.intersect1d(a, b)):
-            assert len(np.intersect1d(ngram_join.block_keys(a, classes), ngram_join.block_keys(b, classes)))
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_list(percent, monkeypatch):
+    """The pigeonhole argument; with far too few blocks, most sets need the second cut, and some their single shingles."""
+    rng = np.random.default_rng(1)
+    met = Counter()
+    for blocks in (None, 1.0, 0.4):
+        classes = ngram_join.SizeClasses(percent)
+        if blocks:
+            monkeypatch.setattr(classes, "blocks", lambda k: max(2, int(blocks * classes.differ(k)) + 1))
+        for _ in range(1500):
+            n = int(rng.integers(9, 80))
+            a = rng.integers(0, 2**64, n, dtype=np.uint64)
+            b = a.copy()
+            swaps = int(rng.integers(0, n // 8 + 1))
+            b[:swaps] = rng.integers(0, 2**64, swaps, dtype=np.uint64)
+            b = b[:n - int(rng.integers(0, 3))]
+            a, b = np.unique(a), np.unique(b)
+            if ngram_join.linked((len(a), len(b)), len(np.intersect1d(a, b)), percent) and len(np.union1d(a, b)) > len(np.intersect1d(a, b)):
+                met[blocks] += 1
+                assert len(np.intersect1d(ngram_join.block_keys(a, classes), ngram_join.block_keys(b, classes)))
+    assert min(met.values()) > 200
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_keys_grow_with_the_set(percent):
+    classes, rng = ngram_join.SizeClasses(percent), np.random.default_rng(2)
+    for size in (300, 1000, 3000, 10_000, 50_000):
+        keys = [len(ngram_join.block_keys(np.unique(rng.integers(0, 2**64, size, dtype=np.uint64)), classes)) for _ in range(5)]
+        assert max(keys) < size
+
+
+def test_lists_that_go_on_in_other_tasks(spark):
+    """One hot list among others, cut into many tasks."""
+    entries = [(7, k) for k in range(400)] + [(k, k) for k in range(400, 600)] + [(8, 5), (8, 600)]
+    frame = spark.createDataFrame(entries, "key long, node long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = frame.repartitionByRange(20, "key", "node").sortWithinPartitions("key", "node").mapInArrow(ngram_join._stars, "key long, a long, b long").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    inner = {(r["a"], r["b"]) for r in rows if r["key"] is None}
+    borders = {r["a"] for r in rows if r["key"] == 7}
+    assert len(borders) > 3 and {b for a, b in inner if a < 400 and b < 400} | borders == set(range(400))
+    assert {(a, b) for a, b in inner if b >= 400} <= {(5, 600)} and {r["a"] for r in rows if r["key"] == 8} | {a for a, b in inner if b == 600} >= {5}
 
 
 def test_shingles_of_long_texts():
