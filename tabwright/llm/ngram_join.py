@@ -2,7 +2,8 @@
 
 Sets meet in an index whose lists are keyed by whole position blocks: a set's shingles, in hash order, are cut into blocks
 at fixed positions of that order, and a list holds the sets that agree in all shingles of one block. Linked sets differ in fewer shingles
-than they have filled blocks, hence agree in at least one of these; everything else is skipped unseen. What meets
+than they have filled blocks, hence agree in some of these; everything else is skipped unseen. A set leaves as many of its longest
+lists as it has blocks to spare, so that passages which many texts share connect nothing. What meets
 is joined exactly: lists ordered by position and size, of which whole stretches are skipped, and answers
 derived from those of a highly similar set.
 """
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.components import components
@@ -30,6 +31,8 @@ PERCENT = 90
 SHINGLE_WORDS = 3
 #: Shingles of the sets that are joined in one task.
 TASK_SHINGLES = 2_000_000
+#: Filled blocks over the fewest with which linked sets meet.
+SPARE = 1.1
 #: Sets of which a task remembers that it has seen them.
 REMEMBERED = 1_000_000
 
@@ -44,28 +47,34 @@ class SizeClasses:
         self.low = [1]
         self._blocks: dict[int, int] = {}
 
+    def reach(self, size: int) -> int:
+        """The largest set that may link with one of ``size``."""
+        return 100 * size // self.percent
+
     def of(self, size: int) -> int:
         while self.low[-1] <= size:
             self.low.append(self.high(len(self.low) - 1) + 1)
         return bisect_left(self.low, size + 1) - 1
 
     def high(self, k: int) -> int:
-        return 100 * self.low[k] // self.percent
+        # Two reaches to a class: about half of its sets may link with the next one.
+        return self.reach(self.reach(self.low[k]))
 
     def differ(self, k: int) -> int:
-        """The most shingles in which two linked sets of class ``k``, or of it and the one below, can differ."""
+        """The most shingles in which two linked sets, the larger one of class ``k``, can differ."""
         if k + 1 >= len(self.low):
             self.of(self.high(k) + 1)
         return 2 * self.high(k) * (100 - self.percent) // (100 + self.percent)
 
     def blocks(self, k: int) -> int:
-        """Blocks of class ``k``: so many that its smallest sets, and those of the class below, nearly always fill more than ``differ(k)``."""
+        """Blocks of class ``k``: so many that the smallest sets in its lists nearly always fill a share of ``SPARE`` more than ``differ(k)``."""
         if k not in self._blocks:
-            needed, size = self.differ(k) + 1, self.low[max(k - 1, 0)]
-            blocks = needed
+            needed = self.differ(k) + 1
+            size, wanted = self.low[k] * self.percent / 100, SPARE * needed
+            blocks = math.ceil(wanted)
             while blocks < 2 * needed:
                 empty = blocks * math.exp(-size / blocks)
-                if blocks - empty - 4 * math.sqrt(empty) >= needed:
+                if blocks - empty - 4 * math.sqrt(empty) >= wanted:
                     break
                 blocks += max(1, needed // 100)
             self._blocks[k] = blocks
@@ -82,34 +91,39 @@ def _block_sums(ordered: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarra
     return total[cuts[1:]] - total[cuts[:-1]], counts
 
 
-def block_keys(ordered: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Keys of the index lists that a set stands in, for its own class and the next one.
+def block_keys(ordered: np.ndarray, classes: SizeClasses) -> list[tuple[int, np.ndarray]]:
+    """Keys of the index lists that a set stands in, for its own class and the next one, each with the number of lists it may leave.
 
-    A block without shingles is no evidence and has no key. Linked sets differ in at most ``differ`` shingles, so where either fills more
-    blocks than that, they share a list. A set that fills fewer, by chance, also stands in the lists of a second
-    cut, by another order of the shingles, and, should that fail too, in those of its single shingles: two such sets meet there.
+    A block without shingles is no evidence and has no key. Linked sets differ in at most ``differ`` shingles, so one that fills more
+    blocks shares all but that many of its lists with every set that it links with. Of the shared lists of two such sets, the shortest is
+    left by neither, as each leaves fewer of its longest lists than it shares. A set that does not fill enough, by chance, leaves none; it
+    also stands in the lists of a second cut, by another order of the shingles, and, should that fail too, in those of its
+    single shingles: two such sets meet there.
     """
-    own = classes.of(len(ordered))
-    keys = []
+    own, size = classes.of(len(ordered)), len(ordered)
+    found = []
     for k in (own, own + 1):
         most = classes.differ(k)
-        if not most:  # only equal sets link
+        if not most or k > own and classes.reach(size) < classes.low[k]:
+            # Only equal sets link, or none of the next class.
+            found.append((0, np.empty(0, np.uint64)))
             continue
         blocks = classes.blocks(k)
-        for cut, shingles in enumerate((ordered, None, None)):
-            if cut == 1:
-                shingles = np.sort(mixed(ordered + _TAG))
+        place = np.arange(blocks, dtype=np.uint64)
+        keys, spare = [], 0
+        for cut in range(3):
             tag = np.uint64((k << 2 | cut) << 32)
             if cut == 2:
                 keys.append(mixed(mixed(ordered ^ _TAG) + mixed(tag)))
                 break
-            sums, counts = _block_sums(shingles, blocks)
-            place = np.arange(blocks, dtype=np.uint64)
+            sums, counts = _block_sums(np.sort(mixed(ordered + _TAG)) if cut else ordered, blocks)
             filled = counts > 0
             keys.append(mixed(mixed(sums + mixed(place + tag)) + counts.astype(np.uint64))[filled])
             if int(filled.sum()) > most:
+                spare = 0 if cut else int(filled.sum()) - most - 1
                 break
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        found.append((spare, np.concatenate(keys)))
+    return found
 
 
 def _digest(ordered: np.ndarray, doc_id: int | None) -> bytes:
@@ -123,10 +137,11 @@ def _arrays(lists: list[np.ndarray]) -> pa.Array:
 
 
 def _indexed(words: int, percent: int):
-    """Per row: size and digest of its set; with the first row of a set in a task, its number and its keys."""
+    """Per row: size and digest of its set; with the first row of a set in a task, its number, and its keys for both classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, number, seen = SizeClasses(percent), TaskContext.get().partitionId() << 40, set()
+        nothing = [(0, np.empty(0, np.uint64))] * 2
         for batch in portions(batches, "text"):
             sets = shingle_sets(text_bytes(batch.column("text")), words)
             digests = [_digest(s, i) for s, i in zip(sets, batch.column("doc_id").to_pylist())]
@@ -134,16 +149,19 @@ def _indexed(words: int, percent: int):
             for ordered, digest in zip(sets, digests):
                 if digest in seen:
                     nodes.append(None)
-                    keys.append(np.empty(0, np.uint64))
+                    keys.append(nothing)
                     continue
                 if len(seen) >= REMEMBERED:  # what is forgotten only gets another number
                     seen.clear()
                 seen.add(digest)
                 nodes.append(number)
                 number += 1
-                keys.append(block_keys(ordered, classes) if len(ordered) else ordered)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                                              pa.array(nodes, pa.int64()), _arrays(keys)], ["doc_id", "row", "n_shingles", "digest", "node", "keys"])
+                keys.append(block_keys(ordered, classes) if len(ordered) else nothing)
+            spare = pa.array([[own[0], following[0]] for own, following in keys], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()),
+                 spare, *(_arrays([both[j][1] for both in keys]) for j in (0, 1))],
+                ["doc_id", "row", "n_shingles", "digest", "node", "spare", "keys0", "keys1"])
 
     return run
 
@@ -161,40 +179,28 @@ def _shingled(words: int):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and node: every node of a list with the first one of that list in this task.
-
-    The first and last list of a task may go on in others; these give their key and first node besides.
-    """
-
-    def rows(keys: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        key = pa.nulls(len(a), pa.int64()) if keys is None else pa.array(keys, pa.int64())
-        return pa.RecordBatch.from_arrays([key, pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
-
-    held, size = [], 0
-    last: tuple[int, int] | None = None  # the list that is being read: key and first node
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and place, those whose list holds others too; the first and last list of a task may, in other tasks."""
+    held: tuple[int, int] | None = None  # the last row read
+    alone, first = False, True  # whether that row is still unwritten; whether it lies in the first list
     for batch in batches:
-        keys, nodes = np.asarray(batch.column("key")), np.asarray(batch.column("node"))
+        keys, places = np.asarray(batch.column("key")), np.asarray(batch.column("place"))
         if not len(keys):
             continue
-        fresh = np.append(last is None or keys[0] != last[0], keys[1:] != keys[:-1])
-        if last is None:
-            yield rows(keys[:1], nodes[:1], nodes[:1])
-        starts = np.flatnonzero(fresh)
-        firsts = np.append(-1 if last is None else last[1], nodes[starts])
-        first = firsts[np.cumsum(fresh)]
-        last = (int(keys[-1]), int(first[-1]))
-        differ = first != nodes
-        held.append(np.stack([first[differ], nodes[differ]]))
-        size += int(differ.sum())
-        if size >= 1 << 20:  # neighbours share many lists
-            pairs = np.unique(np.concatenate(held, axis=1), axis=1)
-            yield rows(None, *pairs)
-            held, size = [], 0
-    if held:
-        yield rows(None, *np.unique(np.concatenate(held, axis=1), axis=1))
-    if last is not None:
-        yield rows(np.array([last[0]]), np.array([last[1]]), np.array([last[1]]))
+        same = np.append(held is not None and keys[0] == held[0], keys[1:] == keys[:-1])
+        if alone and (same[0] or first):
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["key", "place"])
+        first = first and (held is None or bool(same[0]))
+        wanted = same.copy()
+        wanted[:-1] |= same[1:]
+        if first:
+            ends = np.flatnonzero(~same[1:])
+            wanted[:ends[0] + 1 if len(ends) else len(keys)] = True
+            first = not len(ends)
+        yield batch.filter(pa.array(wanted))
+        held, alone = (int(keys[-1]), int(places[-1])), not wanted[-1]
+    if alone:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["key", "place"])
 
 
 def linked(sizes: tuple[int, int], shared: int, percent: int = PERCENT) -> bool:
@@ -314,8 +320,8 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     id and a text are copies; equal ids with different texts are distinct documents. Other columns are ignored.
 
     Texts are shingled once; copies of a set in one task have one number from the start, others are joined to the smallest number by their
-    digest. Entries of the index are sorted by range, so that a list of any length spreads over tasks. Sets that share a
-    list form clusters, and a cluster of more than ``task_shingles`` is joined in pairs of bounded parts.
+    digest. Entries of the index are sorted by range, so that a list of any length spreads over tasks; only those of lists with
+    several sets go on. Sets that share a list form clusters, and a cluster of more than ``task_shingles`` is joined in pairs of bounded parts.
     """
     return _components(docs, words, percent, task_shingles).drop("row")
 
@@ -323,19 +329,28 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
 def _components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """``jaccard_components`` with the key of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _row_key().alias("row"))
-    indexed = "doc_id long, row long, n_shingles long, digest binary, node long, keys array<long>"
+    indexed = "doc_id long, row long, n_shingles long, digest binary, node long, spare array<int>, keys0 array<long>, keys1 array<long>"
     base = written(rows.mapInArrow(_indexed(words, percent), indexed), "join-index")
     # One row of every set, with an id if there is one, stands for it.
     with_id = F.min(F.when(F.col("doc_id").isNotNull(), F.col("row")))
     nodes = base.groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id"), F.coalesce(with_id, F.min("row")).alias("row"),
                                        F.first("n_shingles").alias("n"))
     nodes = written(nodes, "join-nodes")
-    entries = base.filter(F.size("keys") > 0).select(F.explode("keys").alias("key"), "node")
-    stars = entries.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_stars, "key long, a long, b long")
-    stars = written(stars, "join-stars")
-    borders = stars.filter("key IS NOT NULL").select("key", "a")
-    across = borders.join(borders.groupBy("key").agg(F.min("a").alias("least")), "key").select(F.col("least").alias("a"), F.col("a").alias("b"))
-    meeting = stars.filter("key IS NULL").select("a", "b").union(across.filter("a < b")).distinct()
+    # A set has one place per class; what it may leave is counted per place.
+    of_place = [(F.col("node") * 2 + j).alias("place") for j in (0, 1)]
+    entries = base.select(of_place[0], F.explode("keys0").alias("key")).union(base.select(of_place[1], F.explode("keys1").alias("key")))
+    shared = entries.repartitionByRange("key", "place").sortWithinPartitions("key", "place").select("key", "place").mapInArrow(_shared, "key long, place long")
+    shared = written(shared, "join-shared")
+    # Written, so that the joins read plain shuffles and a list of very many sets can be split between tasks.
+    lengths = written(shared.groupBy("key").agg(F.count(F.lit(1)).alias("length")).filter("length > 1"), "join-lengths")
+    spare = base.filter("node IS NOT NULL").select(of_place[0], F.col("spare")[0].alias("spare")).union(base.filter("node IS NOT NULL").select(of_place[1], F.col("spare")[1]))
+    longest = Window.partitionBy("place").orderBy(F.col("length").desc(), F.col("key"))
+    rated = shared.join(lengths.hint("merge"), "key").withColumn("rank", F.row_number().over(longest))
+    entered = rated.join(spare.filter("spare > 0").hint("merge"), "place", "left").filter(F.col("rank") > F.coalesce("spare", F.lit(0)))
+    entered = written(entered.select("key", F.expr("place div 2").alias("node")), "join-entered")
+    lists = entered.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
+    lists = written(lists, "join-lists")
+    meeting = entered.join(lists.hint("merge"), "key").filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     # What grows with the documents is never broadcast, here and below, small as it may be for a small table.
     numbers = base.filter("node IS NOT NULL").select("digest", F.col("node").alias("other")).join(nodes.select("digest", "node").hint("merge"), "digest")
     numbers = written(numbers.filter("other <> node").select("other", "node"), "join-numbers")

@@ -174,7 +174,13 @@ def test_linked_sets_share_a_list(percent, monkeypatch):
             a, b = np.unique(a), np.unique(b)
             if ngram_join.linked((len(a), len(b)), len(np.intersect1d(a, b)), percent) and len(np.union1d(a, b)) > len(np.intersect1d(a, b)):
                 met[blocks] += 1
-                assert len(np.intersect1d(ngram_join.block_keys(a, classes), ngram_join.block_keys(b, classes)))
+                both = [[(spare, set(keys.tolist())) for spare, keys in ngram_join.block_keys(x, classes)] for x in (a, b)]
+                # Each leaves as many of its lists as it may, in the same random order of lists.
+                left = [set() for _ in both]
+                for x, places in enumerate(both):
+                    for spare, keys in places:
+                        left[x] |= set(sorted(keys, key=lambda key: hash((key, 3)))[spare:])
+                assert left[0] & left[1]
     assert min(met.values()) > 200
 
 
@@ -182,23 +188,33 @@ def test_linked_sets_share_a_list(percent, monkeypatch):
 def test_keys_grow_with_the_set(percent):
     classes, rng = ngram_join.SizeClasses(percent), np.random.default_rng(2)
     for size in (300, 1000, 3000, 10_000, 50_000):
-        keys = [len(ngram_join.block_keys(np.unique(rng.integers(0, 2**64, size, dtype=np.uint64)), classes)) for _ in range(5)]
-        assert max(keys) < size
+        sets = [np.unique(rng.integers(0, 2**64, size, dtype=np.uint64)) for _ in range(5)]
+        assert max(sum(len(keys) for _, keys in ngram_join.block_keys(s, classes)) for s in sets) < size
 
 
 def test_lists_that_go_on_in_other_tasks(spark):
     """One hot list among others, cut into many tasks."""
     entries = [(7, k) for k in range(400)] + [(k, k) for k in range(400, 600)] + [(8, 5), (8, 600)]
-    frame = spark.createDataFrame(entries, "key long, node long")
+    frame = spark.createDataFrame(entries, "key long, place long")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        rows = frame.repartitionByRange(20, "key", "node").sortWithinPartitions("key", "node").mapInArrow(ngram_join._stars, "key long, a long, b long").collect()
+        for tasks in (1, 3, 20):
+            rows = frame.repartitionByRange(tasks, "key", "place").sortWithinPartitions("key", "place").mapInArrow(ngram_join._shared, "key long, place long")
+            got = [tuple(r) for r in rows.collect()]
+            lists = Counter(key for key, _ in got)
+            assert len(set(got)) == len(got) and {e for e in got if lists[e[0]] > 1} == {e for e in entries if e[0] < 400}
+            assert sum(n == 1 for n in lists.values()) <= 2 * tasks
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    inner = {(r["a"], r["b"]) for r in rows if r["key"] is None}
-    borders = {r["a"] for r in rows if r["key"] == 7}
-    assert len(borders) > 3 and {b for a, b in inner if a < 400 and b < 400} | borders == set(range(400))
-    assert {(a, b) for a, b in inner if b >= 400} <= {(5, 600)} and {r["a"] for r in rows if r["key"] == 8} | {a for a, b in inner if b == 600} >= {5}
+
+
+@pytest.mark.parametrize("cuts", [[], [1], [3], [1, 2, 3, 4, 5, 6, 7], [5]])
+def test_shared_rows_across_batches(cuts):
+    rows = [(1, 1), (2, 1), (2, 2), (3, 5), (4, 1), (4, 2), (4, 3), (9, 9)]
+    batches = [ngram_join.pa.RecordBatch.from_pylist([{"key": k, "place": p} for k, p in rows[a:b]], ngram_join.pa.schema([("key", "int64"), ("place", "int64")]))
+               for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+    got = [(r["key"], r["place"]) for b in ngram_join._shared(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got) == [r for r in rows if r[0] != 3]
 
 
 def test_shingles_of_long_texts():
