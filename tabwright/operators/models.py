@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 #: Spark's limit on tree depth, used when no depth is asked for. The driver holds all trees, and so deep ones grow with the
 #: rows: ``max_depth``, ``min_instances`` (rows per leaf) and ``subsampling_rate`` bound them on large tables.
 DEEPEST = 30
+#: Most features of Spark's solver of normal equations.
+MOST_MOMENTS = 4_096
 #: Most classes that are weighted.
 MOST_CLASSES = 10_000
 CLASSIFIERS = ("logreg_l2", "logreg_l1", "rf", "gbr")
@@ -88,8 +90,8 @@ class PenalisedLinear(Estimator, _Supervised, DefaultParamsReadable, DefaultPara
     """Linear regression under the three usual penalty conventions.
 
     ridge: ``sum(err^2) + alpha |w|^2``; lasso and elastic net: ``sum(err^2) / 2n + alpha (r |w|_1 +
-    (1 - r) |w|^2 / 2)``. Spark rescales the label by its sample deviation, which the squared
-    part of the penalty has to follow.
+    (1 - r) |w|^2 / 2)``. Spark rescales the label by its deviation, which the squared part of the penalty has to
+    follow. Up to ``MOST_MOMENTS`` features are solved from one pass over the rows.
     """
 
     kind = Param(Params._dummy(), "kind", "linear, ridge, lasso or elasticnet", TypeConverters.toString)
@@ -106,7 +108,11 @@ class PenalisedLinear(Estimator, _Supervised, DefaultParamsReadable, DefaultPara
 
     def _fit(self, df: DataFrame):
         label, kind, alpha = self.get("labelCol"), self.get("kind"), self.get("alpha")
-        n, spread = df.agg(F.count(F.lit(1)), F.stddev_samp(label)).first()
+        features = self.get("featuresCol")
+        first = df.select(features).first()
+        one_pass = first is not None and first[0].size <= MOST_MOMENTS
+        # The solver of normal equations rescales by the population deviation, the iterative one by that of a sample.
+        n, spread = df.agg(F.count(F.lit(1)), (F.stddev_pop if one_pass else F.stddev_samp)(label)).first()
         spread = spread or 0.0
         if kind == "linear" or alpha == 0.0 or spread == 0.0:
             l1, l2 = 0.0, 0.0
@@ -120,10 +126,10 @@ class PenalisedLinear(Estimator, _Supervised, DefaultParamsReadable, DefaultPara
             raise ValueError(f"unknown kind {kind!r}")
         strength = l1 + l2
         return LinearRegression(
-            featuresCol=self.get("featuresCol"), labelCol=label, maxIter=self.get("maxIter"),
+            featuresCol=features, labelCol=label, maxIter=self.get("maxIter"),
             tol=self.get("tol"), standardization=False, regParam=strength,
             elasticNetParam=l1 / strength if strength else 0.0,
-            solver="l-bfgs" if strength else "auto").fit(df)
+            solver="auto" if not strength else "normal" if one_pass else "l-bfgs").fit(df)
 
 
 def _depth(value) -> int:

@@ -21,6 +21,7 @@ from tabwright.operators import sampling
 from tabwright.operators.evaluate import auc, auc_ovr_macro, class_metrics, confusion, regression_metrics
 from tabwright.operators.features import preparation_stages
 from tabwright.operators.models import CLASSIFIERS, REGRESSORS, build_classifier, build_regressor
+from tabwright.operators.moments import LINEAR, fold_moments
 from tabwright.operators.roles import Roles, infer_roles, without
 from tabwright.operators.scoring import class_scores
 from tabwright.storage import use_checkpoints, written
@@ -102,11 +103,16 @@ class Trainer:
     def search(self, grids: Mapping[str, Mapping[str, Sequence]], train: DataFrame, fold: str, k: int) -> dict[str, Search]:
         """Best grid point of each model by its mean score over the folds, refitted on all of ``train``.
 
-        Preparation is fitted once per fold, on the training rows of that fold only, and shared by
+        Linear learners are scored from the moments of the folds, where these can serve (see ``moments``); for the others,
+        preparation is fitted once per fold, on the training rows of that fold only, and shared by
         all models and grid points. The first of equally good points wins.
         """
         points = {name: grid_points(grid) for name, grid in grids.items()}
         tried = [(name, p) for name, ps in points.items() if len(ps) > 1 for p in ps]
+        linear = [job for job in tried if not self.classifies and job[0] in LINEAR]
+        solved = fold_moments(train, self.roles, self.target, fold, k) if linear else None
+        if solved:
+            tried = [job for job in tried if job not in linear]
         by_point: list[list[float]] = [[] for _ in tried]
         for f in range(k if tried else 0):
             fit_rows, held_rows = train.where(F.col(fold) != f), train.where(F.col(fold) == f)
@@ -124,6 +130,8 @@ class Trainer:
                 fit_on.unpersist()
                 held.unpersist()
         found: dict[str, list[dict]] = {name: [] for name in grids}
+        if solved:
+            tried, by_point = linear + tried, solved.scores(linear) + by_point
         for (name, p), scores in zip(tried, by_point):
             found[name].append({"params": p, "fold_scores": scores, "mean_score": sum(scores) / k})
         best = {name: max(found[name], key=lambda s: s["mean_score"])["params"] if found[name] else points[name][0]

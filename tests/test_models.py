@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tabwright.operators import models, tuning
+from tabwright.operators import models, moments, tuning
 from tabwright.operators.features import MedianScaler, ModeImputer, Preprocessor, feature_names, preparation_stages
 from tabwright.operators.roles import Roles, infer_roles
 from tabwright.operators.scoring import feature_importances
@@ -189,3 +189,52 @@ def test_learning_curves_grow(patients):
         {"logreg_l2": {"C": 10.0}}, fractions=[0.1, 1.0], folds=2, fit_rows=200, exclude=["id"]).orderBy("train_size").collect()
     assert [r["train_size"] for r in curves] == [20, 200]
     assert curves[-1]["val_mean"] > 0.85 and curves[-1]["val_std"] is not None
+
+
+def folded_rows(spark, seed=3, n=240):
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(50, 9, n), rng.normal(size=n)
+    c = np.where(rng.random(n) < 0.5, "x", np.where(rng.random(n) < 0.8, "y", "only in one fold"))
+    rows = []
+    for i in range(n):
+        text = None if rng.random() < 0.1 else str(c[i]) if c[i] != "only in one fold" or i % 3 == 1 else "z"
+        rows.append((i % 3, None if rng.random() < 0.2 else float(a[i]), float(b[i]), 5.0, text, float(i % 2),
+                     float(1000 + 2 * a[i] + 3 * b[i] + (c[i] == "x") - (i % 2) + rng.normal())))
+    return spark.createDataFrame(rows, "fold int, a double, b double, flat double, t string, flag double, y double").cache()
+
+
+GRIDS = {"ridge": {"alpha": [0.1, 30.0]}, "lasso": {"alpha": [0.01, 0.5]}, "elasticnet": {"alpha": [0.05, 0.5], "l1_ratio": [0.2, 0.9]}}
+
+
+def test_moments_score_what_fits_on_the_rows_score(spark, monkeypatch):
+    df = folded_rows(spark)
+    trainer = tuning.Trainer(Roles(["a", "b", "flat"], ["t"], ["flag"]), "y")
+    by_moments = trainer.search(GRIDS, df, "fold", 3)
+    monkeypatch.setattr(moments, "MOST_COLUMNS", 3)
+    by_rows = trainer.search(GRIDS, df, "fold", 3)
+    for name in GRIDS:
+        assert by_moments[name].params == by_rows[name].params
+        for got, want in zip(by_moments[name].scores, by_rows[name].scores):
+            assert got["params"] == want["params"]
+            np.testing.assert_allclose(got["fold_scores"], want["fold_scores"], rtol=2e-5)
+
+
+def test_passes_do_not_grow_with_grid_or_folds(spark):
+    df = folded_rows(spark).withColumn("many", F.col("y").cast("int") % 6)
+    sc, roles, found = spark.sparkContext, Roles(["a", "b"], ["t"]), []
+    for run, (k, fold) in enumerate([(3, "fold"), (6, "many")]):
+        sc.setJobGroup(f"moments-{run}", "")
+        solved = moments.fold_moments(df, roles, "y", fold, k)
+        solved.scores([("ridge", {"alpha": float(a)}) for a in range(1, 4 + 40 * run)])
+        found.append(len(sc.statusTracker().getJobIdsForGroup(f"moments-{run}")))
+    sc.setJobGroup("tests", "")
+    assert found[0] == found[1]
+
+
+def test_moments_refuse_what_they_cannot_serve(spark):
+    df, roles = folded_rows(spark), Roles(["b"])
+    assert moments.fold_moments(df, roles, "y", "fold", 3) is not None
+    assert moments.fold_moments(df, roles, "y", "fold", 4) is None  # an empty fold
+    assert moments.fold_moments(df.withColumn("y", F.when(F.col("b") > 0, F.col("y"))), roles, "y", "fold", 3) is None
+    assert moments.fold_moments(df, Roles(["b"], ["t"]), "y", "fold", 3, most=4) is None
+    assert moments.fold_moments(df.limit(0), roles, "y", "fold", 3) is None
