@@ -2,7 +2,7 @@
 
 A language keeps the terms that occur in at least ``LEAST_DOCUMENTS`` of its documents. They are found by prefixes of their UTF-8 bytes:
 a prefix that fewer documents hold cannot lead to a kept term, so it is discarded with all its extensions before these are
-counted; the rest is extended to twice its length, until complete terms remain.
+counted; the rest is extended to ``GROWTH`` times its length, until complete terms remain.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from tabwright.storage import written
 LEAST_DOCUMENTS = 3
 #: Bytes of the shortest prefixes, by which the terms are also dealt over tasks.
 FIRST_PREFIX = 8
+#: Each level has prefixes so many times as long as the one before.
+GROWTH = 4
 #: Text, in bytes, whose terms a task sums at a time.
 PART_BYTES = 16 << 20
 #: Probabilities are counted in parts of so many.
@@ -84,7 +86,7 @@ def _summed_part(langs: list[str], sources: list[str], texts: list[bytes], first
         places.append(of_rows)
         depths.append(np.full(len(of_rows), depth))
         found.append(value[of_rows])
-        size, depth = 2 * size, depth + 1
+        size, depth = GROWTH * size, depth + 1
     place, depth_of, value = (np.concatenate([np.empty(0, np.int64), *part]) for part in (places, depths, found))
     order = np.lexsort((depth_of, place))
     prefix_documents = pa.ListArray.from_arrays(_lists(place[order], len(rows)), pa.array(value[order]))
@@ -124,7 +126,7 @@ def refined(summed: DataFrame, least: int, longest: int, first: int = FIRST_PREF
     """The rows of ``summed`` whose term occurs in at least ``least`` documents of its ``lang``, with ``head``, its shortest prefix.
 
     ``summed`` has a row per ``lang``, binary ``term`` (of at most ``longest`` bytes, without the byte 0) and part of the documents:
-    ``documents``, the number of those with the term, and ``prefix_documents``, one number for every size ``first``, 2 * ``first``, ... up to the length of the
+    ``documents``, the number of those with the term, and ``prefix_documents``, one number for every size ``first``, ``GROWTH * first``, ... up to the length of the
     term: of the rows of a part that share the lang and the prefix of that size, one holds the number of documents with it, the
     others 0. Prefixes are counted level by level, and the rows of those in fewer than ``least`` documents go; a term shorter than the
     size of a level is complete there, with its own documents. All levels work on one shuffle by lang and shortest prefix.
@@ -139,7 +141,7 @@ def refined(summed: DataFrame, least: int, longest: int, first: int = FIRST_PREF
         live = live.withColumn("found_", found).filter(F.col("found_") >= least).select(columns)
         if size > longest:
             return live
-        size, depth = 2 * size, depth + 1
+        size, depth = GROWTH * size, depth + 1
 
 
 def _probability(n: str, total: str, kinds: str) -> str:
