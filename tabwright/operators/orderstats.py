@@ -10,13 +10,18 @@ exact, so neither way changes the result.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.cleaning import named
+from tabwright.operators.running import running_totals
 from tabwright.storage import side_table
 
 #: Most rows (after narrowing) or distinct values that one window partition may sort.
@@ -24,6 +29,11 @@ ROW_LIMIT = 1_000_000
 #: Keys with no more rows than this are sorted without narrowing.
 DIRECT_ROWS = 50_000
 
+#: Accuracy of the sketches that bracket quantiles, and the distance, in probability, of the marks on either side.
+_MARK_ACCURACY = 5_000
+_MARGIN = 0.0006
+#: Columns of no more values than this are kept whole; in larger ones the margin is many positions.
+_FEW_VALUES = 20_000
 _GRID = 4_096
 _LEVELS = 4
 _CELLS = 1_000
@@ -237,19 +247,26 @@ def quantiles(
 
     Returns ``by..., feature, n`` with one column ``q0, q1, ...`` per probability and the
     ``extras``, further aggregates that the first pass computes along with the counts.
+
+    Two passes over the rows serve all columns: the first sums sketches along with the counts, the second counts what lies below the
+    bracket that a sketch gives for each probability and keeps the values inside. More than ``SIDE_TABLE_ROWS`` groups, or a
+    bracket that misses its position, go through ``order_statistics``.
     """
-    by = list(by)
+    by, probs = list(by), list(probs)
     keys = [*by, "feature"]
     if by:
         df = df.where(_all_present(by))
-    sizes, _ = side_table(_column_sizes(df, columns, by, dict(extras or {})), "sizes")
-    spots = [p for prob in probs for p in (_floor_at(prob), _next_at(prob))]
-    requests = sizes.where(F.col("n") > 0).withColumn("positions", F.array_distinct(F.array(*spots)))
-    found = order_statistics(melt(df, columns, by), keys, requests, row_limit)
-    # A group holds at most two positions per probability, so this list is short.
-    at = found.groupBy(*keys).agg(F.map_from_entries(
-        F.collect_list(F.struct("position", "value"))).alias("at"))
-    joined = sizes.join(at, keys, "left")
+    numbers = df.select(*by, *[_number(c).alias(c) for c in columns])
+    packed, small = side_table(_summaries(numbers, columns, probs, by, dict(extras or {})), "sizes")
+    sizes = packed.select(*by, F.explode("summaries").alias("s")).select(*by, "s.*")
+    found = _between_marks(numbers, columns, probs, by, packed, sizes, row_limit) if small else None
+    if found is None:
+        spots = [p for prob in probs for p in (_floor_at(prob), _next_at(prob))]
+        requests = sizes.where(F.col("n") > 0).withColumn("positions", F.array_distinct(F.array(*spots)))
+        at = order_statistics(melt(df, columns, by), keys, requests, row_limit)
+        # A group holds at most two positions per probability, so this list is short.
+        found = at.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("position", "value"))).alias("at"))
+    joined = sizes.join(found, keys, "left")
     columns_out = [
         _interpolated(F.col("at")[_floor_at(p)], F.col("at")[_next_at(p)], _fraction_at(p)).alias(f"q{i}")
         for i, p in enumerate(probs)
@@ -257,16 +274,90 @@ def quantiles(
     return joined.select(*keys, "n", *(extras or {}), *columns_out)
 
 
-def _column_sizes(df: DataFrame, columns: Sequence[str], by: list[str],
-                  extras: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
-    """``value_sizes`` of several columns from one aggregation without repeating the rows."""
+def _summaries(numbers: DataFrame, columns: Sequence[str], probs: Sequence[float], by: list[str],
+               extras: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row per group: of every column the number of values, their range, the ``extras``, and marks around each probability."""
     figures = {"n": F.count, "lo": F.min, "hi": F.max, **extras}
-    numbers = df.select(*by, *[_number(c).alias(c) for c in columns])
-    packed = numbers.groupBy(*by).agg(*[
-        F.struct(F.lit(c).alias("feature"), *[f(named(c)).alias(n) for n, f in figures.items()]).alias(f"_{i}")
-        for i, c in enumerate(columns)])
-    return packed.select(*by, F.explode(F.array(*[F.col(f"_{i}") for i in range(len(columns))])).alias("s")).select(
-        *by, "s.*")
+    around = [min(max(p + side * _MARGIN, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    summaries = [F.struct(F.lit(c).alias("feature"), *[f(named(c)).alias(n) for n, f in figures.items()],
+                          F.percentile_approx(named(c), around, _MARK_ACCURACY).alias("marks_")) for c in columns]
+    packed = numbers.groupBy(*by).agg(*[s.alias(f"_{i}") for i, s in enumerate(summaries)])
+    return packed.select(*by, F.array(*[F.col(f"_{i}") for i in range(len(columns))]).alias("summaries"))
+
+
+def _between_marks(numbers: DataFrame, columns: Sequence[str], probs: Sequence[float], by: list[str], packed: DataFrame, sizes: DataFrame,
+                   row_limit: int) -> DataFrame | None:
+    """``by..., feature, at``: the values at the positions that the probabilities need; None if a bracket misses one."""
+    # In few values the sketch may be a position or two off, so that all of them are kept.
+    few = F.lit(_FEW_VALUES)
+    edges = F.flatten(F.transform("summaries", lambda s: F.transform(F.sequence(F.lit(0), F.lit(len(probs) - 1)), lambda j: F.struct(
+        F.when(s["n"] <= few, s["lo"]).otherwise(F.get(s["marks_"], 2 * j)).alias("lo"),
+        F.when(s["n"] <= few, s["hi"]).otherwise(F.get(s["marks_"], 2 * j + 1)).alias("hi")))))
+    edged = packed.select(*by, edges.alias("edges_"))
+    if by:
+        rows = numbers.join(F.broadcast(edged), by)
+        edge = [(F.col("edges_")[k]["lo"], F.col("edges_")[k]["hi"]) for k in range(len(columns) * len(probs))]
+    else:
+        rows = numbers
+        edge = [tuple(F.lit(x).cast("double") for x in (e["lo"], e["hi"])) for e in edged.first()["edges_"]]
+    bracketed = [(k, named(c), *edge[k]) for k, c in enumerate(c for c in columns for _ in probs)]
+    hits = F.array_compact(F.array(*[F.when((x >= lo) & (x <= hi), F.struct(F.lit(k).alias("bracket"), x.alias("value"))) for k, x, lo, hi in bracketed]))
+    none = F.array(F.lit(None).cast("struct<bracket:int,value:double>"))
+    # Every row counts once without a hit, for what it is below of, and once for every bracket that it lies in.
+    rows = rows.select("*", F.explode(F.concat(none, hits)).alias("hit_"))
+    below = [F.count_if(F.col("hit_").isNull() & (x < lo)).alias(f"below_{k}") for k, x, lo, _ in bracketed]
+    counted = rows.groupBy(*by, F.col("hit_.bracket").alias("bracket_"), F.col("hit_.value").alias("value_")).agg(F.count(F.lit(1)).alias("equal_"), *below)
+    counted, few_rows = side_table(counted, "brackets")
+    if few_rows:
+        return _picked_here(counted, sizes, columns, probs, by)
+    befores = counted.where(F.col("bracket_").isNull()).select(*by, F.posexplode(F.array(*[F.col(f"below_{k}") for k in range(len(bracketed))])).alias("bracket_", "below_"))
+    inside = counted.where(F.col("bracket_").isNotNull()).select(*by, "bracket_", "value_", "equal_")
+    totals = running_totals(inside, "value_", {"equal_": F.sum("equal_")}, [*by, "bracket_"], window_rows=row_limit)
+    spots = F.array(*[F.struct(F.lit(j).alias("prob"), position.alias("position")) for j, p in enumerate(probs) for position in (_floor_at(p), _next_at(p))])
+    number = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i * len(probs)))])[F.col("feature")]
+    wanted = sizes.where(F.col("n") > 0).select(*by, "feature", F.explode(F.array_distinct(spots)).alias("s"), number.alias("first_"))
+    wanted = wanted.select(*by, "feature", (F.col("first_") + F.col("s.prob")).alias("bracket_"), F.col("s.position").alias("position_"))
+    wanted = wanted.join(befores, [*by, "bracket_"])
+    place = F.col("position_") - F.col("below_")
+    holds = (place >= F.col("equal__before")) & (place < F.col("equal__before") + F.col("equal_"))
+    # Brackets of neighbouring probabilities may both hold a position.
+    at = wanted.join(totals, [*by, "bracket_"], "left").groupBy(*by, "feature", "position_").agg(F.max(F.when(holds, F.col("value_"))).alias("value_"))
+    rows = at.toArrow()  # at most two positions per probability, column and group of the side table
+    if rows.column("value_").null_count:
+        return None
+    found = numbers.sparkSession.createDataFrame(rows, at.schema)
+    return found.groupBy(*by, "feature").agg(F.map_from_entries(F.collect_list(F.struct("position_", "value_"))).alias("at"))
+
+
+def _picked_here(counted: DataFrame, sizes: DataFrame, columns: Sequence[str], probs: Sequence[float], by: list[str]) -> DataFrame | None:
+    """The end of ``_between_marks`` for brackets that a side table holds: a few thousand counts, looked up on the driver."""
+    below: dict[tuple, list[int]] = {}
+    inside: dict[tuple, list[tuple[float, int]]] = {}
+    for r in counted.collect():
+        group = tuple(r[c] for c in by)
+        if r["bracket_"] is None:
+            below[group] = [r[f"below_{k}"] for k in range(len(columns) * len(probs))]
+        else:
+            inside.setdefault((group, r["bracket_"]), []).append((r["value_"], r["equal_"]))
+    placed = {}
+    for key, values in inside.items():
+        values.sort()
+        placed[key] = ([v for v, _ in values], list(accumulate(n for _, n in values)))
+    first = {c: i * len(probs) for i, c in enumerate(columns)}
+    found = []
+    for r in sizes.where(F.col("n") > 0).collect():
+        group, at = tuple(r[c] for c in by), {}
+        for j, p in enumerate(probs):
+            floor = math.floor((r["n"] - 1) * float(p))
+            values, ends = placed.get((group, first[r["feature"]] + j), ([], []))
+            for position in {floor, min(floor + 1, r["n"] - 1)}:
+                place = position - below[group][first[r["feature"]] + j]
+                if not 0 <= place < (ends[-1] if ends else 0):
+                    return None
+                at[position] = values[bisect_right(ends, place)]
+        found.append((*group, r["feature"], at))
+    fields = [*[f for f in sizes.schema.fields if f.name in by], T.StructField("feature", T.StringType()), T.StructField("at", T.MapType(T.LongType(), T.DoubleType()))]
+    return sizes.sparkSession.createDataFrame(found, T.StructType(fields))
 
 
 def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

@@ -221,14 +221,14 @@ def test_moments_score_what_fits_on_the_rows_score(spark, monkeypatch):
 
 def test_passes_do_not_grow_with_grid_or_folds(spark):
     df = folded_rows(spark).withColumn("many", F.col("y").cast("int") % 6)
-    sc, roles, found = spark.sparkContext, Roles(["a", "b"], ["t"]), []
+    sc, roles, found = spark.sparkContext, Roles(["b", "flat"], ["t"], ["flag"]), []
     for run, (k, fold) in enumerate([(3, "fold"), (6, "many")]):
         sc.setJobGroup(f"moments-{run}", "")
         solved = moments.fold_moments(df, roles, "y", fold, k)
         solved.scores([("ridge", {"alpha": float(a)}) for a in range(1, 4 + 40 * run)])
         found.append(len(sc.statusTracker().getJobIdsForGroup(f"moments-{run}")))
     sc.setJobGroup("tests", "")
-    assert found[0] == found[1]
+    assert found[1] <= found[0] <= 8
 
 
 def test_moments_refuse_what_they_cannot_serve(spark):

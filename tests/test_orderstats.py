@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabwright import storage
 from tabwright.operators.distribution import bin_means, box_outliers, box_statistics, histograms, scatter_density
 from tabwright.operators.orderstats import quantiles
 from tabwright.operators.profile import describe
@@ -44,6 +45,43 @@ def test_quantiles_match_numpy_whatever_the_limit(spark, frame, limit, levels, g
                                        part[c].quantile(list(probs)).to_numpy(), rtol=1e-12)
 
 
+@pytest.mark.parametrize("by,here", [([], True), (["g"], True), (["g"], False)])
+def test_marks_bracket_the_quantiles_of_many_values(spark, by, here, monkeypatch):
+    """Two passes serve columns of different shapes at once, and nothing falls back on the search by levels."""
+    from tabwright.operators import orderstats
+
+    monkeypatch.setattr(orderstats, "order_statistics", None)
+    if not here:  # as if the brackets were too many for the driver
+        monkeypatch.setattr(orderstats, "side_table", lambda df, name: storage.side_table(df, name) if name == "sizes" else (storage.written(df, name), False))
+    n = 150_000
+    data = pd.DataFrame({"g": RNG.choice(["a", "b"], n, p=[0.7, 0.3]), "normal": RNG.normal(size=n), "tail": RNG.pareto(0.3, n),
+                         "hot": np.where(RNG.random(n) < 0.6, 2.0, RNG.random(n) * 4), "few": RNG.integers(0, 3, n).astype(float)})
+    data.loc[RNG.random(n) < 0.1, "normal"] = np.nan
+    probs, columns = (0.0, 0.0004, 0.25, 0.5, 0.9, 1.0), ["normal", "tail", "hot", "few"]
+    sc = spark.sparkContext
+    rows = spark.createDataFrame(data).cache()
+    rows.count()
+    sc.setJobGroup("marks", "")
+    got = quantiles(rows, columns, probs, by, row_limit=100_000)
+    assert not here or len(sc.statusTracker().getJobIdsForGroup("marks")) <= (11 if by else 8)
+    sc.setJobGroup("tests", "")
+    got = got.toPandas()
+    for key, part in [((), data)] if not by else [((k,), p) for k, p in data.groupby("g")]:
+        for c in columns:
+            row = got[(got["feature"] == c) & ((got["g"] == key[0]) if key else True)]
+            np.testing.assert_allclose(row[[f"q{i}" for i in range(len(probs))]].to_numpy()[0], part[c].quantile(list(probs)).to_numpy(), rtol=1e-12)
+
+
+def test_more_groups_than_a_side_table_holds(spark, frame, monkeypatch):
+    from tabwright.operators import orderstats
+
+    monkeypatch.setattr(orderstats, "side_table", lambda df, name, limit=2: storage.side_table(df, name, 2))
+    got = quantiles(spark.createDataFrame(frame), ["heavy", "few"], (0.25, 0.5), ["g"]).toPandas().set_index(["g", "feature"])
+    for g, part in frame.groupby("g"):
+        for c in ("heavy", "few"):
+            np.testing.assert_allclose(got.loc[(g, c), ["q0", "q1"]].astype(float), part[c].quantile([0.25, 0.5]))
+
+
 def test_infinite_values_take_the_sketch_route(spark):
     data = pd.DataFrame({"x": np.concatenate([RNG.normal(size=500), [np.inf, -np.inf, np.inf]])})
     got = quantiles(spark.createDataFrame(data), ["x"], (0.0, 0.5, 1.0), row_limit=20).first()
