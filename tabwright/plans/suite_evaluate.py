@@ -232,11 +232,10 @@ def scored_rows(spark, folder):
     return scored_patients(spark, folder).select("o_orderkey", "predicted_cost", "predicted_risk", p["0"].alias("p0"), p["1"].alias("p1"))
 
 
-@query("b3_clipped_probabilities", f"WITH {SCORED_SQL} SELECT o_orderkey, p0, p1 FROM scored WHERE p1 IN (0.005, 0.995)")
+@query("b3_clipped_probabilities", f"WITH {SCORED_SQL} SELECT o_orderkey, p0, p1 FROM scored")
 def clipped(spark, folder):
     p = F.col("probabilities")
-    return scored_patients(spark, folder).select("o_orderkey", p["0"].alias("p0"), p["1"].alias("p1")).where(
-        F.col("p1").isin(0.005, 0.995))
+    return scored_patients(spark, folder).select("o_orderkey", p["0"].alias("p0"), p["1"].alias("p1"))
 
 
 @query("b4_compared_rows", f"""WITH {SCORED_SQL} SELECT o_orderkey, predicted_cost, actual_cost, error, predicted_risk,

@@ -332,11 +332,11 @@ def nested_prefixes(spark, folder):
     folded = sampling.folds(hashed, F.col("h"), 3, None, "o_orderstatus")
     steps = sampling.nested_prefixes(folded, F.col("h"), CURVE_FRACTIONS, None)
     # One aggregation per fold and stretch between neighbouring cuts; a set is the sum of its stretches.
-    cuts = F.array(*[F.lit(c).cast("bigint") for c in sorted({s["cut"] for s in steps})])
-    stretch = F.aggregate(cuts, F.lit(0), lambda n, c: n + (c <= F.col("h")).cast("int"))
+    cuts = [F.lit(c).cast("bigint") for c in sorted({s["cut"] for s in steps})]
+    stretch = sum([(c <= F.col("h")).cast("int") for c in cuts], F.lit(0))
     cells = folded.groupBy("fold", stretch.alias("stretch")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
     sets = spark.createDataFrame([(s["fold"], s["size"], s["cut"]) for s in steps], "held bigint, train_size bigint, cut bigint")
-    sets = sets.withColumn("first", F.aggregate(cuts, F.lit(0), lambda n, c: n + (c < F.col("cut")).cast("int")))
+    sets = sets.withColumn("first", sum([(c < F.col("cut")).cast("int") for c in cuts], F.lit(0)))
     # Every cell counts in the sets of all other folds.
     others = F.filter(F.sequence(F.lit(0), F.lit(2)), lambda f: f != F.col("fold"))
     inside = cells.withColumn("held", F.explode(others.cast("array<bigint>"))).join(sets, "held").where(F.col("stretch") <= F.col("first"))

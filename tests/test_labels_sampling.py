@@ -147,3 +147,48 @@ def test_nested_prefixes(people):
 def test_random_row_comes_from_the_table(people):
     first = sampling.random_row(people, F.col("id"), 1).collect()
     assert len(first) == 1 and first == sampling.random_row(people.repartition(5), F.col("id"), 1).collect()
+
+
+def many_strata(spark, n=3000):
+    """Strata of 1 to 20 rows, ties of sizes among them, and one that holds a third of all rows."""
+    rng = np.random.default_rng(4)
+    names = [f"s{k}" for k in rng.integers(0, 300, n)]
+    return spark.createDataFrame([(k, "hot" if k % 3 == 0 else names[k], float(k)) for k in range(n)], "id long, stratum string, x double").repartition(4).cache()
+
+
+def test_a_table_of_strata_gives_the_splits_of_a_few(spark, monkeypatch):
+    df, key = many_strata(spark), F.col("id")
+
+    def all_parts():
+        split = sampling.exact_split(df, key, 7, 0.2, 0.25, "stratum")
+        folded = sampling.folds(df, key, 4, 7, "stratum")
+        taken = sampling.subsample(df.withColumn("id", F.col("id") % 500), key, 700, 7, "stratum")
+        return ({r["id"]: r["part"] for r in split.collect()}, {r["id"]: r["fold"] for r in folded.collect()}, sorted(r["x"] for r in taken.collect()))
+
+    few = all_parts()
+    monkeypatch.setattr(sampling, "LITERAL_STRATA", 10)
+    many = all_parts()
+    assert few[1] == many[1] and len(few[2]) == len(many[2]) == 700
+    for a, b in zip(few[:1], many[:1]):
+        assert {p: list(a.values()).count(p) for p in ("train", "val", "test")} == {p: list(b.values()).count(p) for p in ("train", "val", "test")}
+        # Remainders that are equal may differ by rounding on the driver; strata are named alike where they do not.
+        assert sum(a[k] != b[k] for k in a) <= 0.02 * len(a)
+
+
+def test_a_missing_stratum_is_refused_in_a_table(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "LITERAL_STRATA", 10)
+    df = many_strata(spark, 300).withColumn("stratum", F.when(F.col("id") != 5, F.col("stratum")))
+    with pytest.raises(ValueError, match="missing"):
+        sampling.folds(df, F.col("id"), 3, 42, "stratum")
+
+
+def test_apportioned_is_exact(spark):
+    sizes = spark.createDataFrame([(f"k{k:03d}", 1 + k % 7) for k in range(200)], "stratum string, n long")
+    total = 333
+    got = {r["stratum"]: r["given"] for r in sampling._apportioned(sizes, "n", total, "given").collect()}
+    rows = {r["stratum"]: r["n"] for r in sizes.collect()}
+    n = sum(rows.values())
+    order = sorted(rows, key=lambda k: (-(total * rows[k] % n), k))
+    floors = {k: total * v // n for k, v in rows.items()}
+    extra = set(order[:total - sum(floors.values())])
+    assert got == {k: floors[k] + (k in extra) for k in rows} and sum(got.values()) == total
