@@ -196,10 +196,13 @@ def mixed_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them whole, with all their columns.
 
     A document of which the mix takes ``t`` times its words appears ``floor(t)`` times, and once more with the probability of the rest, decided by a
-    hash of its id. Documents without words are not drawn. Rows that repeat an id share what the mix takes of it.
+    hash of its id. Documents without words are not drawn, an empty table gives an empty one. Rows that repeat an id, a null one
+    too, share what the mix takes of it. Columns may have any names.
     """
     taken = taken_words(plan_mix(docs, seed=seed, **how)).groupBy("doc_id").agg(F.sum("taken").alias("taken_"), F.sum("size").alias("size_"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     times = taken.filter("size_ > 0").select(F.col("doc_id").alias("drawn_"), F.floor(F.col("taken_") / F.col("size_") + chance).cast("int").alias("times_"))
-    drawn = docs.join(times.filter("times_ > 0").hint("merge"), F.col("doc_id").eqNullSafe(F.col("drawn_")))
-    return drawn.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*docs.columns)
+    # Rows travel as a struct, so that no column of theirs clashes with the helpers.
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").alias("own"))
+    drawn = rows.join(times.filter("times_ > 0").hint("merge"), F.col("own").eqNullSafe(F.col("drawn_")))
+    return drawn.select("whole", F.explode(F.sequence(F.lit(1), F.col("times_")))).select("whole.*")

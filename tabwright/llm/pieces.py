@@ -292,15 +292,23 @@ def decode_all(pieces: Pieces, ids: np.ndarray, ends: np.ndarray) -> list[str]:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encode(docs: DataFrame, model_file: str, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = 0, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = 0, carry: Sequence[str] = ("doc_id",),
+           copy: str | None = None) -> DataFrame:
     """``carry`` columns and ``ids array<int>`` of every row's whole text.
 
-    A document's variant is a hash of its doc_id: with ``dropout`` above 0, documents choose among ``variants`` segmentations of a unit
-    and a new ``seed`` gives new ones; the same seed always gives the same. With ``dropout`` 0 the ids are the model's own. A null text has null
-    ids, an empty one none. Characters without a piece, and a literal U+2581, become byte pieces, so decoding is lossless.
+    A document's variant is a hash of its doc_id, or of its text if that is null, and the next ones for further copies, numbered from 0 by the
+    column ``copy``: with ``dropout`` above 0, documents choose among ``variants`` segmentations of a unit and up to ``variants`` copies of
+    one differ. A new ``seed`` gives new ones; the same seed always gives the same. With ``dropout`` 0 the ids are the model's own. A null text has null
+    ids, an empty one none; a very long one is cut nowhere. Rows that repeat an id and a text get the same ids unless ``copy`` tells them apart; an
+    empty table gives an empty one. A carried column must not be named ``ids``, others may have any names. Characters
+    without a piece, and a literal U+2581, become byte pieces, so decoding is lossless.
     """
+    if "ids" in carry:
+        raise ValueError("rename the carried column 'ids'")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(variants)).cast("int").alias("variant_")
+    known = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+    first = F.pmod(F.xxhash64(known, F.lit(seed)), F.lit(variants))
+    chosen = F.pmod(first + (F.coalesce(F.col(copy), F.lit(0)) if copy else F.lit(0)), F.lit(variants)).cast("int").alias("variant_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_file)

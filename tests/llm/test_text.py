@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -227,6 +227,11 @@ def test_pipeline(spark):
     words = sum(len(WORD.findall(inputs[4][r["doc_id"]])) for r in final)
     assert words == pytest.approx(sum(len(WORD.findall(t)) for t in inputs[3].values()), rel=0.3)
     assert max(Counter(r["doc_id"] for r in final).values()) <= 3
+    repeated = defaultdict(list)
+    for r in final:
+        repeated[r["doc_id"]].append(tuple(r["ids"]))
+    long = [ids for i, ids in repeated.items() if len(ids) > 1 and len(inputs[4][i]) > 2000]
+    assert long and all(len(set(ids)) == len(ids) for ids in long)  # drawn copies differ
     vocabulary = pieces.load(MODEL_FILE)
     assert all(pieces.decode(vocabulary, r["ids"]) == inputs[4][r["doc_id"]] for r in final)
 
@@ -246,3 +251,32 @@ def test_sql(spark, name):
     from tabwright.llm.queries import ORACLES
 
     assert difference(QUERIES[name](spark, FOLDER), connect(FOLDER), ORACLES[name]) is None
+
+
+HELPERS = ["copy_", "drawn_", "times_", "taken_", "row_key_", "stays_", "kept_id", "kept_sha", "own", "own_id", "own_row", "own_sha", "whole", "row",
+           "key", "place", "keys0", "node", "digest", "variant_", "copy", "block", "size", "before", "shard", "slot"]
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_columns_of_any_name(spark, stage):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60).withColumns({name: F.concat(F.lit(name), F.col("doc_id").cast("string")) for name in HELPERS})
+    name, run = corpus_pipeline.STAGES[stage]
+    kept = run(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert rows and all(r[name] == f"{name}{r['doc_id']}" for r in rows for name in HELPERS)
+
+
+def test_copies_and_missing_ids_choose_their_segmentation(spark):
+    text = "the quick brown fox jumps over lazy dogs and internationalisation " * 5
+    rows = [(1, text, c) for c in range(4)] + [(None, text, 0), (None, text + "again", 0), (2, None, None), (3, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copy int")
+    got = pieces.encode(docs, MODEL_FILE, carry=["doc_id", "text"], copy="copy").collect()
+    assert len({tuple(r["ids"]) for r in got if r["doc_id"] == 1}) == 4
+    assert [r["ids"] for r in got if r["doc_id"] in (2, 3)] == [None, []]
+    vocabulary = pieces.load(MODEL_FILE)
+    assert all(pieces.decode(vocabulary, r["ids"]) == r["text"] for r in got if r["text"])
+    assert len({tuple(r["ids"]) for r in pieces.encode(docs.filter("doc_id = 1"), MODEL_FILE).collect()}) == 1
+    assert pieces.encode(docs.limit(0), MODEL_FILE, copy="copy").collect() == []
+    with pytest.raises(ValueError, match="ids"):
+        pieces.encode(docs.withColumn("ids", F.lit(1)), MODEL_FILE, carry=["ids"])
