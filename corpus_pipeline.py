@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm import exact_dedup, langid, mixing, ngram_join, pieces
@@ -35,8 +35,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every drawn document, segmented with merge-dropout."""
-    encoded = pieces.encode(docs.select("doc_id", "source", "text"), MODEL_FILE, carry=["doc_id", "source"])
+    """Token ids of every drawn document, segmented with merge-dropout; the copies of a document are segmented differently.
+
+    A null text has null ids and a null ``n_pieces``, an empty text no ids; an empty table gives an empty one. Rows without an id are copies where
+    their texts are equal. Columns other than ``doc_id, source, text`` are left out, whatever their names.
+    """
+    place = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source")) - 1
+    numbered = docs.select("doc_id", "source", "text").withColumn("copy", place)
+    encoded = pieces.encode(numbered, MODEL_FILE, carry=["doc_id", "source"], copy="copy")
     return encoded.select("doc_id", "source", F.array_size("ids").cast("long").alias("n_pieces"), "ids")
 
 
