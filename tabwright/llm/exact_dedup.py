@@ -7,9 +7,9 @@ is compared in full with its neighbour.
 from __future__ import annotations
 
 import hashlib
-import string
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -91,13 +91,17 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
         (F.col("first") & (F.col("task") == F.coalesce("first_task", "task"))).alias("kept"), "text_sha256")
 
 
+@F.pandas_udf("string")
+def _text_sha256(text: pd.Series) -> pd.Series:
+    return text.map(lambda v: hashlib.sha256((v or "").encode().lower()).hexdigest())
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; rows that repeat a kept id and text stay once.
 
     Nulls, empty and very long texts and ties count as in ``exact_duplicates``; an empty table gives an empty one, and columns may have any names.
     """
     kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    lower = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("own_id"), F.sha2(lower, 256).alias("own_sha"))
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("own_id"), _text_sha256(F.col("text").cast("string")).alias("own_sha"))
     same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_sha") == F.col("kept_sha"))
     return rows.join(kept.hint("merge"), same).dropDuplicates(["own_id", "own_sha"]).select("whole.*")
