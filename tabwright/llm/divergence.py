@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwright.llm.shingles import distinct
 from tabwright.llm.tables import portions, text_bytes
 from tabwright.storage import written
 
@@ -63,7 +64,7 @@ def _summed_part(langs: list[str], sources: list[str], texts: list[bytes], first
     lang, lang_names = _coded(langs)
     pair, pairs = _coded(list(zip(langs, sources)))
     kinds = max(len(terms), 1)
-    once = np.unique(document * kinds + term)
+    once = distinct(document * kinds + term)
     once_document, once_term = once // kinds, once % kinds
     rows, documents = np.unique(lang[once_document] * kinds + once_term, return_counts=True)
     row_lang, row_term = rows // kinds, rows % kinds
@@ -79,7 +80,7 @@ def _summed_part(langs: list[str], sources: list[str], texts: list[bytes], first
         of_rows = np.flatnonzero(long[row_term])
         keys, holder = np.unique(row_lang[of_rows] * n + prefix[row_term[of_rows]], return_index=True)
         held = long[once_term]
-        holds = np.unique(once_document[held] * n + prefix[once_term[held]])
+        holds = distinct(once_document[held] * n + prefix[once_term[held]])
         _, counts = np.unique(lang[holds // n] * n + holds % n, return_counts=True)
         value = np.zeros(len(rows), np.int64)
         value[of_rows[holder]] = counts

@@ -24,6 +24,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values. Sorting beats the hash table of ``np.unique`` several times on millions of numbers."""
+    ordered = np.sort(values)
+    fresh = np.ones(len(ordered), bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    return ordered[fresh]
+
+
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n:
         size = max(n, 2 * PIECE_BYTES)
@@ -64,7 +72,7 @@ def _set_of(words: np.ndarray, size: int) -> np.ndarray:
         h = np.zeros(len(words) - size + 1, np.uint64)
         for k in range(size):
             h = mixed(h * np.uint64(3) + words[k:len(words) - size + 1 + k])
-        return np.unique(h)
+        return distinct(h)
     if len(words):
         h = np.array([len(words)], np.uint64)
         for w in words:
