@@ -26,7 +26,7 @@ FIRST_PREFIX = 8
 #: Each level has prefixes so many times as long as the one before.
 GROWTH = 4
 #: Text, in bytes, whose terms a task sums at a time.
-PART_BYTES = 16 << 20
+PART_BYTES = 10 << 20
 #: Probabilities are counted in parts of so many.
 PARTS = 1_000_000_000
 
