@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -102,7 +102,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Nulls, empty and very long texts and ties count as in ``exact_duplicates``; an empty table gives an empty one, and columns may have any names.
     """
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("own_id"), _text_sha256(F.col("text").cast("string")).alias("own_sha"))
-    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_sha") == F.col("kept_sha"))
-    return rows.join(kept.hint("merge"), same).dropDuplicates(["own_id", "own_sha"]).select("whole.*")
+    def key(doc_id: Column, sha: Column) -> Column:
+        # One column, so that the join and the last step share a partitioning.
+        return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("none")), sha).alias("own")
+
+    kept = exact_duplicates(docs).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")))
+    rows = docs.select(F.struct("*").alias("whole"), key(F.col("doc_id"), _text_sha256(F.col("text").cast("string"))))
+    return rows.join(kept.hint("merge"), "own").dropDuplicates(["own"]).select("whole.*")
