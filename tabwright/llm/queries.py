@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm import (divergence, exact_dedup, langid, mixing, ngram_join, pieces, pii, periodic, projected_search,
                            resharding, suffix_dedup, topk, warc)
+from tabwright.storage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,16 +47,24 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
 OLD_SHARDS, NEW_SHARDS = 12, 16
 
 
+def _text_size(row: str) -> Column:
+    return (F.octet_length(F.coalesce(F.col(f"{row}.text"), F.lit(""))) + 1).cast("long")
+
+
+def _text_crc32(row: str) -> Column:
+    return F.crc32(F.coalesce(F.col(f"{row}.text"), F.lit("")))
+
+
 @query
 def op3_resharding(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    old = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(OLD_SHARDS)), F.lit(0)).cast("int")
-    rows = table(spark, folder, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
-                                                    F.crc32(text).alias("text_crc32"), old.alias("old_shard"))
-    placed = resharding.reshard(rows, "old_shard", "size", lambda total: resharding.even_capacities(total, NEW_SHARDS),
-                                [F.col("doc_id").asc_nulls_last(), F.col("text_crc32")])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-                         F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    old = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(OLD_SHARDS)), F.lit(0))
+    before, after = scratch_path(spark, "shards-old"), scratch_path(spark, "shards-new")
+    resharding.write_layout(docs, old, before)
+    rows, _ = resharding.reshard_layout(spark, before, docs.schema, _text_size, lambda row: [F.col(f"{row}.doc_id"), _text_crc32(row)],
+                                        lambda total: resharding.even_capacities(total, NEW_SHARDS), after)
+    return rows.select("row.doc_id", _text_size("row").alias("size"), _text_crc32("row").alias("text_crc32"), F.lit("bytes").alias("law"),
+                       "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query

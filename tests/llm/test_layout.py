@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwright.llm import mixing, resharding, topk, warc
+from tabwright.llm.queries import NEW_SHARDS, OLD_SHARDS, QUERIES
 from tabwright.storage import scratch_path
 
 
@@ -100,7 +101,7 @@ def test_flow_moves_least():
         resharding.min_cost_flow([2], [1], lambda i, j: 0)
 
 
-def test_reshard(spark, tmp_path):
+def test_reshard(spark):
     rng = random.Random(5)
     rows = [(k, rng.choice([5, 50, 500, 4000]), rng.choice([0, 0, 0, 1, 2, 9])) for k in range(3000)] + [(7, 5, 0), (7, 5, 0), (None, 60, 1)]
     df = spark.createDataFrame(rows, "doc_id long, size long, old int").repartition(7)
@@ -118,9 +119,6 @@ def test_reshard(spark, tmp_path):
     least = total - sum(min(held[j], total / 5) for j in range(5))
     moved = got.loc[got["old"] != got["shard"], "size"].sum()
     assert abs(moved - least) <= 20_000
-    paths = resharding.rewrite(placed, "old", {0: "old/0", 1: "old/1", 2: "old/2", 9: "old/9"}, f"{tmp_path}/new", file_rows=100)
-    assert set(paths) == set(range(5)) and all(p.startswith(str(tmp_path)) for p in paths.values())
-    assert spark.read.parquet(f"{tmp_path}/new").count() == len(rows)
 
 
 def test_rows_of_size_0_are_placed(spark):
@@ -134,13 +132,74 @@ def test_rows_of_size_0_are_placed(spark):
         assert set(got.loc[got["old"] == 2, "shard"]) == {2}
 
 
-def test_untouched_shards_stay(spark, tmp_path):
+def size_of(row):
+    return F.coalesce(F.col(f"{row}.size"), F.lit(0)).cast("long")
+
+
+def order_of(row):
+    return [F.col(f"{row}.doc_id")]
+
+
+def moved(spark, rows, capacities, **files):
+    old, new = scratch_path(spark, "old"), scratch_path(spark, "new")
+    resharding.write_layout(rows, F.col("old"), old)
+    found, paths = resharding.reshard_layout(spark, old, rows.schema, size_of, order_of, capacities, new, **files)
+    return found.collect(), paths, old, new
+
+
+def test_layout_is_rewritten(spark):
+    """The files hold what the plan says, whatever the names of the columns; repeated rows and nulls are rows like any other."""
+    rng = random.Random(6)
+    rows = [(k, rng.choice([0, 5, 50, 500, 4000]), rng.choice([0, 0, 0, 1, 2, 9]), f"p{k}", 1) for k in range(1500)]
+    rows += [(7, 5, 0, "same", None)] * 5 + [(None, 60, 1, None, 2), (None, None, 1, "é", 2), (1600, 100_000, 2, "x" * 1000, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, old int, slot string, place int").repartition(7)
+    for files in ({"file_size": 20_000, "file_rows": 1000}, {"file_rows": 50}, {}):
+        got, paths, old, new = moved(spark, df, lambda t: resharding.even_capacities(t, 5), **files)
+        assert Counter(tuple(r["row"]) for r in got) == Counter(rows)
+        slots, filled = {}, Counter()
+        for r in got:
+            slots.setdefault(r["shard"], []).append(r["slot"])
+            filled[r["shard"]] += r["row"]["size"] or 0
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(paths) == set(slots) == set(range(5))
+        assert all(p.startswith(new) for p in paths.values())
+        total = sum(r[1] or 0 for r in rows)
+        assert all(abs(n - total / 5) <= 8000 for s, n in filled.items() if s != 2)
+        # A slot is the place in the line: rows that stayed stand by size, in one stretch.
+        for shard in (0, 1, 2):
+            own = [r["row"]["size"] or 0 for r in sorted(got, key=lambda r: r["slot"]) if r["shard"] == shard == r["row"]["old"]]
+            assert own == sorted(own, reverse=True)
+
+
+def test_untouched_shards_stay(spark):
     df = spark.createDataFrame([(k, 10, k % 3 if k % 3 < 2 else 1) for k in range(90)], "doc_id long, size long, old int")
-    placed = resharding.reshard(df, "old", "size", [300, 300, 300], [F.col("doc_id")])
-    paths = resharding.rewrite(placed, "old", {0: "old/0", 1: "old/1"}, f"{tmp_path}/new")
-    assert paths[0] == "old/0" and paths[1] != "old/1" and paths[2].endswith("shard=2")
-    empty = resharding.reshard(df.limit(0), "old", "size", lambda t: resharding.even_capacities(t, 3), [F.col("doc_id")])
-    assert empty.collect() == []
+    got, paths, old, new = moved(spark, df, [300, 300, 300])
+    assert paths == {0: f"{old}/old=0", 1: f"{new}/shard=1", 2: f"{new}/shard=2"}
+    assert Counter(r["row"]["doc_id"] for r in got) == Counter(range(90)) and {r["shard"] for r in got if r["row"]["old"] == 0} == {0}
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(30)) for s in range(3))
+    got, paths, old, _ = moved(spark, df, [300, 600])
+    assert paths == {0: f"{old}/old=0", 1: f"{old}/old=1"} and len(got) == 90
+    got, paths, *_ = moved(spark, df.limit(0), lambda t: resharding.even_capacities(t, 3))
+    assert got == [] and paths == {}
+
+
+def test_query_reshards_whole_texts(spark):
+    """Sizes, checksums and shards against the documents themselves, and the moved bytes against the least possible."""
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = QUERIES["op3_resharding"](spark, folder).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len(t) + 1, zlib.crc32(t)) for i, t in texts.items())
+    total, held, filled, line, stayed = sum(len(t) + 1 for t in texts.values()), Counter(), Counter(), {}, 0
+    for r in got:
+        old = zlib.crc32(str(r["doc_id"]).encode()) % OLD_SHARDS
+        held[old] += r["size"]
+        filled[r["shard"]] += r["size"]
+        line.setdefault(r["shard"], []).append(r["slot"])
+        stayed += r["size"] if old == r["shard"] else 0
+    longest = max(r["size"] for r in got)
+    assert all(abs(filled[s] - total / NEW_SHARDS) <= 2 * longest for s in range(NEW_SHARDS))
+    assert all(sorted(s) == list(range(len(s))) for s in line.values())
+    assert stayed >= sum(min(held[s], total // NEW_SHARDS) for s in range(OLD_SHARDS)) - OLD_SHARDS * longest
+    assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
 
 
 def test_threshold_algorithm():
