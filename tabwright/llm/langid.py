@@ -7,6 +7,7 @@ automaton; the language that needs the fewest phrases, normalised by the size of
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -133,40 +134,64 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """The sample text of every language.
 
-    Of each language's documents that are not held out and have a letter, the ``sample_docs`` with the smallest hashes are taken, and an equal
-    share of ``sample_bytes`` from each. Repeated texts count once per row. Only this bounded sample reaches the driver.
+    Of each language's documents that are not held out and have a letter, the ``sample_docs`` with the smallest hashes are taken. They share
+    ``sample_bytes``: each gives a stretch at a hashed place of its text, and what short documents leave goes to longer ones.
+    Repeated texts count once per row. Only this bounded sample reaches the driver. A warning names languages whose stretches hold nothing to
+    learn from.
     """
-    share = max(1, sample_bytes // sample_docs)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     # Folding shortens texts (digits, white space), so more than the share is fetched.
-    rows = rows.select("lang", F.xxhash64("doc_id", F.lit(4)).alias("hash"), F.substring("text", 1, 4 * share).alias("excerpt"))
+    rows = rows.select("lang", F.xxhash64("doc_id", F.lit(4)).alias("hash"), _stretch(F.col("text"), F.xxhash64("doc_id", F.lit(5)), F.lit(4 * sample_bytes)).alias("excerpt"))
     first = Window.partitionBy("lang").orderBy("hash", "excerpt")
-    sample = rows.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= sample_docs).orderBy("lang", "place").collect()
+    sample = rows.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= sample_docs)
+    share = F.ceil(4 * sample_bytes / F.count(F.lit(1)).over(Window.partitionBy("lang"))).cast("int")
+    sample = sample.select("lang", "place", _stretch(F.col("excerpt"), F.xxhash64("hash"), share).alias("excerpt")).orderBy("lang", "place").collect()
     texts: dict[str, list[bytes]] = {}
     for r in sample:
-        texts.setdefault(r["lang"], []).append(folded(r["excerpt"])[:share])
-    return {k: b" ".join(v) for k, v in texts.items() if any(v)}
+        texts.setdefault(r["lang"], []).append(folded(r["excerpt"]))
+    samples = {k: b" ".join(_shared(v, sample_bytes)) for k, v in texts.items() if any(v)}
+    if len(samples) < len(texts):
+        warnings.warn(f"nothing to learn from in languages {sorted(set(texts) - set(samples))}", stacklevel=2)
+    return samples
+
+
+def _stretch(text: Column, hash: Column, length: Column) -> Column:
+    """``length`` characters of a text from a place that the hash tells, or all of it."""
+    return F.substr(text, (F.pmod(hash, F.greatest(F.length(text) - length, F.lit(0)) + 1) + 1).cast("int"), length)
+
+
+def _shared(texts: list[bytes], total: int) -> list[bytes]:
+    """Heads of the stretches that have ``total`` bytes together, as equal as their lengths allow."""
+    cut, left = [b""] * len(texts), total
+    for n, k in enumerate(sorted(range(len(texts)), key=lambda k: len(texts[k]))):
+        cut[k] = texts[k][:left // (len(texts) - n)]
+        left -= len(cut[k])
+    return [t for t in cut if t]
 
 
 #: A text that no learned language parses into phrases of so many bytes on average is in none of them. Bytes that a sample lacks
 #: are phrases of one byte; the shortest clean texts, full of names and numbers, still reach 1.7.
 LEAST_PHRASE = 1.25
+#: A shorter folded text is too short to judge.
+LEAST_BYTES = 8
 
 
 def recognised(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are in a learned language.
 
     Rejected are ``und`` texts and those that even the best language cuts into phrases shorter than ``LEAST_PHRASE`` bytes, as other
-    scripts and noise are. Where nothing could be learned, nothing is known to be foreign: all texts with a letter stay.
+    scripts and noise are. Texts with a letter that fold to fewer than ``LEAST_BYTES`` bytes stay, whatever their phrases. Null and empty texts go, an
+    empty table gives an empty one, repeated rows are judged alike, and columns may have any names. Where nothing could be learned, nothing is known to be foreign: all texts with a letter stay.
     """
     samples = learn(docs)
     if not samples:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     limit = {k: math.log2(max(2, len(v))) / LEAST_PHRASE for k, v in samples.items()}
-    packed = docs.select(F.struct("*").alias("row_"), F.col("text"))
-    found = identify(packed, samples, carry=["row_"])
+    # The text travels once, inside the row.
+    found = identify(docs.select(F.struct("*").alias("row_")), samples, carry=["row_"], text="row_.text")
     most = F.create_map(*(F.lit(x) for kv in limit.items() for x in kv))
-    return found.filter(F.col("bits") <= F.element_at(most, F.col("lang_pred"))).select("row_.*")
+    short = (F.col("lang_pred") != UNKNOWN) & (F.col("n_folded") < LEAST_BYTES)
+    return found.filter(short | (F.col("bits") <= F.element_at(most, F.col("lang_pred")))).select("row_.*")
 
 
 _parsers: dict[tuple, list[Parser]] = {}
@@ -185,21 +210,28 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text[:256]) or any(c.isalpha() for c in text)
 
 
-def identify(docs: DataFrame, samples: dict[str, bytes], carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns, ``lang_pred`` (a learned language or ``und``), ``score`` and ``bits`` for every row of ``docs``.
+def identify(docs: DataFrame, samples: dict[str, bytes], carry: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``carry`` columns, ``lang_pred`` (a learned language or ``und``), ``score``, ``bits`` and ``n_folded`` for every row of ``docs``.
+
+    The column ``text`` may be ``row.field`` for a field of a carried struct.
 
     ``score`` is the probability, among the learned languages, that the entropies stand for: 0 for ``und``, 1 if one language only
     was learned. Texts that are null, empty or without a letter are ``und``, as is everything where nothing was learned; ties go to
-    the first language by code point. ``bits`` is the winner's entropy in bits per byte, null for ``und``. Whole texts are
-    parsed.
+    the first language by code point. ``bits`` is the winner's entropy in bits per byte, null for ``und``; ``n_folded`` counts the bytes
+    that were parsed. Whole texts are parsed.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang_pred string", "score double", "bits double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "lang_pred string", "score double", "bits double", "n_folded long"])
+    row, _, leaf = text.partition(".")
+    inside = bool(leaf) and row in carry
+
+    def texts_of(batch: pa.RecordBatch) -> pa.Array:
+        return batch.column(row).field(leaf).cast(pa.string()) if inside else batch.column("text_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = parsers(samples)
-        for batch in portions(batches, "text_", 4096, 1 << 23):
-            texts = [folded(t) if t and has_letter(t) else b"" for t in batch.column("text_").to_pylist()]
+        for batch in portions(batches, texts_of, 4096, 1 << 22):
+            texts = [folded(t) if t and has_letter(t) else b"" for t in texts_of(batch).to_pylist()]
             lengths = np.array([len(t) for t in texts], np.int64)
             clear = (lengths > 0) & bool(known)
             names, score, bits = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts)
@@ -213,6 +245,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], carry: Sequence[str] =
                 names = [known[b].language if c else UNKNOWN for b, c in zip(best, clear)]
                 bits = [float(x) if c else None for x, c in zip(least, clear)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(score, pa.float64()),
-                                              pa.array(bits, pa.float64())], [*carry, "lang_pred", "score", "bits"])
+                                              pa.array(bits, pa.float64()), pa.array(lengths, pa.int64())], [*carry, "lang_pred", "score", "bits", "n_folded"])
 
-    return docs.select(*carry, F.col("text").cast("string").alias("text_")).mapInArrow(run, schema)
+    given = [] if inside else [F.col(text).cast("string").alias("text_")]
+    return docs.select(*carry, *given).mapInArrow(run, schema)

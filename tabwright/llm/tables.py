@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,11 @@ from tabwright.storage import written
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def portions(batches: Iterator[pa.RecordBatch], column: str, rows: int = 1024, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that none has more than ``rows`` rows or, unless a single row has, ``size`` bytes in ``column``."""
+def portions(batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array], rows: int = 1024, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that none has more than ``rows`` rows or, unless a single row has, ``size`` bytes in ``column`` (or what it takes from a batch)."""
     for batch in batches:
-        filled = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+        values = column(batch) if callable(column) else batch.column(column)
+        filled = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(values), 0), np.int64))
         start = 0
         while start < batch.num_rows:
             before = filled[start - 1] if start else 0
@@ -51,16 +52,21 @@ def numbered(df: DataFrame, group: str, order: list[Column], value: str, name: s
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, last, place, total = TaskContext.get().partitionId(), None, 0, 0
         for batch in batches:
-            places, befores = [], []
-            for g, v in zip(batch.column(group).to_pylist(), batch.column(value).to_pylist()):
-                if g != last:
-                    last, place, total = g, 0, 0
-                places.append(place)
-                befores.append(total)
-                place, total = place + 1, total + (v or 0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([task] * batch.num_rows, pa.int32()), pa.array(places, pa.int64()), pa.array(befores, pa.int64())],
-                [*batch.schema.names, "task", "place", "before"])
+            n = batch.num_rows
+            if not n:
+                continue
+            groups = np.asarray(pc.dictionary_encode(batch.column(group)).indices, np.int64)
+            values = np.asarray(pc.fill_null(batch.column(value).cast(pa.int64()), 0), np.int64)
+            starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+            ends = np.r_[starts[1:], n]
+            ahead = np.cumsum(values) - values
+            place_of, total_of = np.arange(n) - np.repeat(starts, ends - starts), ahead - np.repeat(ahead[starts], ends - starts)
+            if batch.column(group)[0].as_py() == last:  # the first stretch goes on from the batch before
+                place_of[:ends[0]] += place
+                total_of[:ends[0]] += total
+            last, place, total = batch.column(group)[n - 1].as_py(), int(place_of[-1]) + 1, int(total_of[-1] + values[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, task, np.int32)), pa.array(place_of), pa.array(total_of)],
+                                             [*batch.schema.names, "task", "place", "before"])
 
     local = written(ranged.mapInArrow(number, schema), name)
     totals = local.groupBy("task", group).agg(F.count(F.lit(1)).alias("rows_"), F.sum(F.coalesce(F.col(value), F.lit(0))).alias("sum_"))

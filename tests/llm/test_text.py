@@ -57,6 +57,25 @@ def test_languages(spark):
     assert langid.learn(docs.limit(0)) == {} and langid.identify(docs.limit(0), samples).collect() == []
 
 
+def test_samples_come_from_whole_texts(spark, monkeypatch):
+    """Excerpts lie anywhere, few documents share all the bytes, and languages without any are named."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choices(letters, k=5)) for _ in range(20_000))
+    monkeypatch.setattr(langid, "held_out", lambda doc_id: F.lit(False))
+    rows = [(1, "0 1 2 " * 500 + long, "rare"), (2, long[::-1], "rare"), (3, "x " + "7" * 400_000, "digits")] + [(k, f"word{letters[k % 26]} of many", "many") for k in range(10, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="digits"):
+        samples = langid.learn(docs)
+    assert set(samples) == {"rare", "many"}
+    assert langid.SAMPLE_BYTES * 0.9 <= len(samples["rare"]) <= langid.SAMPLE_BYTES + 1
+    assert samples["rare"][:500].decode().strip() not in long[:5000]
+    assert langid._shared([b"ab", b"", b"x" * 90, b"y" * 50], 100) == [b"ab", b"x" * 49, b"y" * 49]
+    short = spark.createDataFrame([(1, "x", None), (2, "漢", None), (3, "7", None), (4, None, None), (5, "漢字仮名交じり文と句読点" * 9, None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in langid.recognised(docs.union(short)).collect()} >= {1, 2}
+    assert not {3, 4, 5} & {r["doc_id"] for r in langid.recognised(docs.filter("doc_id > 3").union(short)).collect()}
+
+
 def test_recognised_rows_keep_their_columns(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumns({"bits": F.lit("clash"), "lang_pred": F.lit(1)})
     odd = docs.limit(3).withColumns({"lang": F.lit(None).cast("string"), "doc_id": F.col("doc_id") + 10**6, "text": F.lit("漢字仮名交じり文と句読点、記号だけ。" * 30)})
