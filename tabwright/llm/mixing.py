@@ -20,6 +20,8 @@ SHARD_BLOCKS = 1 << 16
 MOST_REPEATS = 3
 #: Sources of one mix. Their names and totals are the only thing that the driver and every task hold whole; beyond this a mix is refused.
 MOST_SOURCES = 1_000_000
+#: Slots that a task makes on average.
+TASK_SLOTS = 100_000
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -151,7 +153,9 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), block_words:
     totals = np.array([came.get(s, 0) for s in range(len(names))], np.int64)
     earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = drawn.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    slots = starts.mapInPandas(_slots(np.maximum(np.array(blocks, np.int64), 1), np.array(draws, np.int64), totals, seed),
+    # A row of starts stands for many slots, so the rows are dealt over tasks in proportion to the slots, whatever their source.
+    dealt = written(starts, "mix-starts").repartition(total // TASK_SLOTS + 1, "shard", "source")
+    slots = dealt.mapInPandas(_slots(np.maximum(np.array(blocks, np.int64), 1), np.array(draws, np.int64), totals, seed),
                                "shard long, slot long, source int, block long")
     return Mix(sources, rows, slots, block_words)
 
