@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -13,12 +13,15 @@ from pyspark.sql import types as T
 from tabwright.functions.cleaning import is_missing, named
 from tabwright.operators.orderstats import ROW_LIMIT, quantiles
 from tabwright.operators.roles import NUMERIC, columns_of_type, present
+from tabwright.storage import side_table
 
 QUARTILES = (0.25, 0.5, 0.75)
 #: Aggregate expressions evaluated in one pass before the next batch starts.
 PAIRS_PER_PASS = 300
 #: Most columns that values are turned into.
 MOST_COLUMNS = 10_000
+#: Buckets of digests, the most rows that the search for duplicates broadcasts.
+DIGEST_BUCKETS = 1 << 20
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -81,10 +84,32 @@ def columns_with_missing(counts: DataFrame) -> DataFrame:
     return counts.where(F.col("missing") > 0).orderBy(F.desc("missing"), "feature")
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row in every column; nulls count as equal."""
-    counts = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-    return counts.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates"))
+def row_digest(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a whole row, with the places of its nulls; rows that group together agree in both."""
+    maps = {f.name for f in df.schema if isinstance(f.dataType, T.MapType)}
+    values = [F.array_sort(F.map_entries(named(c))) if c in maps else named(c) for c in df.columns]
+    nulls = F.concat(*[F.when(v.isNull(), "1").otherwise("0") for v in values])
+    return F.xxhash64(nulls, *values), F.xxhash64(F.lit("second"), nulls, *values)
+
+
+def duplicate_rows(df: DataFrame, digest: Callable[[DataFrame], tuple[Column, Column]] = row_digest) -> DataFrame:
+    """Rows that repeat an earlier row in every column; nulls count as equal.
+
+    Only the 16 bytes of a row's digest are shuffled first. Whole rows are shuffled and compared where the digest repeats, so digests that agree by
+    chance change nothing. Few repeated digests are broadcast; with many, their buckets, of which there are at most
+    ``DIGEST_BUCKETS``, keep most other rows out of the shuffle.
+    """
+    keys = ["high", "low"]
+    rows = df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), *[h.alias(k) for h, k in zip(digest(df), keys)])
+    repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(*keys)
+    repeated, small = side_table(repeated, "digests")
+    if small:
+        suspects = rows.join(F.broadcast(repeated), keys, "left_semi")
+    else:
+        bucket = F.pmod("high", F.lit(DIGEST_BUCKETS)).alias("bucket")
+        suspects = rows.select("*", bucket).join(F.broadcast(repeated.select(bucket).distinct()), "bucket", "left_semi").join(repeated, keys, "left_semi")
+    counts = suspects.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    return counts.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"))
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (),

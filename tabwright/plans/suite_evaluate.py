@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tabwright.operators import evaluate, profile, reports, scoring
 from tabwright.plans.suite import query, rounded, table
+from tabwright.storage import scratch_path
+from tabwright.streaming.scoring import read_arrivals, score_stream, write_scores
 
 SPLIT_SQL = "CASE WHEN l_linestatus = 'O' THEN 'val' ELSE 'test' END"
 PREDICTED_SQL = f"""pred AS (
@@ -232,6 +234,20 @@ def scored_rows(spark, folder):
     return scored_patients(spark, folder).select("o_orderkey", "predicted_cost", "predicted_risk", p["0"].alias("p0"), p["1"].alias("p1"))
 
 
+@query("b2_scored_stream", f"""WITH {SCORED_SQL} SELECT o_orderkey, predicted_cost, actual_cost, predicted_risk, p0, p1, {BAND_SQL} AS band FROM scored""")
+def scored_stream(spark, folder):
+    """The rows arrive as files in two batches; the stream ends between them and goes on from its checkpoint."""
+    people = patients(spark, folder)
+    arrivals, scores, state = (scratch_path(spark, name) for name in ("arrivals", "scores", "state"))
+    for batch in (0, 1):
+        people.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(2)) == batch).write.mode("append").parquet(arrivals)
+        scored = score_stream(read_arrivals(spark, arrivals, people.schema), *fixed_models(), ["0", "1"], cost="o_totalprice", label="risk")
+        write_scores(scored, scores, state).awaitTermination()
+    p = F.col("probabilities")
+    return spark.read.schema(scored.schema).parquet(scores).select(
+        "o_orderkey", "predicted_cost", "actual_cost", "predicted_risk", p["0"].alias("p0"), p["1"].alias("p1"), "band")
+
+
 @query("b3_clipped_probabilities", f"WITH {SCORED_SQL} SELECT o_orderkey, p0, p1 FROM scored")
 def clipped(spark, folder):
     p = F.col("probabilities")

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tabwright import storage
 from tabwright.operators import distribution, evaluate, orderstats, profile, running, sampling
 from tabwright.plans import jobs
 
@@ -90,6 +91,29 @@ def test_names_with_dots(spark):
     assert profile.describe(df, ["b.c"]).first()["p50"] == 1.0
 
 
+def test_duplicates_by_digest(spark, monkeypatch):
+    """Digests that collide, many repeated ones and odd types change nothing."""
+    rows = [(k % 400, None if k % 7 == 0 else float(k % 50), "x" * (k % 3), [k % 2, None], {"a": k % 2}) for k in range(3000)] + [(1, -0.0, None, None, None), (1, 0.0, None, None, None),
+            (None, 1.0, None, None, None), (1, None, None, None, None), (1, float("nan"), "", [], {}), (1, float("nan"), "", [], {})]
+    df = spark.createDataFrame(rows, "a int, `row` double, high string, xs array<int>, m map<string,int>").repartition(5)
+    want = len(rows) - df.groupBy(*df.columns).count().count()
+    assert want >= 2
+    collide = lambda df: (F.lit(1).cast("long"), F.pmod(F.xxhash64("a"), F.lit(2)))
+    for digest in (profile.row_digest, collide):
+        assert profile.duplicate_rows(df, digest).first()[0] == want
+    monkeypatch.setattr(profile, "side_table", lambda df, name: storage.side_table(df, name, 3))
+    for buckets in (1, 64, 1 << 20):
+        monkeypatch.setattr(profile, "DIGEST_BUCKETS", buckets)
+        assert profile.duplicate_rows(df).first()[0] == want
+    assert profile.duplicate_rows(df.limit(0)).first()[0] == 0 == profile.duplicate_rows(df.drop("m").dropDuplicates()).first()[0]
+
+
+def test_rows_without_a_copy_are_not_shuffled(spark):
+    df = spark.range(50_000).select("id", F.lpad(F.col("id").cast("string"), 400, "x").alias("wide"))
+    text = profile.duplicate_rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in text and "SortMergeJoin" not in text  # no digest repeats: the semi join leaves nothing to shuffle
+
+
 def test_crosstab_in_long_form(spark):
     df = numbers(spark, 90)
     wide = profile.crosstab(df, "g", "key").collect()
