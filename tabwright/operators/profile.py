@@ -97,7 +97,7 @@ def duplicate_rows(df: DataFrame, digest: Callable[[DataFrame], tuple[Column, Co
 
     Only the 16 bytes of a row's digest are shuffled first. Whole rows are shuffled and compared where the digest repeats, so digests that agree by
     chance change nothing. Few repeated digests are broadcast; with many, their buckets, of which there are at most
-    ``DIGEST_BUCKETS``, keep most other rows out of the shuffle.
+    ``DIGEST_BUCKETS``, keep other rows out of the shuffle; a row without a copy that shares a bucket adds nothing to the count.
     """
     keys = ["high", "low"]
     rows = df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), *[h.alias(k) for h, k in zip(digest(df), keys)])
@@ -107,7 +107,7 @@ def duplicate_rows(df: DataFrame, digest: Callable[[DataFrame], tuple[Column, Co
         suspects = rows.join(F.broadcast(repeated), keys, "left_semi")
     else:
         bucket = F.pmod("high", F.lit(DIGEST_BUCKETS)).alias("bucket")
-        suspects = rows.select("*", bucket).join(F.broadcast(repeated.select(bucket).distinct()), "bucket", "left_semi").join(repeated, keys, "left_semi")
+        suspects = rows.select("*", bucket).join(F.broadcast(repeated.select(bucket).distinct()), "bucket", "left_semi")
     counts = suspects.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
     return counts.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"))
 

@@ -277,6 +277,7 @@ def top_importances(spark, folder):
     return scoring.top_importances(weights.select("name", (F.col("s") / total).alias("importance")), 10)
 
 
+# The sentences that explain a score, as the scoring module words them.
 REASON_SQL = """'The model predicts this patient is ' || CASE WHEN predicted_risk = '1' THEN 'HIGH RISK' ELSE 'LOW RISK' END
     || ' with ' || format('{:.1f}', round(greatest(p0, p1) * 100, 1)) || '% confidence. Key drivers: age, bmi, smoker. This is primarily due to '
     || coalesce(nullif(concat_ws(', ',
