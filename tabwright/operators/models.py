@@ -18,6 +18,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.operators.boosting import SoftmaxBoosting
+
 #: Spark's limit on tree depth, used when no depth is asked for. The driver holds all trees, and so deep ones grow with the
 #: rows: ``max_depth``, ``min_instances`` (rows per leaf) and ``subsampling_rate`` bound them on large tables.
 DEEPEST = 30
@@ -25,7 +27,7 @@ DEEPEST = 30
 MOST_MOMENTS = 4_096
 #: Most classes that are weighted.
 MOST_CLASSES = 10_000
-CLASSIFIERS = ("logreg_l2", "logreg_l1", "rf", "gbr")
+CLASSIFIERS = ("logreg_l2", "logreg_l1", "rf", "gbr", "gbr_one_vs_rest")
 REGRESSORS = ("linear", "ridge", "lasso", "elasticnet", "rf", "gbr")
 
 
@@ -149,7 +151,10 @@ def build_classifier(name: str, params: Mapping | None = None, classes: int = 2,
                                       featureSubsetStrategy="sqrt", seed=seed, maxBins=max_bins,
                                       minInstancesPerNode=int(p.get("min_instances", 1)), subsamplingRate=float(p.get("subsampling_rate", 1.0)),
                                       bootstrap=bool(p.get("bootstrap", True)), cacheNodeIds=True, **columns)
-    if name == "gbr":
+    if name == "gbr" and classes > 2:
+        return SoftmaxBoosting(numClasses=classes, maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
+                               maxDepth=int(p.get("max_depth", 3)), seed=seed, maxBins=max_bins, **columns)
+    if name in ("gbr", "gbr_one_vs_rest"):
         boosted = GBTClassifier(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
                                 maxDepth=int(p.get("max_depth", 3)), seed=seed, maxBins=max_bins, **columns)
         if classes <= 2:

@@ -363,10 +363,30 @@ def boosted_group_scores(spark, folder):
     SELECT l_linenumber, round(a / (a + n + r), 3) AS p_A, round(n / (a + n + r), 3) AS p_N, round(r / (a + n + r), 3) AS p_R
     FROM lineitem JOIN o USING (l_linenumber)""")
 def boosted_three_class_scores(spark, folder):
-    return fitted_scores(numbered_lines(spark, folder), LINES, "l_returnflag", ["A", "N", "R"], "gbr",
+    return fitted_scores(numbered_lines(spark, folder), LINES, "l_returnflag", ["A", "N", "R"], "gbr_one_vs_rest",
                          {"n_estimators": 1, "max_depth": 6}, ["l_linenumber"])
 
 
+def softmax_round_sql(before: str, after: str) -> str:
+    """A round whose leaves are the line numbers: Newton steps of every class from the margins in ``before``."""
+    return f"""{before}_p AS (SELECT l_linenumber, k, f, exp(f) / sum(exp(f)) OVER (PARTITION BY l_linenumber) AS p FROM {before}),
+    {before}_r AS (SELECT l_linenumber, k, f, n, (l_returnflag = k)::INT - p AS r FROM {before}_p JOIN c USING (l_linenumber)),
+    {after} AS (SELECT l_linenumber, k, f + 0.1::DOUBLE * 2 / 3 * sum(n * r) / sum(n * abs(r) * (1 - abs(r))) AS f FROM {before}_r GROUP BY l_linenumber, k, f)"""
+
+
+@query("m4_softmax_scores", f"""WITH c AS (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2),
+    start AS (SELECT l_linenumber, k, f FROM (SELECT DISTINCT l_linenumber FROM c),
+        (SELECT l_returnflag AS k, ln(count(*) / (SELECT count(*) FROM lineitem)) AS f FROM lineitem GROUP BY 1)),
+    {softmax_round_sql('start', 'one')}, {softmax_round_sql('one', 'two')}, {softmax_round_sql('two', 'three')},
+    e AS (SELECT l_linenumber, sum(exp(f)) AS total, sum(exp(f)) FILTER (k = 'A') AS a, sum(exp(f)) FILTER (k = 'N') AS n, sum(exp(f)) FILTER (k = 'R') AS r
+        FROM three GROUP BY 1)
+    SELECT l_linenumber, round(a / total, 3) AS p_A, round(n / total, 3) AS p_N, round(r / total, 3) AS p_R FROM lineitem JOIN e USING (l_linenumber)""")
+def softmax_scores(spark, folder):
+    """Three rounds of joint boosting of three classes on one column whose every value becomes a leaf."""
+    return fitted_scores(numbered_lines(spark, folder), LINES, "l_returnflag", ["A", "N", "R"], "gbr",
+                         {"n_estimators": 3, "learning_rate": 0.1, "max_depth": 6}, ["l_linenumber"])
+
+
 @query("m10_boosted_group_means", """WITH m AS (SELECT l_linenumber, avg(l_extendedprice) AS prediction FROM lineitem GROUP BY 1)
     SELECT l_linenumber, round(prediction, 3) AS prediction FROM lineitem JOIN m USING (l_linenumber)""")
 def boosted_group_means(spark, folder):
