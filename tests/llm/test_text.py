@@ -209,6 +209,55 @@ def test_trees_add_what_resembles_the_known(spark):
     assert got[2]["spans"] == [] and got[3]["spans"] == got[3]["base"] and got[4]["spans"] == []
 
 
+def planted_documents(n):
+    """Plain personal data, the same in other forms, and numbers and words that look alike: texts and what is planted besides the plain forms."""
+    rng = random.Random(17)
+    some = lambda *options: rng.choice(options)
+    digits = lambda k: "".join(str(rng.randrange(10)) for _ in range(k - 1)) + str(rng.randrange(1, 10))
+    name = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(4, 9)))
+    filler = lambda: " ".join(name() for _ in range(rng.randrange(2, 9)))
+    rows = []
+    for i in range(n):
+        host, parts = f"{name()}.{some('com', 'org', 'net')}", [str(rng.randrange(256)) for _ in range(4)]
+        area, middle, last = str(rng.randrange(200, 999)), str(rng.randrange(200, 999)), str(rng.randrange(1000, 9999))
+        mail, call, login = some("write an email to", "contact", "mail"), some("call", "phone me on", "my mobile is"), some("the server", "login from host", "ip")
+        v6 = ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8))
+        cue, plain, other = [
+            (mail, f"{name()}@{host}", f"{name()} [at] {host.replace('.', some(' [dot] ', ' dot '))}"),
+            (call, f"+1 ({area}) {middle}-{last}", some(f"({area}) {middle}-{last}", f"{area}-{middle}-{last}")),
+            (login, ".".join(parts), v6)][i % 3]
+        kind = i // 3 % 6
+        if kind == 0:
+            rows.append((f"{filler()} {cue} {other} {filler()}", other))
+        elif kind in (1, 2):
+            rows.append((f"{filler()} {cue} {plain} {filler()}", None))
+        elif kind == 3:
+            number = some(f"{area}-{middle}-{last}", f"12:{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(4)}.{digits(4)}.{digits(4)}")
+            rows.append((f"{filler()} {some('part', 'order', 'lot')} {number} {filler()}", None))
+        else:
+            rows.append((f"{filler()} look at {name()} {name()} {digits(3)} {digits(4)} {digits(4)}", None))
+    return rows
+
+
+def test_trees_find_forms_the_rules_cannot_name(spark):
+    texts = planted_documents(5400)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    detector = pii.fit(docs.filter("doc_id < 3600"))
+    assert [t <= 1 for t in detector.thresholds] == [True, True, False, True]
+    caught = planted = added = 0
+    for r in pii.detect(docs.filter("doc_id >= 3600"), detector).collect():
+        text, form = texts[r["doc_id"]]
+        assert pii_text(r["base"]) == plain_spans(text)
+        more = [s["found"] for s in r["spans"] if s not in r["base"]]
+        assert all(text[s["start"]:s["stop"]] == s["found"] for s in r["spans"])
+        planted, caught, added = planted + (form is not None), caught + (form in more), added + len(more)
+    assert planted == 300 and caught >= 0.9 * planted and caught >= 0.95 * added
+
+
+def pii_text(spans):
+    return ",".join(f"{pii.KINDS[s['kind']]}:{s['start']}:{s['stop']}" for s in spans)
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert pii.fit(docs).trees == [] and pii.fit(docs.limit(0)).trees == []
