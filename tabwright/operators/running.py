@@ -33,13 +33,14 @@ def running_totals(
     """
     keys = list(keys)
     rows = rows.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double")))
-    table = rows.groupBy(*keys, order).agg(*[m.alias(n) for n, m in measures.items()])
-    distinct = rows.agg(F.approx_count_distinct(F.struct(*keys, order))).first()[0]
+    # Written once, so that neither its size nor its ranges evaluate the source again.
+    table = written(rows.groupBy(*keys, order).agg(*[m.alias(n) for n, m in measures.items()]), "running")
+    distinct = table.count()
     cut = distinct > window_rows
     if cut:
         parts = math.ceil(2 * distinct / window_rows)
         # The partition number must not change between the uses of the table, so it is written.
-        table = written(table.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()), "running")
+        table = written(table.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()), "running-parts")
     else:
         table = table.withColumn("_part", F.lit(0))
 

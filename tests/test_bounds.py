@@ -134,3 +134,23 @@ def test_profile_reads_the_table_equally_often_for_many_columns(spark):
         jobs_of[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"profile-{n}"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < jobs_of[8] <= jobs_of[2] + 2
+
+
+def test_running_totals_evaluate_their_source_once(spark):
+    """Whether the distinct values fit one window or are cut into ranges."""
+    for window_rows in (1_000, 50):
+        seen = spark.sparkContext.accumulator(0)
+
+        def meet(batches, seen=seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        rows = spark.range(500).selectExpr("id % 200 AS v").mapInArrow(meet, "v long")
+        found = running.running_totals(rows, "v", {"n": F.count(F.lit(1))}, window_rows=window_rows).orderBy("v").collect()
+        before = 0
+        for i, r in enumerate(found):
+            n = 3 if i < 100 else 2
+            assert (r["v"], r["n"], r["n_before"], r["n_next"]) == (i, n, before, None if i == 199 else 3 if i < 99 else 2)
+            before += n
+        assert len(found) == 200 and seen.value == 500
