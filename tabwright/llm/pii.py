@@ -7,13 +7,17 @@ the trees learn from. All of it is expressions in the JVM.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.storage import written
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The rules, written so that no text makes them slow: a run that cannot match is tried once (from its start, or from
@@ -47,14 +51,12 @@ CONTEXT = 24
 _CUES = {"email": "mail|contact|write|address", "ip": r"\bip\b|host|server|address|login", "card": "card|visa|master|credit|pay",
          "phone": "phone|tel|call|mobile|fax|ring"}
 
-#: Documents (expected number, drawn by hash) that the trees are fitted and calibrated on, and further ones that may hold a kind, per kind.
-FIT_DOCS, KIND_DOCS = 6_000, 1_500
-#: What a text with an accepted span of the kind contains.
-_HOLDS = {"email": r"[A-Za-z0-9]@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"(?:[0-9][\x20-]?){11}[0-9]", "phone": r"\+[0-9]"}
 TREES, DEPTH, STEP = 10, 3, 0.3
 #: At a threshold, so many of the accepted calibration candidates are right, and so many of the right ones are accepted.
 PRECISION, RECALL = 0.98, 0.95
 LEAST_KNOWN = 20
+#: Different feature vectors that one task of a fit holds, decimal places of a probability (so that calibration collects few values).
+TASK_VECTORS, PLACES = 200_000, 5
 
 
 def _span(kind: Column, start: Column, stop: Column, found: Column) -> Column:
@@ -216,7 +218,7 @@ class Detector:
         margin = F.lit(0.0)
         for weight, node in self.trees:
             margin = margin + weight * walk(node)
-        return 1 / (1 + F.exp(-2 * margin))
+        return F.round(1 / (1 + F.exp(-2 * margin)), PLACES)
 
 
 def _node(node) -> object:
@@ -225,29 +227,12 @@ def _node(node) -> object:
     return int(node.split().featureIndex()), float(node.split().threshold()), _node(node.leftChild()), _node(node.rightChild())
 
 
-def _drawn(docs: DataFrame, fit_docs: int, kind_docs: int) -> DataFrame:
-    """The different texts of about ``fit_docs`` documents of all, and about ``kind_docs`` of those that may hold each kind, drawn by a hash of the text."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    holds = [F.coalesce(F.rlike("text", F.lit(_HOLDS[kind])), F.lit(False)) for kind in KINDS]
-    counts = texts.agg(F.count(F.lit(1)), *[F.count_if(h) for h in holds]).first()
-    place, span = F.pmod(F.xxhash64(F.col("text"), F.lit(7)), F.lit(1 << 30)), 1 << 30
-    chosen = place < int(span * min(1.0, fit_docs / max(counts[0], 1)))
-    for h, n in zip(holds, counts[1:]):
-        chosen = chosen | ((place < int(span * min(1.0, kind_docs / max(n, 1)))) & h)
-    return texts.filter(chosen).dropDuplicates(["text"])
-
+def _vectors(docs: DataFrame) -> DataFrame:
+    """What all texts have to learn from: ``label, kind, sure, third, f0, f1, ...`` and ``n``, how often the different texts have it.
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, precision: float = PRECISION, kind_docs: int = KIND_DOCS) -> Detector:
-    """Fit the trees on a bounded sample of documents and calibrate a threshold per kind.
-
-    The sample is about ``fit_docs`` documents of all and ``kind_docs`` of those that may hold each kind, so that a rare kind is met at every size.
-    What the rules accept, rewritten into other forms in its own place, is right; candidates beside it count as wrong while fitting. A few of
-    them are right, too, so calibration counts as wrong only those that the rules refuse or that no word of their kind precedes. On a third of
-    the sample that the trees have not seen, a threshold is the lowest with a precision of at least ``precision``, or a higher one that still
-    accepts ``RECALL`` of the right ones. A kind with fewer than ``LEAST_KNOWN`` right ones accepted, or without such a threshold, adds nothing;
-    neither does anything where the sample has one class only.
+    Texts are told apart by a digest, so only spans are shuffled and copies of a text count once.
     """
-    found = with_candidates(_drawn(docs, fit_docs, kind_docs))
+    found = with_candidates(docs.select(F.col("text").cast("string").alias("text")))
 
     def wrong(s: Column) -> Column:
         refused = F.lit(False)
@@ -258,23 +243,41 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, precision: float = PRECISION,
 
     right = F.filter(F.transform("base", _rewritten), lambda s: s["found"].isNotNull())
     labelled = F.concat(F.transform(right, lambda s: F.struct(s.alias("c"), F.lit(1.0).alias("label"), F.lit(True).alias("sure"))), F.transform("candidates", wrong))
-    described = _features(F.col("x.c"), F.col("body_"))
-    width = len(described)
-    rows = found.select("body_", F.explode(labelled).alias("x")).select(
-        F.col("x.label").alias("label"), F.col("x.c.kind").alias("kind"), F.col("x.sure").alias("sure"),
-        F.pmod(F.xxhash64("body_", F.lit(8)), F.lit(3)).alias("third"), *(f.alias(f"f{k}") for k, f in enumerate(described)))
-    # One small partition in a fixed order, so that a rerun fits the same trees. The sample is bounded, hence so is this.
-    rows = rows.repartition(1).sortWithinPartitions(*rows.columns).cache()
+    rows = found.select("body_", labelled.alias("labelled")).filter(F.size("labelled") > 0).select(
+        "body_", F.md5("body_").alias("digest"), F.pmod(F.xxhash64("body_", F.lit(8)), F.lit(3)).alias("third"), F.explode("labelled").alias("x"))
+    described = [f.alias(f"f{k}") for k, f in enumerate(_features(F.col("x.c"), F.col("body_")))]
+    place = [F.col("x.c.start").alias("start"), F.col("x.c.stop").alias("stop"), F.col("x.c.found").alias("found")]
+    rows = rows.select("digest", *place, F.col("x.label").alias("label"), F.col("x.c.kind").alias("kind"), F.col("x.sure").alias("sure"), "third", *described)
+    once = rows.dropDuplicates(["digest", "start", "stop", "found", "label", "kind"]).drop("digest", "start", "stop", "found")
+    return once.groupBy(*once.columns).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def fit(docs: DataFrame, precision: float = PRECISION) -> Detector:
+    """Fit the trees on every document and calibrate a threshold per kind.
+
+    What the rules accept, rewritten into other forms in its own place, is right; candidates beside it count as wrong while fitting. A few of
+    them are right, too, so calibration counts as wrong only those that the rules refuse or that no word of their kind precedes. On a third of
+    the texts that the trees have not seen, a threshold is the lowest with a precision of at least ``precision``, or a higher one that still
+    accepts ``RECALL`` of the right ones. A kind with fewer than ``LEAST_KNOWN`` right ones accepted, or without such a threshold, adds nothing;
+    neither does anything where the texts have one class only.
+    """
+    vectors = written(_vectors(docs), "pii-vectors")
+    many = vectors.count()
+    inputs = [c for c in vectors.columns if c not in ("label", "kind", "sure", "third", "n")]
+    # In a fixed order, so that a rerun fits the same trees. Equal vectors are one weighted row.
+    rows = vectors.repartition(many // TASK_VECTORS + 1, *inputs).sortWithinPartitions(*vectors.columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ready = VectorAssembler(inputCols=[f"f{k}" for k in range(width)], outputCol="features").transform(rows)
+        ready = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
         training, test = ready.filter("third > 0"), ready.filter("third = 0")
         if training.select("label").distinct().count() < 2:
             return Detector()
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1).fit(training)
+        # Spark takes candidate splits from a sample of about the square of the bins, so with so many bins from all vectors.
+        bins = max(32, math.isqrt(many) + 1)
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=bins, weightCol="n", seed=1).fit(training)
         trees = [(float(w), _node(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
         detector = Detector(trees)
-        scored = test.filter("sure").select("kind", "label", detector.probability(F.array(*(f"f{k}" for k in range(width)))).alias("p"))
-        by_score = scored.groupBy("kind", "p").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("all")).orderBy("kind", F.col("p").desc()).collect()
+        scored = test.filter("sure").select("kind", "n", (F.col("label") * F.col("n")).alias("right"), detector.probability(F.array(*inputs)).alias("p"))
+        by_score = scored.groupBy("kind", "p").agg(F.sum("right").alias("right"), F.sum("n").alias("all")).orderBy("kind", F.col("p").desc()).collect()
         for k in range(len(KINDS)):
             mine = [r for r in by_score if r["kind"] == k]
             known, right, total = sum(r["right"] for r in mine), 0, 0
