@@ -33,6 +33,7 @@ class _Boosting(Params):
     maxDepth = Param(Params._dummy(), "maxDepth", "depth of the trees", TypeConverters.toInt)
     maxBins = Param(Params._dummy(), "maxBins", "bins of a feature", TypeConverters.toInt)
     seed = Param(Params._dummy(), "seed", "seed of the trees", TypeConverters.toInt)
+    weightCol = Param(Params._dummy(), "weightCol", "how many rows a row stands for, 1 if not set", TypeConverters.toString)
 
     def get(self, name: str):
         return self.getOrDefault(name)
@@ -83,19 +84,20 @@ class SoftmaxBoosting(Estimator, _Boosting, DefaultParamsReadable, DefaultParams
     are trees and leaf sums, at most ``2 ** maxDepth`` per class. Margins travel with the rows as one array and are written every
     ``ROUNDS_PER_WRITE`` rounds.
 
-    Rows without a label are left out. A class without rows keeps the smallest share. An empty table is refused.
+    A row with a weight counts as that many equal rows. Rows without a label are left out. A class without rows keeps the smallest share. An empty table is refused.
     """
 
     @keyword_only
-    def __init__(self, *, numClasses=2, maxIter=100, stepSize=0.1, maxDepth=3, maxBins=32, seed=42, featuresCol="features", labelCol="label"):
+    def __init__(self, *, numClasses=2, maxIter=100, stepSize=0.1, maxDepth=3, maxBins=32, seed=42, featuresCol="features", labelCol="label", weightCol=None):
         super().__init__()
         self._setDefault(numClasses=2, maxIter=100, stepSize=0.1, maxDepth=3, maxBins=32, seed=42, featuresCol="features", labelCol="label")
-        self._set(**self._input_kwargs)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, df: DataFrame) -> SoftmaxBoostingModel:
         label, classes, rounds = self.get("labelCol"), self.get("numClasses"), self.get("maxIter")
-        rows = df.select(F.col(self.get("featuresCol")).alias("features"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull())
-        counts = rows.agg(F.count(F.lit(1)), *[F.count_if(F.col("y") == k) for k in range(classes)]).first()
+        weight = F.col(self.get("weightCol")).cast("double") if self.isDefined("weightCol") else F.lit(1.0)
+        rows = df.select(F.col(self.get("featuresCol")).alias("features"), F.col(label).cast("double").alias("y"), weight.alias("w")).where(F.col("y").isNotNull())
+        counts = rows.agg(F.coalesce(F.sum("w"), F.lit(0.0)), *[F.sum(F.when(F.col("y") == k, F.col("w")).otherwise(0.0)) for k in range(classes)]).first()
         if not counts[0]:
             raise ValueError("no row has a label")
         start = [float(np.log(max(n / counts[0], LEAST))) for n in counts[1:]]
@@ -118,8 +120,8 @@ class SoftmaxBoosting(Estimator, _Boosting, DefaultParamsReadable, DefaultParams
         probability = softmax(F.col("margins"))
         residuals = F.transform(probability, lambda p, k: F.when(F.col("y") == k, 1.0).otherwise(0.0) - p)
         turned = state.withColumn("residuals", residuals)
-        learner = DecisionTreeRegressor(featuresCol="features", labelCol="residual", maxDepth=self.get("maxDepth"), maxBins=self.get("maxBins"), seed=self.get("seed"))
-        return [learner.fit(turned.select("features", F.col("residuals")[k].alias("residual"))) for k in range(self.get("numClasses"))]
+        learner = DecisionTreeRegressor(featuresCol="features", labelCol="residual", weightCol="w", maxDepth=self.get("maxDepth"), maxBins=self.get("maxBins"), seed=self.get("seed"))
+        return [learner.fit(turned.select("features", "w", F.col("residuals")[k].alias("residual"))) for k in range(self.get("numClasses"))]
 
     def _with_leaves(self, state: DataFrame, fitted: list) -> DataFrame:
         """Add ``leaves``: the leaf, counted from the left, of a row in every class's tree."""
@@ -131,9 +133,9 @@ class SoftmaxBoosting(Estimator, _Boosting, DefaultParamsReadable, DefaultParams
     def _leaf_values(self, state: DataFrame, fitted: list) -> list[list[float]]:
         """Newton steps of every leaf of every class."""
         parts = F.arrays_zip(softmax(F.col("margins")).alias("p"), F.col("leaves"))
-        each = self._with_leaves(state, fitted).select("y", F.posexplode(parts).alias("k", "x")).select("k", F.col("x.leaves").alias("leaf"), (
+        each = self._with_leaves(state, fitted).select("y", "w", F.posexplode(parts).alias("k", "x")).select("k", "w", F.col("x.leaves").alias("leaf"), (
             F.when(F.col("y") == F.col("k"), 1.0).otherwise(0.0) - F.col("x.p")).alias("r"))
-        sums = each.groupBy("k", "leaf").agg(F.sum("r").alias("r"), F.sum(F.abs("r") * (1 - F.abs("r"))).alias("h")).collect()
+        sums = each.groupBy("k", "leaf").agg(F.sum(F.col("w") * F.col("r")).alias("r"), F.sum(F.col("w") * F.abs("r") * (1 - F.abs("r"))).alias("h")).collect()
         values = [[0.0] * _leaves(m._java_obj.rootNode()) for m in fitted]
         for s in sums:
             if s["h"] > LEAST:
@@ -144,7 +146,7 @@ class SoftmaxBoosting(Estimator, _Boosting, DefaultParamsReadable, DefaultParams
         """``state`` with the steps of a round added to its margins."""
         steps = F.array(*[F.array(*[F.lit(self.get("stepSize") * v) for v in of_class]) for of_class in values])
         moved = F.transform("margins", lambda m, k: m + steps[k][F.col("leaves")[k]])
-        following = self._with_leaves(state, fitted).select("features", "y", moved.alias("margins"))
+        following = self._with_leaves(state, fitted).select("features", "y", "w", moved.alias("margins"))
         if turn % ROUNDS_PER_WRITE == ROUNDS_PER_WRITE - 1:
             following = written(following, "boosting")
         following = following.persist(StorageLevel.MEMORY_AND_DISK)

@@ -36,21 +36,22 @@ class _Supervised(Params):
     labelCol = Param(Params._dummy(), "labelCol", "numeric label", TypeConverters.toString)
     maxIter = Param(Params._dummy(), "maxIter", "iterations", TypeConverters.toInt)
     tol = Param(Params._dummy(), "tol", "convergence tolerance", TypeConverters.toFloat)
+    weightCol = Param(Params._dummy(), "weightCol", "how many rows a row stands for, 1 if not set", TypeConverters.toString)
 
     def get(self, name: str):
         return self.getOrDefault(name)
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Balanced weight per class: rows / (classes * rows of the class)."""
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+def class_weights(df: DataFrame, label: str, weight: str | None = None) -> DataFrame:
+    """Balanced weight per class: rows / (classes * rows of the class). A row stands for ``weight`` rows."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     totals = counts.agg(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).alias("t")).scalar()
     return counts.withColumn("weight", totals["n"] / (totals["k"] * F.col("n")))
 
 
-def _weight_expression(df: DataFrame, label: str):
+def _weight_expression(df: DataFrame, label: str, weight: str | None):
     """Balanced weights as a literal map, of at most ``MOST_CLASSES`` classes."""
-    found = class_weights(df, label).limit(MOST_CLASSES + 1).collect()
+    found = class_weights(df, label, weight).limit(MOST_CLASSES + 1).collect()
     if len(found) > MOST_CLASSES:
         raise ValueError(f"{label!r} has more than {MOST_CLASSES} values, too many for classes")
     pairs = [F.lit(float(x)) for r in found for x in (r[label], r["weight"])]
@@ -70,21 +71,25 @@ class PenalisedLogistic(Estimator, _Supervised, DefaultParamsReadable, DefaultPa
 
     @keyword_only
     def __init__(self, *, C=1.0, penalty="l2", balanced=False, featuresCol="features", labelCol="label",
-                 maxIter=5000, tol=1e-6):
+                 maxIter=5000, tol=1e-6, weightCol=None):
         super().__init__()
-        self._set(**self._input_kwargs)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
         self._setDefault(C=1.0, penalty="l2", balanced=False, featuresCol="features", labelCol="label",
                          maxIter=5000, tol=1e-6)
 
     def _fit(self, df: DataFrame):
-        label = self.get("labelCol")
+        label, weight = self.get("labelCol"), self.get("weightCol") if self.isDefined("weightCol") else None
+        rows = (df.agg(F.sum(weight)).first()[0] or 0) if weight else df.count()
         learner = LogisticRegression(
             featuresCol=self.get("featuresCol"), labelCol=label, maxIter=self.get("maxIter"),
-            tol=self.get("tol"), standardization=False, regParam=1.0 / (self.get("C") * max(df.count(), 1)),
+            tol=self.get("tol"), standardization=False, regParam=1.0 / (self.get("C") * max(rows, 1)),
             elasticNetParam=1.0 if self.get("penalty") == "l1" else 0.0)
         if self.get("balanced"):
-            df = df.withColumn("_weight", _weight_expression(df, label))
+            balance = _weight_expression(df, label, weight)
+            df = df.withColumn("_weight", balance * F.col(weight) if weight else balance)
             learner.setWeightCol("_weight")
+        elif weight:
+            learner.setWeightCol(weight)
         return learner.fit(df)
 
 
@@ -134,6 +139,18 @@ class PenalisedLinear(Estimator, _Supervised, DefaultParamsReadable, DefaultPara
             solver="auto" if not strength else "normal" if one_pass else "l-bfgs").fit(df)
 
 
+def weighs(name: str, params: Mapping | None = None) -> bool:
+    """Whether a row that stands for several equal ones serves a learner as well as these.
+
+    Not where rows are drawn or counted one by one, nor for linear learners, whose labels rarely repeat.
+    """
+    p = dict(params or {})
+    if name == "rf":
+        least = int(p.get("min_instances", max(1, int(p.get("min_samples_split", 2)) // 2)))
+        return not p.get("bootstrap", True) and float(p.get("subsampling_rate", 1.0)) == 1.0 and least <= 1
+    return name in ("logreg_l2", "logreg_l1", "gbr", "gbr_one_vs_rest")
+
+
 def _depth(value) -> int:
     return DEEPEST if value is None else int(value)
 

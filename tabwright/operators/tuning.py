@@ -20,7 +20,7 @@ from tabwright.functions.hashing import key_hash
 from tabwright.operators import sampling
 from tabwright.operators.evaluate import auc, auc_ovr_macro, class_metrics, confusion, regression_metrics
 from tabwright.operators.features import preparation_stages
-from tabwright.operators.models import CLASSIFIERS, REGRESSORS, build_classifier, build_regressor
+from tabwright.operators.models import CLASSIFIERS, REGRESSORS, build_classifier, build_regressor, weighs
 from tabwright.operators.moments import LINEAR, fold_moments
 from tabwright.operators.roles import Roles, infer_roles, without
 from tabwright.operators.scoring import class_scores
@@ -29,6 +29,10 @@ from tabwright.storage import use_checkpoints, written
 
 #: Most classes a classifier is trained on, unless asked otherwise.
 MAX_CLASSES = 1_000
+#: Most rows of one partition that learners pass over.
+TASK_ROWS = 1_000_000
+#: Mean of a numeric target over rows with the same inputs.
+MEAN = "mean_"
 
 
 def grid_points(grid: Mapping[str, Sequence]) -> list[dict]:
@@ -37,6 +41,12 @@ def grid_points(grid: Mapping[str, Sequence]) -> list[dict]:
     return [dict(zip(names, values)) for values in itertools.product(*(grid[n] for n in names))]
 
 
+def spread(df: DataFrame, most: int = TASK_ROWS) -> DataFrame:
+    """``df`` as it is, or dealt out anew if a partition has more than ``most`` rows."""
+    sizes = df.groupBy(F.spark_partition_id().alias("part_")).count().agg(F.max("count"), F.sum("count")).first()
+    return df if (sizes[0] or 0) <= most else df.repartition(sizes[1] // most + 1)
+
+
 @dataclass
 class Search:
     params: dict
@@ -77,15 +87,41 @@ class Trainer:
         """Feature vectors and labels, kept for the passes of the fits that share them."""
         return prepared.transform(self.labelled(df)).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
 
+    def weighted_rows(self, prepared: PipelineModel, df: DataFrame) -> DataFrame:
+        """Feature vectors, labels and ``weight``, one row for all that have the same inputs and class.
+
+        For numbers, one for all with the same inputs, whose label is their mean: squared errors around it are the same for every model.
+        """
+        keys = list(dict.fromkeys(self.roles.columns))
+        weight, target = F.count(F.lit(1)).cast("double").alias("weight"), F.col(self.target)
+        if self.classifies:
+            groups = df.groupBy(*dict.fromkeys([*keys, self.target])).agg(weight)
+        else:
+            groups = df.groupBy(*keys, target.isNull().alias("missing_")).agg(weight, F.avg(target.cast("double")).alias(MEAN))
+        groups = spread(written(groups, "training-groups"))
+        labelled = self.labelled(groups) if self.classifies else groups.withColumn("label", F.col(MEAN))
+        return prepared.transform(labelled).select("features", "label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fitting_rows(self, prepared: PipelineModel, df: DataFrame, jobs: Sequence[tuple[str, Mapping]]) -> dict[bool, DataFrame]:
+        """Rows to fit on, by whether a learner takes weighted ones."""
+        return {w: (self.weighted_rows if w else self.prepared_rows)(prepared, df) for w in sorted({weighs(*job) for job in jobs})}
+
+    def fit_on(self, rows: Mapping[bool, DataFrame], name: str, params: Mapping):
+        weighted, learner = weighs(name, params), self.build(name, params)
+        if weighted:
+            learner.set(learner.getParam("weightCol"), "weight")
+        return learner.fit(rows[weighted])
+
     def fit_all(self, params: Mapping[str, Mapping], train: DataFrame) -> dict[str, PipelineModel]:
         """Fit several models on one preparation of the training rows."""
         prepared = self.prepare(train)
-        rows = self.prepared_rows(prepared, train)
+        rows = self.fitting_rows(prepared, train, list(params.items()))
         try:
             with ThreadPoolExecutor(self.parallelism) as pool:
-                learners = list(pool.map(lambda n: self.build(n, params[n]).fit(rows), params))
+                learners = list(pool.map(lambda n: self.fit_on(rows, n, params[n]), params))
         finally:
-            rows.unpersist()
+            for part in rows.values():
+                part.unpersist()
         return {n: PipelineModel([*prepared.stages, learner]) for n, learner in zip(params, learners)}
 
     def fit(self, name: str, params: Mapping, train: DataFrame) -> PipelineModel:
@@ -117,18 +153,18 @@ class Trainer:
         for f in range(k if tried else 0):
             fit_rows, held_rows = train.where(F.col(fold) != f), train.where(F.col(fold) == f)
             prepared = self.prepare(fit_rows)
-            fit_on, held = (self.prepared_rows(prepared, part) for part in (fit_rows, held_rows))
+            fit_on, held = self.fitting_rows(prepared, fit_rows, tried), self.prepared_rows(prepared, held_rows)
 
             def one(job: tuple[str, dict]) -> float:
-                return self.score(self.build(*job).fit(fit_on).transform(held))
+                return self.score(self.fit_on(fit_on, *job).transform(held))
 
             try:
                 with ThreadPoolExecutor(self.parallelism) as pool:
                     for scores, value in zip(by_point, pool.map(one, tried)):
                         scores.append(value)
             finally:
-                fit_on.unpersist()
-                held.unpersist()
+                for part in (*fit_on.values(), held):
+                    part.unpersist()
         found: dict[str, list[dict]] = {name: [] for name in grids}
         if solved:
             tried, by_point = linear + tried, solved.scores(linear) + by_point
