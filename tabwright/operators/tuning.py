@@ -224,6 +224,8 @@ def _partitioned(df: DataFrame, key: Column, features: Sequence[str], target: st
     train = parts.where(F.col("_part") == "train")
     if tuned:
         train = sampling.folds(train, place, k, None, stratum, "_fold")
+        # Every fit of every fold reads these rows several times, so they are cut into folds once.
+        train = written(train, "folds")
     return parts, train
 
 

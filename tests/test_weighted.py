@@ -58,3 +58,10 @@ def test_softmax_boosting_counts_weights(spark, rows):
     weighted = SoftmaxBoosting(numClasses=3, maxIter=2, maxDepth=2, weightCol="w").fit(data)
     repeated = SoftmaxBoosting(numClasses=3, maxIter=2, maxDepth=2).fit(data.withColumn("x", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))))
     np.testing.assert_allclose(scored(weighted, data), scored(repeated, data), atol=1e-9)
+
+
+def test_folds_are_cut_once(spark, rows):
+    """What every fit reads is a written table, not the split of its source."""
+    parts, train = tuning._partitioned(rows, F.col("id"), ["a", "b", "t"], "c", "c", 3, 42, 0.2, 0.2, True)
+    files = train.inputFiles()
+    assert files and all("/folds-" in f for f in files) and train.count() == parts.where("_part = 'train'").count()
