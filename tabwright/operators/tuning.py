@@ -85,7 +85,8 @@ class Trainer:
 
     def prepared_rows(self, prepared: PipelineModel, df: DataFrame) -> DataFrame:
         """Feature vectors and labels, kept for the passes of the fits that share them."""
-        return prepared.transform(self.labelled(df)).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+        needed = df.select(*dict.fromkeys([*self.roles.columns, self.target]))
+        return prepared.transform(self.labelled(spread(needed))).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
 
     def weighted_rows(self, prepared: PipelineModel, df: DataFrame) -> DataFrame:
         """Feature vectors, labels and ``weight``, one row for all that have the same inputs and class.

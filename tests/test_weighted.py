@@ -51,6 +51,20 @@ def test_rows_that_are_drawn_or_counted_stay_single(name, params):
     assert not models.weighs(name, params)
 
 
+def test_partitions_of_learners_are_bounded(spark, rows, monkeypatch):
+    """Where inputs are all different and where rows stay single."""
+    monkeypatch.setattr(tuning.spread, "__defaults__", (200,))
+    trainer = tuning.Trainer(Roles(["id"]), "two", CLASSES[:2])
+    one = rows.coalesce(1)
+    prepared = trainer.prepare(one)
+    both = trainer.fitting_rows(prepared, one, [("rf", {}), ("gbr", {})])
+    assert sorted(both) == [False, True]
+    for part in both.values():
+        sizes = [r["count"] for r in part.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 6_000 and max(sizes) <= 400
+    assert tuning.spread(rows.coalesce(1), 6_000).rdd.getNumPartitions() == 1
+
+
 def test_softmax_boosting_counts_weights(spark, rows):
     data = tuning.Trainer(ROLES, "c", CLASSES).labelled(rows)
     prepared = tuning.Trainer(ROLES, "c", CLASSES).prepare(rows)
