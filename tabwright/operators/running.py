@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ def running_totals(
     """
     keys = list(keys)
     rows = rows.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double")))
-    # Written once, so that neither its size nor its ranges evaluate the source again.
-    table = written(rows.groupBy(*keys, order).agg(*[m.alias(n) for n, m in measures.items()]), "running")
+    # Kept on disk, so that neither its size nor its ranges evaluate the source again, and the plan still shows the source.
+    table = rows.groupBy(*keys, order).agg(*[m.alias(n) for n, m in measures.items()]).persist(StorageLevel.DISK_ONLY)
     distinct = table.count()
     cut = distinct > window_rows
     if cut:
